@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 #: Texts longer than this many code points are encoded in overlapping chunks.
 CHUNK, OVERLAP = 32_768, 256
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-MEMORY = 1_000_000
-#: Code points of text handled at once.
-SLICE_BYTES = 16 << 20
+MEMORY = 300_000
+#: Bytes of text handled at once.
+SLICE_BYTES = 6 << 20
 
 _WS = "\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space between two white-space characters: the only place where a cut before a space may change tokens.
@@ -67,9 +67,12 @@ class WordEncoder:
     def _library(self, piece: str) -> list[int]:
         return self.tok.encode(piece, add_special_tokens=False).ids
 
-    def _atom(self, s: str) -> tuple:
-        """Ids of a piece without a white-space run inside; letters alone are one pre-token, which goes to the model directly."""
-        got = self.atoms.get(s)
+    def _atom(self, s: str, whole: bool = False) -> tuple:
+        """Ids of a piece without a white-space run inside; letters alone are one pre-token, which goes to the model directly.
+
+        ``whole``: the caller remembers the piece itself.
+        """
+        got = None if whole else self.atoms.get(s)
         if got is None:
             word = s[1:] if s[:1] == " " else s
             if word.isalpha():
@@ -81,7 +84,8 @@ class WordEncoder:
                     got = self._atom(core) + self._atom(s[len(core) :])
                 else:
                     got = tuple(self._library(s))
-            self.atoms[s] = got
+            if not whole:
+                self.atoms[s] = got
         return got
 
     def _piece(self, s: str) -> tuple:
@@ -94,7 +98,7 @@ class WordEncoder:
                     out += self._atom("\n") + self._atom(p)
                 return out
             return tuple(self._library(s))
-        return self._atom(s)
+        return self._atom(s, whole=True)
 
     def _slot(self, ids: tuple) -> int:
         self.start.append(len(self.pool))
