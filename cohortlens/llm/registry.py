@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import packing, token_counts, token_file
+from cohortlens.llm import decontaminate, doc_fingerprint, packing, pii, quality, simhash, substring_dedup, token_counts, token_file, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": substring_dedup.op1,
+        "op2_url_filters": url_filter.op2,
+        "op3_document_fingerprints": doc_fingerprint.op3,
         "op4_token_counts": token_counts.op4,
+        "op5_simhash_near_dedup": simhash.op5,
+        "op6_pii_surrogates": pii.op6,
+        "op7_quality_classifier": quality.op7,
+        "op8_benchmark_decontamination": decontaminate.op8,
         "op9_token_file": token_file.op9,
         "op10_best_fit_packing": packing.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filters": url_filter.OP2_SQL}
