@@ -44,7 +44,7 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _QUICK = rf"[0-9@]|(?:{'|'.join((*TITLES_M, *TITLES_F))})\.? \p{{Lu}}|[0-9a-f]{{32}}|AKIA"
 KEY = "cohortlens-surrogates-1"
-ATTEMPTS = 64
+ATTEMPTS, CROWDED = 64, 8
 
 
 def entities(text: Column) -> Column:
@@ -103,7 +103,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
     top = F.substring_index(domain, ".", -1)
     home = F.sha2(F.concat_ws("\x00", F.lit(key), F.lit("domain"), domain), 256)
-    email = F.concat(_spell(local, digest), F.lit("@"), _spell(F.lit("aaaaaaaa"), home), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise("com"))
+    longer = F.when(attempt >= CROWDED, _spell(F.lit("aaaa"), F.sha2(digest, 256))).otherwise("")  # short names run out of equally short ones
+    email = F.concat(_spell(local, digest), longer, F.lit("@"), _spell(F.lit("aaaaaaaa"), home), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise("com"))
     n = F.length(canon)
     body = F.concat(F.left(canon, F.lit(1)), _spell(F.substring(canon, F.lit(2), n - 2), digest))
     check = F.pmod(_luhn(body) + F.right(canon, F.lit(1)).cast("int") - _luhn(F.left(canon, n - 1)), F.lit(10))
