@@ -181,7 +181,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE, BLOCK_BITS, REACH = 5, 16, 56
 N_BLOCKS = WIDE * 64 // BLOCK_BITS
 #: Entries of a bucket that an entry is compared with in the rounds, nearest first.
-STEPS = (32, 1024, 1 << 15, 1 << 20)
+STEPS = (4, 64, 1024, 1 << 15, 1 << 20)
 _SEEDS = (11, 22, 33, 44, 55)
 
 
