@@ -39,10 +39,10 @@ from cohortlens.llm.common import documents, drop_table, parallelism, row_key, s
 LENGTH, GRAM = 200, 25
 WINDOW = LENGTH - GRAM + 1
 #: Different surroundings of one anchor that a task ranks at once; more are ranked by Spark.
-GROUP = 200_000
+GROUP = 20_000
 #: Bytes of texts that are scanned at once.
-SCAN = 8 << 20
-_PLACE_BITS = 26
+SCAN = 1 << 20
+_PLACE_BITS = 22
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -206,7 +206,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         held.append(b)
         size += b.num_rows
-        if size < 20_000:
+        if size < 10_000:
             continue
         t = pa.Table.from_batches(held)
         g = t.column("g").to_numpy()
