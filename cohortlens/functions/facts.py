@@ -79,9 +79,5 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return F.round((F.unix_millis(later) - F.unix_millis(earlier)) / 86_400_000.0).cast("int")
 
 
-def event_date(*candidates: Column) -> Column:
-    return F.coalesce(*candidates)
-
-
 def patient_id(resource_id: Column) -> Column:
     return F.concat(F.lit("SYN-"), F.upper(F.substring(resource_id, 1, 8)))

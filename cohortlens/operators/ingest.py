@@ -235,6 +235,27 @@ def mess(labs: DataFrame, seed: int, rates: dict | None = None) -> DataFrame:
     return src.mapInPandas(run, "patient string, slug string, code string, value_text string, unit string, days_ago long, log array<string>")
 
 
+#: Facts of a heart-failure patient that records lack (name, low, high), and codes that are filled in.
+HF_FACTS = (("lvef", 15.0, 60.0), ("bnp", 100.0, 2500.0), ("nt_probnp", 300.0, 9000.0))
+HF_ALWAYS = (("days_since_index_event", 0.0, 90.0), ("hf_duration_months", 1.0, 120.0), ("symptom_duration_days", 1.0, 60.0))
+
+
+def heart_failure_facts(patients: DataFrame, seed: int) -> DataFrame:
+    """(patient, fact, value) to add to heart-failure patients (patient, has array of fact names).
+
+    Gaps are filled from draws that depend on the patient alone; facts that are recorded stay, and the
+    index and duration facts are always written.  Native: a keyed hash gives each draw.
+    """
+
+    def draw(name: str, low: float, high: float):
+        u = F.pmod(F.xxhash64(F.lit(seed), "patient", F.lit(name)), F.lit(1 << 30)) / float(1 << 30)
+        return round_half_up(u * (high - low) + low)
+
+    facts = [F.when(~F.array_contains("has", n), F.struct(F.lit(n).alias("fact"), draw(n, a, b).alias("value"))) for n, a, b in HF_FACTS]
+    facts += [F.struct(F.lit(n).alias("fact"), draw(n, a, b).alias("value")) for n, a, b in HF_ALWAYS]
+    return patients.select("patient", F.explode(F.array_compact(F.array(*facts))).alias("f")).select("patient", "f.fact", "f.value")
+
+
 def op_counts(logged: DataFrame) -> DataFrame:
     """(op, n, patients) of what a log column lists."""
     rows = logged.select("patient", F.explode("log").alias("op"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +130,3 @@ def recency(entries: DataFrame, as_of: Column) -> DataFrame:
     finding = F.when(day.isNull(), "not-datable").when(age < 0, "measured-after").when(age > F.col("valid_within_days"), "stale")
     return entries.where("valid_within_days is not null").withColumn("age_days", age).withColumn("finding", finding).where("finding is not null")
 
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
