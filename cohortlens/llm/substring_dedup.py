@@ -230,7 +230,8 @@ def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
     """(k1, k2, a, b): byte ranges of texts that repeated strings cover.  texts: k1, k2, text."""
     spark = texts.sparkSession
     found, found_path = save(texts.mapInArrow(_scan, _ANCHOR), "anchors")
-    twice = found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    # written first, so that both sides of the join are shuffled for it and a hot anchor's rows can be split
+    twice, _ = save(found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "repeated-names")
     kept, _ = save(found.join(twice, "g", "left_semi"), "repeated-anchors")
     drop_table(spark, found_path)
     runs, _ = save(kept.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "x", "before", "after", "r", "l")).alias("m")).select("g", "c", "n", "m.*"), "runs")
