@@ -7,9 +7,10 @@ hierarchical index (``hamming_index``) finds the neighbours.  Equal fingerprints
 a bucket emits spanning links only, so no group is expanded into pairs.  A bucket over ``BUCKET``
 entries is dealt in chunks, every pair of chunks to a task.
 
-``near_duplicates`` finds documents with a Jaccard similarity of 0.8 or more over five-word
-shingles: a 320-bit SimHash of a document's distinct words is cut into twenty blocks, each bucket
-lists neighbours within a wide radius, and the exact similarity decides.  In buckets with many
+``near_duplicates`` finds all documents with a Jaccard similarity of 0.8 or more over five-word
+shingles.  Candidates come from prefix filtering, which loses no pair: shingles have one order, the
+common ones last, and two similar documents share one among the first fifth of either's.  A bucket
+holds the documents with one such shingle, and the exact similarity decides.  In buckets with many
 entries, entries are compared with those that stand near them first; later rounds compare those
 further away, unless they are in one component already, until all are compared.
 
@@ -175,39 +176,63 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near-duplicates by exact similarity -------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint, bits of a block, and the radius searched; a pair at the
-#: similarity of 0.8 shares about 97.8 % of its distinct words and so differs in about 21 bits of
-#: 320 (standard deviation 4.5), and one of twenty blocks is equal but for one pair in thousands.
-WIDE, BLOCK_BITS, REACH = 5, 16, 56
-N_BLOCKS = WIDE * 64 // BLOCK_BITS
 #: Entries of a bucket that an entry is compared with in the rounds, nearest first.
 STEPS = (4, 64, 1024, 1 << 15, 1 << 20)
-_SEEDS = (11, 22, 33, 44, 55)
+#: Common shingles are looked for in so many texts, are in so many of those at least, and are at most so many.
+SAMPLE, COMMON, LISTED = 20_000, 5, 100_000
 
 
-def wide_print(words: list[bytes]) -> list[int]:
-    """SimHash of the distinct words, in ``WIDE`` words of 64 bits."""
-    distinct = sorted(set(words))
-    h = xxhash.xxh64_intdigest
-    return [fingerprint(np.fromiter([h(w, s) for w in distinct], np.uint64, len(distinct))) for s in _SEEDS]
+def _common_shingles(src: DataFrame, k: int) -> np.ndarray:
+    """The shingles that stand in most texts of a sample, rarest first.
+
+    They only say which shingles are looked up last, so a sample loses no pair.
+    """
+    every = max(1, src.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column(0)):
+                s = np.unique(shingle_hashes(words_of(t.as_py()), k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), b.column(1)[i].as_py(), np.int64)), pa.array(s)], names=["t", "s"])
 
+    some = src.select("text", F.xxhash64("text").alias("t")).where(F.pmod("t", F.lit(every)) == 0)
+    counted = some.mapInArrow(run, "t long, s long").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return np.array([r.s for r in counted.orderBy(F.desc("n"), "s").limit(LISTED).collect()][::-1], np.int64).view(np.uint64)
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """(rid, c1, c2, w0..w4): the content key of a document's word sequence, and its wide fingerprint."""
+
+def prefix(distinct: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The first shingles of a sorted set in one order of all shingles, by hash and the ``common`` last.
+
+    Sets with a similarity of ``threshold`` share at least that part of either, so the first shingle
+    that they share is among the first ``n - ceil(threshold * n) + 1`` of both.
+    """
+    n = len(distinct)
+    order = np.argsort(common)
+    at = np.searchsorted(common, distinct, sorter=order)
+    where = order[np.minimum(at, len(common) - 1)] if len(common) else np.zeros(n, np.int64)
+    place = np.where(common[where] == distinct, where + 1, 0) if len(common) else where
+    return distinct[np.argsort(place, kind="stable")][: n - int(np.ceil(threshold * n - 1e-9)) + 1] if n else distinct
+
+
+def _profiles(docs: DataFrame, k: int, threshold: float, common: np.ndarray) -> DataFrame:
+    """(rid, c1, c2, n, p): the content key of a document's word sequence, the number of its distinct shingles and their prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c1, c2, wide = [], [], []
+            c1, c2, n, first = [], [], [], []
             for t in b.column(1):
                 w = words_of(t.as_py())
                 line = b" ".join(w)
                 c1.append(xxhash.xxh64_intdigest(line, 1))
                 c2.append(xxhash.xxh64_intdigest(line, 2))
-                wide.append(wide_print(w))
-            m = np.array(wide, np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (c1, c2)), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(WIDE))], names=["rid", "c1", "c2", *(f"w{i}" for i in range(WIDE))])
+                s = np.unique(shingle_hashes(w, k))
+                n.append(len(s))
+                first.append(prefix(s, common, threshold).view(np.int64))
+            upto = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (c1, c2)), pa.array(n, pa.int32()), lists], names=["rid", "c1", "c2", "n", "p"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, c1 long, c2 long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
+    return docs.select("rid", "text").mapInArrow(run, "rid long, c1 long, c2 long, n int, p array<long>")
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -222,49 +247,31 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(run, "rid long, s array<long>")
 
 
-def _bucket_rows(reps: DataFrame) -> DataFrame:
-    per = 64 // BLOCK_BITS
-    blocks = F.array(*[F.struct(F.lit(i).alias("blk"), F.shiftrightunsigned(F.col(f"w{i // per}"), BLOCK_BITS * (i % per)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).alias("key")) for i in range(N_BLOCKS)])
-    return reps.select("*", F.explode(blocks).alias("e")).select("e.blk", "e.key", "rid", "label", *(f"w{i}" for i in range(WIDE)))
-
-
-def _candidates(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """(a, b): entries of a bucket within REACH whose labels differ and whose distance in the bucket's Gray order is over ``low`` and at most ``high``."""
+def _candidates(rows: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
+    """(a, b): entries of a bucket that can be similar enough, whose labels differ and whose distance in the bucket's order is over ``low`` and at most ``high``."""
     spark = rows.sparkSession
-    parts = _split_hot(rows, ["blk", "key"], F.xxhash64("rid"), BUCKET).select("blk", "key", "part.x", "part.y", _gray(F.col("w0")).alias("gray"), "rid", "label", *(f"w{i}" for i in range(WIDE)))
-    dealt = parts.repartition(parallelism(spark), "blk", "key", "x", "y").sortWithinPartitions("blk", "key", "x", "y", "gray", "rid")
+    parts = _split_hot(rows, ["key"], F.xxhash64("rid"), BUCKET).select("key", "part.x", "part.y", "m", "rid", "label", "n", "pos")
+    dealt = parts.repartition(parallelism(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y", "m", "rid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, t in _whole_groups(batches, [0, 1, 2, 3], RUN):
-            rid, label = t.column(5).to_numpy(), t.column(6).to_numpy()
-            prints = np.stack([t.column(7 + i).to_numpy().view(np.uint64) for i in range(WIDE)], axis=1)
-            most = int(np.bincount(group).max())
-            if low == 0 and most - 1 > 4 * high or low:
-                found = _near_in_order(group, label, prints, low, min(high, most - 1))
-            else:
-                found = ((i, j) for i, j in hi.Tree(group, prints).pairs(REACH) if len(i))
-            for i, j in found:
-                ok = (label[i] != label[j]) & (j - i > low) & (j - i <= high)
-                if ok.any():
-                    a, b = rid[i[ok]], rid[j[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for group, t in _whole_groups(batches, [0, 1, 2], RUN):
+            rid, label, n, pos = (t.column(i).to_numpy() for i in (4, 5, 6, 7))
+            for i, j in _near_in_order(group, label, n, pos, low, high, threshold):
+                a, b = rid[i], rid[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _near_in_order(group: np.ndarray, label: np.ndarray, prints: np.ndarray, low: int, high: int):
-    for d in range(low + 1, high + 1):
+def _near_in_order(group: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, low: int, high: int, threshold: float):
+    """Pairs of a group whose sizes, and the shingles from the shared one on, leave room for the similarity."""
+    for d in range(low + 1, min(high, int(np.bincount(group).max()) - 1) + 1):
         i = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]))
-        if not len(i):
-            if not (group[d:] == group[:-d]).any():
-                return
-            continue
-        near = np.zeros(len(i), np.int64)
-        for w in range(prints.shape[1]):
-            near += np.bitwise_count(prints[i, w] ^ prints[i + d, w])
-        i = i[near <= REACH]
-        if len(i):
-            yield i, i + d
+        j = i + d
+        need = np.maximum(threshold / (1 + threshold) * (n[i].astype(np.int64) + n[j]), threshold * np.maximum(n[i], n[j])) - 1e-6
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+        if ok.any():
+            yield i[ok], j[ok]
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -280,26 +287,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
     rid is the id, or for a null id a negative number made from the text.
     """
     src = docs.select(row_id(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    profiles, _ = save(_profiles(src), "profiles")
-    wide = [f"w{i}" for i in range(WIDE)]
-    reps, _ = save(profiles.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), *[F.min(w).alias(w) for w in wide]).drop("c1", "c2"), "texts")
+    profiles, _ = save(_profiles(src, shingle, threshold, _common_shingles(src, shingle)), "profiles")
+    reps, _ = save(profiles.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("p").alias("p")).drop("c1", "c2"), "texts")
     links = None
-    sets = sets_of = None
-    label = reps.select("*", F.col("rid").alias("label"))
+    sets = None
+    rows = reps.select("rid", "n", F.get("p", F.lit(0)).alias("m"), F.posexplode("p").alias("pos", "key"))
+    found = None
     low = 0
     for high in STEPS:
-        rows = _bucket_rows(label)
         if low:
-            full = rows.groupBy("blk", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > low + 1).drop("n")
-            rows = rows.join(full, ["blk", "key"], "left_semi")
-            rows, rows_path = save(rows, "full-buckets")
+            full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > low + 1).select("key")
+            rows, _ = save(rows.join(full, "key", "left_semi"), "full-buckets")
             if rows.isEmpty():
                 break
-        pairs, _ = save(_candidates(rows, low, high), "candidates")
+        label = F.col("rid")
+        labelled = rows
+        if found is not None:
+            labelled, label = rows.join(found.withColumnRenamed("node", "rid"), "rid", "left"), F.coalesce("component", "rid")
+        pairs, _ = save(_candidates(labelled.withColumn("label", label), low, high, threshold), "candidates")
         members = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-        if sets_of is None:
+        if sets is None:
             sets, _ = save(_shingles(src.join(members, "rid", "left_semi").dropDuplicates(["rid"]), shingle), "shingles")
-            sets_of = members
         else:
             more = members.join(sets.select("rid"), "rid", "left_anti")
             more, _ = save(_shingles(src.join(more, "rid", "left_semi").dropDuplicates(["rid"]), shingle), "shingles")
@@ -307,7 +315,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, i
         good, _ = save(_verified(pairs, sets, threshold), "near-pairs")
         links = good if links is None else links.unionByName(good)
         found, _ = save(connected_components(links), "classes")
-        label = reps.join(found, reps.rid == found.node, "left").select(*reps.columns, F.coalesce("component", "rid").alias("label"))
         low = high
     own = profiles.select("rid", "c1", "c2").join(profiles.groupBy("c1", "c2").agg(F.min("rid").alias("rep")), ["c1", "c2"]).select("rid", "rep")
     roots = own.join(found, own.rep == found.node, "left").select("rid", F.coalesce("component", "rep").alias("component"))

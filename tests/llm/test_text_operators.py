@@ -402,6 +402,26 @@ def test_near_duplicates(spark, monkeypatch, none, steps):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("common", [simhash.COMMON, 2])
+def test_near_duplicates_with_edited_runs(spark, monkeypatch, common):
+    """Pairs at 0.8 whose edit is one run: appended, put in front, cut off or rewritten at the end."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rnd = random.Random(16)
+    say = lambda n: [f"w{int(rnd.paretovariate(0.7)) % 5000}" for _ in range(n)]
+    rows, shingles = [], lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for k in range(240):
+        n = rnd.choice((60, 100, 300))
+        a, line = say(n), say(8) if k % 5 else ["this", "line", "stands", "in", "many", "texts", "of", "all"]
+        new = say(int(n * 0.24))
+        b = {0: a + new, 1: new + a, 2: a[: -int(n * 0.19)], 3: a[: -int(n * 0.1)] + new[: int(n * 0.1)]}[k % 4]
+        x, y = (" ".join([*line, *w]) for w in (a, b))
+        if len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)):
+            rows += [(2 * k, x), (2 * k + 1, y)]
+    assert len(rows) > 300
+    got = {r.rid: r.component for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 # --- 6 -----------------------------------------------------------------------------------------------
 
 TEXTS = [
