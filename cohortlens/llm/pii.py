@@ -1,7 +1,8 @@
 """Personal data and secrets replaced by keyed surrogates, in DataFrame functions only.
 
-Entities: e-mail addresses, phone numbers, IP addresses, payment cards, social security numbers,
-access keys, hexadecimal secrets, and names after a title.  An entity's canonical form (lower case,
+Entities: e-mail addresses, phone numbers, IP addresses of both versions, payment cards, social
+security numbers, access keys, hexadecimal secrets, and names after a title with their bare mentions
+in the same text.  A run of 13 to 19 digits other than 16 is a card only if its check digit holds.  An entity's canonical form (lower case,
 digits alone (after the country code), the words of a name) gets a surrogate from a keyed digest, of the same type and
 format: digits for digits, card check digits that hold (or fail) as before, first names by the
 title's gender and in the script of the original.  Collisions are checked over all entities of the
@@ -22,27 +23,47 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import documents, save
 
 #: Titles by gender, syllables of made names by script, and endings by gender.
-TITLES_M = ("Mr", "Herr", "Señor", "Monsieur", "господин", "Sir")
-TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "госпожа")
+TITLES_M = ("Mr", "Mister", "Herr", "Señor", "Sr", "Don", "don", "Monsieur", "Signor", "господин", "Господин", "пан", "Пан", "Sir")
+TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Doña", "doña", "Madame", "Mme", "Mlle", "Signora", "госпожа", "Госпожа", "пани", "Пани", "пані", "Пані", "Lady")
+#: Titles that tell no gender.
+TITLES_N = ("Dr", "Doctor", "Doktor", "Prof", "Professor", "доктор", "Доктор", "профессор", "Профессор")
+_TITLES = "|".join(sorted((*TITLES_M, *TITLES_F, *TITLES_N), key=len, reverse=True))
 SYLLABLES = {
     "latin": ("ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "he", "ka", "ke", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "ra", "re", "ro", "sa", "se", "ta", "te", "va"),
     "cyrillic": ("ба", "бе", "бо", "ва", "ве", "га", "го", "да", "де", "до", "за", "зо", "ка", "ке", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "ра", "ре", "ро", "са", "се", "та", "те", "то"),
 }
-ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("latin", "l"): "rd", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на", ("cyrillic", "l"): "нко"}
+ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("latin", "n"): "l", ("latin", "l"): "rd", ("cyrillic", "n"): "ль", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на", ("cyrillic", "l"): "нко"}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{Lu}\p{L}+)*"
+#: Words and what stands between them; a name with a hyphen or O' is one word.
+_TOKENS = r"(?s)(?:\p{Lu}['’](?=\p{Lu}))?\p{L}+(?:-\p{Lu}\p{L}+)*|\P{L}+"
+_PHONES = (
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)",
+    r"\+\d(?:[ .()/-]{0,2}\d){7,14}(?!\d)",
+    r"\+\d{1,3}(?:[.-]\d{2,4}){2,4}(?!\d)",
+    r"(?<![\d+])\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)",
+    *(rf"(?<![\w+-])(?<!\d\.)[2-9]\d{{2}}{c}\d{{3}}{c}\d{{4}}(?![\w-])(?!\.\d)" for c in (" ", r"\.", "-")),
+    r"(?<![\w+])\(0\d{1,4}\) ?\d{3,4}[ -]?\d{3,5}(?!\d)",
+    r"(?<![\w+-])(?<!\d\.)0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\w-])(?!\.\d)",
+)
+#: Calling codes of one and two digits; the others have three.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
 #: What each kind looks like, the first that fits wins.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
-    "phone": r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[.-]\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    "phone": "|".join(_PHONES),
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:|::{_HEX}(?::{_HEX}){{0,6}})(?![0-9A-Za-z:])(?!\.\d)",
     "ip": rf"(?<!\d)(?<!\d\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d)(?!\.\d)",
-    "card": r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)",
+    "card": r"(?<!\d)(?:(?:5[0678]|6\d)\d\d(?:[ -]\d{4}){3}[ -]\d{1,3}(?![\d-])|(?:\d{4}[ -]?){3}\d{4}|3\d{3}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "key": r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(sorted((*TITLES_M, *TITLES_F), key=len, reverse=True))})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? {_WORD}(?: (?:\p{{Lu}}\. )*{_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_QUICK = rf"[0-9@]|(?:{'|'.join((*TITLES_M, *TITLES_F))})\.? \p{{Lu}}|[0-9a-f]{{32}}|AKIA"
+_QUICK = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|[0-9a-f]{{32}}|AKIA"
 KEY = "cohortlens-surrogates-1"
 ATTEMPTS, CROWDED = 64, 8
 
@@ -88,7 +109,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _made_name(kind: Column, digest: Column) -> Column:
-    """kind is ``name-<script>-<m, f or l>``."""
+    """kind is ``name-<script>-<m, f, n or l>``."""
     out = F
     for (script, role), end in ENDINGS.items():
         table = F.array(*[F.lit(s) for s in SYLLABLES[script]])
@@ -115,6 +136,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         F.when(kind == "email", email)
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ip", octets)
+        .when(kind == "ipv6", F.concat(F.lit("2001:0db8:"), F.regexp_replace(F.left(digest, F.lit(24)), "(.{4})(?!$)", "$1:")))
         .when(kind == "key", F.concat(F.lit("AKIA"), key_signs))
         .when(kind == "secret", secret)
         .when(kind == "phone", F.concat(F.substring_index(canon, "|", 1), F.lit("|"), _spell(F.substring_index(canon, "|", -1), digest)))
@@ -143,21 +165,25 @@ def assign(found: DataFrame, key: str) -> DataFrame:
 
 
 def _surfaces(distinct: DataFrame) -> DataFrame:
-    """(e, kind, k1, c1, k2, c2): each surface form with the canonical entities that it names."""
+    """(e, kind, k1, c1, k2, c2): each surface form with the canonical entities that it names, none for a run of digits that is no card."""
     kind = _kind(F.col("e"))
     with_kind = distinct.select("e", kind.alias("kind"))
     words = F.split("e", " ")
     title = F.regexp_replace(words[0], "\\.$", "")
     script = F.when(F.element_at(words, -1).rlike("\\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(title.isin(*TITLES_M), "m").otherwise("f")
+    gender = F.when(title.isin(*TITLES_M), "m").when(title.isin(*TITLES_N), "n").otherwise("f")
     last, first = F.lower(F.element_at(words, -1)), F.when(F.size(words) > 2, F.lower(words[1]))
-    country = F.regexp_extract("e", "^\\+(\\d+)", 1)
-    number = F.concat(country, F.lit("|"), F.regexp_replace(F.regexp_replace("e", "^\\+\\d+", ""), "[^0-9]", ""))
-    canon = F.when(F.col("kind") == "phone", number).when(F.col("kind").isin("card", "ssn"), F.regexp_replace("e", "[^0-9]", "")).when(F.col("kind") == "email", F.lower("e")).otherwise(F.col("e"))
+    digits = F.regexp_replace("e", "[^0-9]", "")
+    number = F.when(F.col("e").startswith("+"), F.regexp_replace(digits, _COUNTRY, "$1|")).otherwise(F.concat(F.lit("|"), digits))
+    left, right = (F.filter(F.split(x, ":"), lambda g: g != "") for x in (F.substring_index("e", "::", 1), F.when(F.contains("e", F.lit("::")), F.substring_index("e", "::", -1)).otherwise("")))
+    gap = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
+    address = F.array_join(F.transform(F.concat(left, gap, right), lambda g: F.lpad(F.lower(g), 4, "0")), ":")
+    canon = F.when(F.col("kind") == "phone", number).when(F.col("kind").isin("card", "ssn"), digits).when(F.col("kind") == "ipv6", address).when(F.col("kind") == "email", F.lower("e")).otherwise(F.col("e"))
     named = F.col("kind") == "name"
+    wrong = (F.col("kind") == "card") & F.col("e").rlike("^\\d+$") & (F.length("e") != 16) & (_luhn(F.left("e", F.length("e") - 1)) != F.right("e", F.lit(1)).cast("int"))
     return with_kind.select(
         "e", "kind",
-        F.when(named, F.concat(F.lit("name-"), script, F.lit("-l"))).otherwise(F.col("kind")).alias("k1"),
+        F.when(named, F.concat(F.lit("name-"), script, F.lit("-l"))).when(~wrong, F.col("kind")).alias("k1"),
         F.when(named, last).otherwise(canon).alias("c1"),
         F.when(named & first.isNotNull(), F.concat(F.lit("name-"), script, F.lit("-"), gender)).alias("k2"),
         F.when(named, first).alias("c2"),
@@ -187,19 +213,35 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_col: str = "text", count_c
     lists = marked.select("__e").groupBy(F.xxhash64("__e").alias("__k1"), F.xxhash64(F.lit(1), "__e").alias("__k2")).agg(F.first("__e").alias("es"))
     each, _ = save(lists.select("__k1", "__k2", F.posexplode("es").alias("pos", "e")), "entities")
     surfaces, _ = save(_surfaces(each.select("e").distinct()), "surfaces")
-    found = surfaces.select(F.col("k1").alias("kind"), F.col("c1").alias("canon")).union(surfaces.where("k2 is not null").select("k2", "c2")).distinct()
+    found = surfaces.where("k1 is not null").select(F.col("k1").alias("kind"), F.col("c1").alias("canon")).union(surfaces.where("k2 is not null").select("k2", "c2")).distinct()
     made = assign(found, key)
     one, two = made.select(F.col("kind").alias("k1"), F.col("canon").alias("c1"), "made"), made.select(F.col("kind").alias("k2"), F.col("canon").alias("c2"), F.col("made").alias("made2"))
-    dressed = surfaces.join(one, ["k1", "c1"]).join(two, ["k2", "c2"], "left").select("e", _dressed(F.col("made"), F.col("made2")).alias("sur"))
-    answers = each.join(dressed, "e").groupBy("__k1", "__k2").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sur"))), lambda x: x["sur"]).alias("__s"))
+    # bare mentions: the words of a name, in lower case, with what stands for them
+    pair = lambda word, by: F.struct(word.alias("word"), by.alias("by"))
+    parts = F.when(F.col("kind") == "name", F.filter(F.array(pair(F.col("c1"), F.col("made")), pair(F.col("c2"), F.col("made2"))), lambda x: x["word"].isNotNull()))
+    dressed = surfaces.join(one, ["k1", "c1"], "left").join(two, ["k2", "c2"], "left").select("e", F.when(F.col("k1").isNull(), F.col("e")).otherwise(_dressed(F.col("made"), F.col("made2"))).alias("sur"), parts.alias("parts"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "sur", "parts")))
+    answers = each.join(dressed, "e").groupBy("__k1", "__k2").agg(listed.alias("l"))
+    answers = answers.select("__k1", "__k2", F.transform("l", lambda x: x["sur"]).alias("__s"), F.array_distinct(F.flatten(F.filter(F.transform("l", lambda x: x["parts"]), lambda x: x.isNotNull()))).alias("__n"))
     answers, _ = save(answers, "answers")
     gaps = F.split(text, ANY, -1)
-    filled = F.array_join(F.zip_with(gaps, F.array_append("__s", F.lit("")), lambda a, b: F.concat(a, b)), "")
+    known = F.transform("__n", lambda x: x["word"])
+    bare = lambda t: t.rlike("^\\p{Lu}") & F.array_contains(known, F.lower(t))
+    tokens = lambda g: F.regexp_extract_all(g, F.lit(_TOKENS), F.lit(0))
+    meant = lambda t: F.when(bare(t), F.get(F.filter("__n", lambda x: x["word"] == F.lower(t)), F.lit(0))["by"]).otherwise(t)
+    mentions = lambda g: F.exists(known, lambda w: F.contains(F.lower(g), w))
+    unnamed = lambda g: F.when(mentions(g), F.array_join(F.transform(tokens(g), meant), "")).otherwise(g)
+    filled = F.array_join(F.zip_with(gaps, F.array_append("__s", F.lit("")), lambda a, b: F.concat(unnamed(a), b)), "")
     keyed = marked.withColumns({"__k1": F.xxhash64("__e"), "__k2": F.xxhash64(F.lit(1), "__e")})
-    done = keyed.join(answers, ["__k1", "__k2"]).withColumn(text_col, filled)
+    done = keyed.join(answers, ["__k1", "__k2"])
     rest = tagged.where(~has)
     if count_col:
-        done, rest = done.withColumn(count_col, F.size("__s")), rest.withColumn(count_col, F.lit(0))
+        in_gaps = F.aggregate(gaps, F.lit(0), lambda n, g: n + F.when(mentions(g), F.size(F.filter(tokens(g), bare))).otherwise(0))
+        replaced = F.size(F.filter(F.zip_with("__e", "__s", lambda a, b: a != b), lambda x: x))
+        done, rest = done.withColumn("__count", replaced + in_gaps), rest.withColumn(count_col, F.lit(0))
+    done = done.withColumn(text_col, filled)
+    if count_col:
+        done = done.withColumn(count_col, F.col("__count"))
     names = [*docs.columns, *([count_col] if count_col and count_col not in docs.columns else [])]
     return rest.select(*names).unionByName(done.select(*names))
 

@@ -459,6 +459,31 @@ def test_pii(spark, none):
     assert pii.replace_pii(none).count() == 0
 
 
+def test_pii_of_more_shapes(spark):
+    phones = ["+44 20 7946 0958", "+1 415 555 0123", "+49 30 1234567", "+14155550123", "555-123-4567", "415.555.0123", "(030) 1234567", "020 7946 0958", "+33-1-42345678"]
+    cards = ["3782 822463 10005", "378282246310005", "6011 0000 0000 0000 123", "4222222222222"]
+    others = ["2001:db8:85a3::8a2e:370:7334", "fe80::1", "2001:0DB8:85A3:0:0:8A2E:370:7334"]
+    rows = [(k, f"call {x} now") for k, x in enumerate([*phones, *cards, *others])]
+    rows += [(100, "Dr. John F. O'Brien met Prof. Smith-Jones and Mr. Paul McDonald. Then O'Brien's dog bit McDonald; JOHN and Smith-Jones left, paul too, O'Briens not."), (101, "Smith and John stay, doña Ana Ruiz goes, Ruiz and Ana too")]
+    rows += [(200, "id 1700000000001 at 12:30:45, std::vector, a::b, 1.2.3, 2024-01-15, 2001-2002 and 12.50")]
+    got = {r.doc_id: r for r in pii.replace_pii(frame(spark, rows), count_col="n").collect()}
+    shape = lambda t: re.sub(r"\d", "9", t)
+    for k, x in enumerate([*phones, *cards, *others]):
+        assert x not in got[k].text and got[k].n == 1, x
+        if x not in others:
+            assert shape(got[k].text) == shape(rows[k][1]), x
+    assert got[1].text.replace(" ", "")[4:-3] == got[3].text.replace(" ", "")[4:-3]
+    n = len(phones)
+    assert luhn_ok(got[n].text) and re.sub(r"\D", "", got[n].text) == re.sub(r"\D", "", got[n + 1].text) and luhn_ok(got[n + 3].text)
+    assert got[n + 4].text == got[n + 6].text != got[n + 5].text
+    a, b = got[100].text, got[101].text
+    assert not re.search("O'Brien\\b|McDonald|Smith|Jones|John|JOHN|Paul", a) and "paul too" in a and got[100].n == 7
+    m = re.match(r"Dr\. (\w+) (\w+) met Prof\. (\w+) and Mr\. (\w+) (\w+)\. Then (\w+)'s dog bit (\w+); (\w+) and (\w+) left", a)
+    assert (m[1], m[2], m[3], m[5]) == (m[8], m[6], m[9], m[7])
+    assert b.startswith("Smith and John stay, doña ") and not re.search("Ana|Ruiz", b)
+    assert got[200].text == rows[-1][1] and got[200].n == 0
+
+
 def test_surrogates_stay_distinct(spark):
     found = spark.createDataFrame([("email", f"{a}{b}@x.org") for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"], "kind string, canon string")
     got = pii.assign(found, "k").collect()
