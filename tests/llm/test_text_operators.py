@@ -518,6 +518,26 @@ def test_quality_edges(spark, docs, none):
 # --- 8 -----------------------------------------------------------------------------------------------
 
 
+def test_contamination_between_alignments(spark):
+    """Passages changed at both ends with words put in between: the best window begins at no shared shingle's alignment."""
+    rnd = random.Random(18)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    items, rows = [], []
+    for k, (n, end, middle) in enumerate([(200, 6, 12), (300, 10, 20), (100, 3, 6), (60, 1, 2), (200, 12, 24)]):
+        w = say(n)
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join([*say(40), *say(end), *w[end : n // 2], *say(middle), *w[n // 2 : n - end], *say(end), *say(40)])))
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    best = {}
+    for (k, t), (_, it) in zip(rows, items, strict=True):
+        w, v = t.split(), it.split()
+        common = max(sum((bag(w[s : s + len(v)]) & bag(v)).values()) for s in range(len(w) - len(v) + 1))
+        best[k] = common / (2 * (len(v) - 4) - common)
+    got = {r.doc_id: r.similarity for r in decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [best[k] >= 0.8 for k in range(5)] == [True] * 4 + [False]
+    assert got == {k: pytest.approx(b) if b >= 0.8 else None for k, b in best.items()}
+
+
 def test_contamination(spark, none):
     rnd = random.Random(8)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(500)]
