@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
@@ -42,6 +44,7 @@ def _clean() -> None:
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`new_path` named, once nothing reads it any more."""
     _delete(spark, path)
+    _OWN[:] = [x for x in _OWN if x[1] != path]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,6 +62,41 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Tables:
+    """Intermediate tables of one job, freed together once what they lead to is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = save(df, name)
+        self.paths.append(path)
+        return out
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_table(self.spark, path)
+        self.paths.clear()
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,6 +110,11 @@ def row_key(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(7), *reversed(cols)).alias("k2")]
 
 
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """:func:`row_key` of a document's id and text."""
+    return row_key(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,4 +1,8 @@
-"""Connected components of a large graph by alternating large-star and small-star steps."""
+"""Connected components of a large graph by alternating large-star and small-star steps.
+
+Defined results: a graph without links has no rows; loops and repeated links change nothing; ids may
+be any longs but null, and links with a null end are ignored; a node without a link is not listed.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +18,8 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "a")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node with a link; the component is its least node.
+def connected_components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component) for every node with a link, and the path of the table behind it; the component is its least node.
 
     edges: (a long, b long), any order, loops and repeats allowed.  Nothing but a count and a
     checksum reaches the driver.  Each step writes its links to the shared folder, so that a lost
@@ -35,5 +39,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now, path = nxt, nxt_path
         got = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).collect()[0]
         if (got.n, got.h) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), path
         mark = (got.n, got.h)

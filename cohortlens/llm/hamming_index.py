@@ -4,6 +4,9 @@ Fingerprints of a group are sorted by Gray rank, so that neighbours share bits.
 entries form a node that keeps the bits all of them share (``ones`` = AND, ``some`` = OR); nodes
 form higher nodes likewise.  Two nodes differ at least where one has only ones and the other only
 zeros; whole groups are pruned as soon as these differences exceed the radius.
+
+Defined results: no entries give no links; equal fingerprints are linked whatever the radius; entries
+of different groups are never linked.
 """
 
 from __future__ import annotations
@@ -122,14 +125,18 @@ def _chunks(sizes: np.ndarray, most: int):
             yield slice(a, b)
 
 
-def spanning_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(group: np.ndarray, prints: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (entry, least entry of its set) that join all entries of a group connected within the radius.
 
-    Entries must come sorted by (group, Gray rank).
+    Entries must come sorted by (group, Gray rank).  Entries of a group with one ``label`` count as joined.
     """
     n = len(group)
     parent = np.arange(n)
     if n > 1:
+        if label is not None:
+            order = np.lexsort((label, group))
+            same = (group[order][1:] == group[order][:-1]) & (label[order][1:] == label[order][:-1])
+            union(parent, order[:-1][same], order[1:][same])
         a = np.flatnonzero(group[1:] == group[:-1])
         d = np.zeros(len(a), np.int64)
         for w in range(prints.shape[1]):

@@ -7,12 +7,7 @@ hierarchical index (``hamming_index``) finds the neighbours.  Equal fingerprints
 a bucket emits spanning links only, so no group is expanded into pairs.  A bucket over ``BUCKET``
 entries is dealt in chunks, every pair of chunks to a task.
 
-``near_duplicates`` finds all documents with a Jaccard similarity of 0.8 or more over five-word
-shingles.  Candidates come from prefix filtering, which loses no pair: shingles have one order, the
-common ones last, and two similar documents share one among the first fifth of either's.  A bucket
-holds the documents with one such shingle, and the exact similarity decides.  In buckets with many
-entries, entries are compared with those that stand near them first; later rounds compare those
-further away, unless they are in one component already, until all are compared.
+Near-duplicates at a similarity, by the same index, are in ``near_duplicates``.
 
 Defined results: a null text is an empty one; a document without words has fingerprint zero and is
 linked like any other; repeated rows are members of one class; a null id stays null and never names
@@ -25,13 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import hamming_index as hi
-from cohortlens.llm.common import documents, drop_table, parallelism, save
+from cohortlens.llm.common import Tables, documents, parallelism, save
 from cohortlens.llm.components import connected_components
 
 #: Entries of a bucket that one task takes at once.
@@ -105,9 +99,10 @@ def _split_hot(rows: DataFrame, keys: list[str], spread: Column, most: int) -> D
     return rows.join(hot, keys, "left").withColumn("part", F.explode(parts)).drop("chunks")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key_columns: list[int], most: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
-    """Runs of whole groups of rows sorted by their keys, with a group number for each row."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key_columns: list[int], most: int, weight=lambda b: b.num_rows) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Runs of whole groups of rows sorted by their keys, of about that weight, with a group number for each row."""
     held: list[pa.RecordBatch] = []
+    holds = 0
 
     def numbered(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows, bool)
@@ -117,8 +112,11 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key_columns: list[int], mos
         return np.cumsum(new)
 
     for b in batches:
+        if not b.num_rows:
+            continue
         held.append(b)
-        if sum(x.num_rows for x in held) < most:
+        holds += weight(b)
+        if holds < most:
             continue
         t = pa.Table.from_batches(held)
         g = numbered(t)
@@ -126,10 +124,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key_columns: list[int], mos
         if cut:
             yield g[:cut], t.slice(0, cut)
         held = t.slice(cut).combine_chunks().to_batches()
+        holds = sum(map(weight, held))
     if held:
         t = pa.Table.from_batches(held)
-        if t.num_rows:
-            yield numbered(t), t
+        yield numbered(t), t
 
 
 def hamming_links(reps: DataFrame, radius: int = 3) -> DataFrame:
@@ -143,7 +141,7 @@ def hamming_links(reps: DataFrame, radius: int = 3) -> DataFrame:
     dealt = rows.repartition(parallelism(spark), "t", "key", "x", "y").sortWithinPartitions("t", "key", "x", "y", "gray")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, t in _whole_groups(batches, [0, 1, 2, 3], RUN):
+        for group, t in whole_groups(batches, [0, 1, 2, 3], RUN):
             lonely = np.concatenate([[False], group[1:] == group[:-1]])
             keep = lonely | np.concatenate([lonely[1:], [False]])
             if not keep.any():
@@ -159,181 +157,18 @@ def hamming_links(reps: DataFrame, radius: int = 3) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints, _ = save(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    named = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    # a class needs a name even if its ids are all null: its fingerprint, below all ids
-    reps, _ = save(named.select("fp", "least", F.coalesce("least", F.lit(-(2**62)) + F.shiftrightunsigned("fp", 2)).alias("rep")), "fingerprint-classes")
-    found = connected_components(hamming_links(reps.select("fp", "rep"), radius))
-    known = reps.join(found, reps.rep == found.node, "left").select("fp", "least", F.coalesce("component", "rep").alias("root"))
-    names = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = known.join(names, "root").select("fp", "component_id")
+    with Tables(docs.sparkSession) as tables:
+        named = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        # a class needs a name even if its ids are all null: its fingerprint, below all ids
+        reps = tables.save(named.select("fp", "least", F.coalesce("least", F.lit(-(2**62)) + F.shiftrightunsigned("fp", 2)).alias("rep")), "fingerprint-classes")
+        found, path = connected_components(hamming_links(reps.select("fp", "rep"), radius))
+        tables.paths.append(path)
+        known = reps.join(found, reps.rep == found.node, "left").select("fp", "least", F.coalesce("component", "rep").alias("root"))
+        names = known.groupBy("root").agg(F.min("least").alias("component_id"))
+        labels, _ = save(known.join(names, "root").select("fp", "component_id"), "labels")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(labels, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
-
-
-# --- near-duplicates by exact similarity -------------------------------------------------------
-
-#: Entries of a bucket that an entry is compared with in the rounds, nearest first.
-STEPS = (4, 64, 1024, 1 << 15, 1 << 20)
-#: Common shingles are looked for in so many texts, are in so many of those at least, and are at most so many.
-SAMPLE, COMMON, LISTED = 20_000, 5, 100_000
-
-
-def _common_shingles(src: DataFrame, k: int) -> np.ndarray:
-    """The shingles that stand in most texts of a sample, rarest first.
-
-    They only say which shingles are looked up last, so a sample loses no pair.
-    """
-    every = max(1, src.count() // SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in enumerate(b.column(0)):
-                s = np.unique(shingle_hashes(words_of(t.as_py()), k)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), b.column(1)[i].as_py(), np.int64)), pa.array(s)], names=["t", "s"])
-
-    some = src.select("text", F.xxhash64("text").alias("t")).where(F.pmod("t", F.lit(every)) == 0)
-    counted = some.mapInArrow(run, "t long, s long").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    return np.array([r.s for r in counted.orderBy(F.desc("n"), "s").limit(LISTED).collect()][::-1], np.int64).view(np.uint64)
-
-
-def prefix(distinct: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The first shingles of a sorted set in one order of all shingles, by hash and the ``common`` last.
-
-    Sets with a similarity of ``threshold`` share at least that part of either, so the first shingle
-    that they share is among the first ``n - ceil(threshold * n) + 1`` of both.
-    """
-    n = len(distinct)
-    order = np.argsort(common)
-    at = np.searchsorted(common, distinct, sorter=order)
-    where = order[np.minimum(at, len(common) - 1)] if len(common) else np.zeros(n, np.int64)
-    place = np.where(common[where] == distinct, where + 1, 0) if len(common) else where
-    return distinct[np.argsort(place, kind="stable")][: n - int(np.ceil(threshold * n - 1e-9)) + 1] if n else distinct
-
-
-def _profiles(docs: DataFrame, k: int, threshold: float, common: np.ndarray) -> DataFrame:
-    """(rid, c1, c2, n, p): the content key of a document's word sequence, the number of its distinct shingles and their prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c1, c2, n, first = [], [], [], []
-            for t in b.column(1):
-                w = words_of(t.as_py())
-                line = b" ".join(w)
-                c1.append(xxhash.xxh64_intdigest(line, 1))
-                c2.append(xxhash.xxh64_intdigest(line, 2))
-                s = np.unique(shingle_hashes(w, k))
-                n.append(len(s))
-                first.append(prefix(s, common, threshold).view(np.int64))
-            upto = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(first) if first else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in (c1, c2)), pa.array(n, pa.int32()), lists], names=["rid", "c1", "c2", "n", "p"])
-
-    return docs.select("rid", "text").mapInArrow(run, "rid long, c1 long, c2 long, n int, p array<long>")
-
-
-def _shingles(docs: DataFrame, k: int) -> DataFrame:
-    """(rid, s): the sorted distinct shingle hashes of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(words_of(t.as_py()), k)).view(np.int64) for t in b.column(1)]
-            upto = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], names=["rid", "s"])
-
-    return docs.select("rid", "text").mapInArrow(run, "rid long, s array<long>")
-
-
-def _candidates(rows: DataFrame, low: int, high: int, threshold: float) -> DataFrame:
-    """(a, b): entries of a bucket that can be similar enough, whose labels differ and whose distance in the bucket's order is over ``low`` and at most ``high``."""
-    spark = rows.sparkSession
-    parts = _split_hot(rows, ["key"], F.xxhash64("rid"), BUCKET).select("key", "part.x", "part.y", "m", "rid", "label", "n", "pos")
-    dealt = parts.repartition(parallelism(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y", "m", "rid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, t in _whole_groups(batches, [0, 1, 2], RUN):
-            rid, label, n, pos = (t.column(i).to_numpy() for i in (4, 5, 6, 7))
-            for i, j in _near_in_order(group, label, n, pos, low, high, threshold):
-                a, b = rid[i], rid[j]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _near_in_order(group: np.ndarray, label: np.ndarray, n: np.ndarray, pos: np.ndarray, low: int, high: int, threshold: float):
-    """Pairs of a group whose sizes, and the shingles from the shared one on, leave room for the similarity."""
-    for d in range(low + 1, min(high, int(np.bincount(group).max()) - 1) + 1):
-        i = np.flatnonzero((group[d:] == group[:-d]) & (label[d:] != label[:-d]))
-        j = i + d
-        need = np.maximum(threshold / (1 + threshold) * (n[i].astype(np.int64) + n[j]), threshold * np.maximum(n[i], n[j])) - 1e-6
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-        if ok.any():
-            yield i[ok], j[ok]
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    left, right = sets.select(F.col("rid").alias("a"), F.col("s").alias("sa")), sets.select(F.col("rid").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, component): the class of each document that has a near-duplicate; the class is named by its least rid.
-
-    rid is the id, or for a null id a negative number made from the text.
-    """
-    src = docs.select(row_id(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    profiles, _ = save(_profiles(src, shingle, threshold, _common_shingles(src, shingle)), "profiles")
-    reps, _ = save(profiles.groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("p").alias("p")).drop("c1", "c2"), "texts")
-    links = None
-    sets = None
-    rows = reps.select("rid", "n", F.get("p", F.lit(0)).alias("m"), F.posexplode("p").alias("pos", "key"))
-    found = None
-    low = 0
-    for high in STEPS:
-        if low:
-            full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > low + 1).select("key")
-            rows, _ = save(rows.join(full, "key", "left_semi"), "full-buckets")
-            if rows.isEmpty():
-                break
-        label = F.col("rid")
-        labelled = rows
-        if found is not None:
-            labelled, label = rows.join(found.withColumnRenamed("node", "rid"), "rid", "left"), F.coalesce("component", "rid")
-        pairs, _ = save(_candidates(labelled.withColumn("label", label), low, high, threshold), "candidates")
-        members = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-        if sets is None:
-            sets, _ = save(_shingles(src.join(members, "rid", "left_semi").dropDuplicates(["rid"]), shingle), "shingles")
-        else:
-            more = members.join(sets.select("rid"), "rid", "left_anti")
-            more, _ = save(_shingles(src.join(more, "rid", "left_semi").dropDuplicates(["rid"]), shingle), "shingles")
-            sets = sets.unionByName(more)
-        good, _ = save(_verified(pairs, sets, threshold), "near-pairs")
-        links = good if links is None else links.unionByName(good)
-        found, _ = save(connected_components(links), "classes")
-        low = high
-    own = profiles.select("rid", "c1", "c2").join(profiles.groupBy("c1", "c2").agg(F.min("rid").alias("rep")), ["c1", "c2"]).select("rid", "rep")
-    roots = own.join(found, own.rep == found.node, "left").select("rid", F.coalesce("component", "rep").alias("component"))
-    return roots.distinct()
-
-
-def row_id(id_col: str, text_col: str) -> Column:
-    """The id; where it is null, a negative number made from the text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(-1) - F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2))
-
-
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the one with the least id; columns as they were."""
-    classes, _ = save(near_duplicates(docs, threshold, shingle, id_col, text_col), "near-classes")
-    gone = classes.where("component <> rid").select(F.col("rid").alias("__gone"))
-    kept = docs.join(gone, row_id(id_col, text_col) == F.col("__gone"), "left_anti")
-    # rows that repeat one id are rare; only they are compared whole
-    twice, _ = save(docs.select(row_id(id_col, text_col).alias("__twice")).groupBy("__twice").count().where("count > 1").select("__twice"), "repeated-ids")
-    if twice.isEmpty():
-        return kept
-    same = row_id(id_col, text_col) == F.col("__twice")
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, doc_fingerprint, hamming_index, packing, pii, quality, simhash, simple8b, substring_dedup, token_counts, token_file, tokens, url_filter
+from cohortlens.llm import decontaminate, doc_fingerprint, hamming_index, near_duplicates, packing, pii, quality, simhash, simple8b, substring_dedup, token_counts, token_file, tokens, url_filter
 from cohortlens.llm.common import new_path
 
 WORDS = ["the", "a", "of", "blick", "éa", "zorro", "in", "that", "<|endoftext|>", "don't", "x.y", "日本語"]
@@ -374,9 +374,26 @@ def test_gray_tree_finds_all_pairs():
         assert got == want
 
 
-@pytest.mark.parametrize("steps", [simhash.STEPS, (2, 8, 1 << 20)])
-def test_near_duplicates(spark, monkeypatch, none, steps):
-    monkeypatch.setattr(simhash, "STEPS", steps)
+def jaccard_classes(rows):
+    sets = []
+    for _, t in rows:
+        w = simhash.words_of(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    return brute_components([i for i, _ in rows], lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
+def classes_of(df):
+    by = collections.defaultdict(list)
+    for r in near_duplicates.near_duplicates(df)[0].collect():
+        by[r.component].append(r.id)
+    return {i: min(ids) for ids in by.values() for i in ids}
+
+
+@pytest.mark.parametrize(("bucket", "family"), [(near_duplicates.BUCKET, near_duplicates.FAMILY), (5, 6)])
+def test_near_duplicates(spark, monkeypatch, none, bucket, family):
+    """Families of edited copies, in one task and dealt over many."""
+    monkeypatch.setattr(near_duplicates, "BUCKET", bucket)
+    monkeypatch.setattr(near_duplicates, "FAMILY", family)
     rnd = random.Random(6)
     vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(800)]
     rows = []
@@ -388,38 +405,38 @@ def test_near_duplicates(spark, monkeypatch, none, steps):
                 w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
             rows.append((len(rows), " ".join(w)))
     rows += [(900, rows[0][1].upper()), (901, rows[0][1].replace(" ", "\n")), (902, ""), (903, " "), (904, "one"), (905, "one"), (905, "one"), (906, None)]
-    sets = []
-    for _, t in rows:
-        w = simhash.words_of(t)
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    alike = lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
-    want = brute_components([i for i, _ in rows], alike)
+    want = jaccard_classes(rows)
     df = frame(spark, rows)
-    got = {r.rid: r.component for r in simhash.near_duplicates(df).collect()}
-    assert got == {i: want[k] for k, (i, _) in enumerate(rows)}
-    kept = simhash.drop_near_duplicates(df)
+    assert classes_of(df) == {i: want[k] for k, (i, _) in enumerate(rows)}
+    kept = near_duplicates.drop_near_duplicates(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
-    assert simhash.drop_near_duplicates(none).count() == 0
+    assert near_duplicates.drop_near_duplicates(none).count() == 0
+
+
+def test_near_duplicates_of_one_id_on_two_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(3, b), (5, a), (5, b), (None, a), (None, None), (7, None), (7, ""), (7, "")]
+    kept = near_duplicates.drop_near_duplicates(frame(spark, rows)).select("doc_id", "text").collect()
+    same(kept, [(3, b), (None, a), (None, None)])
+    kept = near_duplicates.drop_near_duplicates(frame(spark, rows[:3])).select("doc_id", "text").collect()
+    same(kept, [(3, b), (5, a)])
 
 
-@pytest.mark.parametrize("common", [simhash.COMMON, 2])
-def test_near_duplicates_with_edited_runs(spark, monkeypatch, common):
-    """Pairs at 0.8 whose edit is one run: appended, put in front, cut off or rewritten at the end."""
-    monkeypatch.setattr(simhash, "COMMON", common)
+def test_near_duplicates_with_edited_runs(spark):
+    """Pairs at 0.8 whose edit is one run: appended, put in front, cut off or rewritten at the end; and very short texts."""
     rnd = random.Random(16)
     say = lambda n: [f"w{int(rnd.paretovariate(0.7)) % 5000}" for _ in range(n)]
     rows, shingles = [], lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
-    for k in range(240):
-        n = rnd.choice((60, 100, 300))
-        a, line = say(n), say(8) if k % 5 else ["this", "line", "stands", "in", "many", "texts", "of", "all"]
-        new = say(int(n * 0.24))
-        b = {0: a + new, 1: new + a, 2: a[: -int(n * 0.19)], 3: a[: -int(n * 0.1)] + new[: int(n * 0.1)]}[k % 4]
+    for k in range(300):
+        n = rnd.choice((60, 100, 300)) if k < 240 else 9
+        a, line = say(n), (say(8) if k % 5 else ["this", "line", "stands", "in", "many", "texts", "of", "all"]) if k < 240 else []
+        new = say(int(n * 0.24)) if k < 240 else say(1)
+        b = {0: a + new, 1: new + a, 2: a[: -int(n * 0.19)], 3: a[: -int(n * 0.1)] + new[: int(n * 0.1)]}[k % 4 if k < 240 else k % 2]
         x, y = (" ".join([*line, *w]) for w in (a, b))
         if len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)):
             rows += [(2 * k, x), (2 * k + 1, y)]
-    assert len(rows) > 300
-    got = {r.rid: r.component for r in simhash.near_duplicates(frame(spark, rows)).collect()}
-    assert got == {i: i - i % 2 for i, _ in rows}
+    assert len(rows) > 400
+    assert classes_of(frame(spark, rows)) == {i: i - i % 2 for i, _ in rows}
 
 
 # --- 6 -----------------------------------------------------------------------------------------------
