@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, doc_fingerprint, hamming_index, near_duplicates, packing, pii, quality, simhash, simple8b, substring_dedup, token_counts, token_file, tokens, url_filter
+from cohortlens.llm import decontaminate, doc_fingerprint, hamming_index, near_duplicates, packing, pii, quality, shingles, simhash, simple8b, substring_dedup, token_counts, token_file, tokens, url_filter
 from cohortlens.llm.common import new_path
 
 WORDS = ["the", "a", "of", "blick", "éa", "zorro", "in", "that", "<|endoftext|>", "don't", "x.y", "日本語"]
@@ -413,6 +413,24 @@ def test_near_duplicates(spark, monkeypatch, none, bucket, family):
     assert near_duplicates.drop_near_duplicates(none).count() == 0
 
 
+def test_shingles_of_slices_of_a_batch():
+    rows = [text_of(random.Random(k), 50) + " Über ÉA" for k in range(300)] + [None, ""]
+    whole = pa.array(rows)
+    parts = [(whole.slice(a, z - a), rows[a:z]) for a, z in shingles.slices(whole, 2000)]
+    assert len(parts) > 5
+    for part, texts in parts:
+        words, offs = shingles.word_hashes(part)
+        want = [xxhash.xxh64_intdigest(w, 42) for t in texts for w in simhash.words_of(t)]
+        assert words.tolist() == want and len(offs) == len(texts) + 1
+        sets = shingles.shingle_sets(words, offs, 5)
+        bits = np.zeros((len(sets), 256), int)
+        for i, s in enumerate(sets):
+            for w in range(shingles.WIDE):
+                h = shingles.mix(s, np.uint64(w + 1)).view(np.uint8).reshape(-1, 8)
+                bits[i, 64 * w : 64 * w + 64] = 2 * np.unpackbits(h, axis=1, bitorder="little").sum(axis=0) > len(s)
+        assert (np.unpackbits(shingles.wide_fingerprints(sets).view(np.uint8), axis=1, bitorder="little") == bits).all()
+
+
 def test_near_duplicates_of_one_id_on_two_texts(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
     rows = [(3, b), (5, a), (5, b), (None, a), (None, None), (7, None), (7, ""), (7, "")]
