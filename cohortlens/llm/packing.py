@@ -153,16 +153,14 @@ def pieces_of(docs: DataFrame, size: int, end_id: int, tokenizer: str | None, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path)
         for b in batches:
-            for a, z, counts, ids in enc.encode(b.column(1)):
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                counts = counts + 1
+            for a, z, counts, ids in enc.encode(b.column(1), end_id=end_id):
                 n = -(-counts // size)
                 doc = np.repeat(np.arange(z - a), n)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
                 short = counts - (n - 1) * size
                 length = np.where(piece == 0, short[doc], size)
                 start = np.where(piece == 0, 0, short[doc] + (piece - 1) * size)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 upto = np.concatenate([[0], np.cumsum(length)]).tolist()
                 crc = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(upto, upto[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -42,39 +42,37 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(vocabulary)
-        state = {"shard": None, "block": 0, "before": 0}
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        shard, block, before, holds = None, 0, 0, 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            ids = np.concatenate([h[2] for h in held])
+        def flushed() -> pa.RecordBatch:
+            ids, counts = np.concatenate([h[2] for h in held]), np.concatenate([h[1] for h in held])
             words, at = simple8b.encode(ids)
-            lists = [pa.array([sum((h[0] for h in held), [])], pa.list_(pa.int64())), pa.array([np.concatenate([h[1] for h in held]).tolist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([state["shard"]], pa.int32()), pa.array([state["block"]], pa.int32()), pa.array([state["before"]], pa.int64()), *lists, pa.array([words.astype("<u8").tobytes()], pa.binary()), pa.array([at.tolist()], pa.list_(pa.int64()))], names=["shard", "block", "before", "doc_ids", "lengths", "words", "word_offsets"])
-            state["block"] += 1
-            state["before"] += len(ids)
-            held.clear()
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            lists = [one(pa.concat_arrays([h[0] for h in held])), one(pa.array(counts, pa.int64()))]
+            head = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64())]
+            return pa.RecordBatch.from_arrays([*head, *lists, pa.array([words.astype("<u8").tobytes()], pa.binary()), one(pa.array(at, pa.int64()))], names=["shard", "block", "before", "doc_ids", "lengths", "words", "word_offsets"])
 
         for b in batches:
             of = b.column(2).to_numpy()
-            keys = b.column(0).to_pylist()
-            for a, z, counts, ids in enc.encode(b.column(1)):
-                if end_id is not None:
-                    ends = np.cumsum(counts)
-                    ids = np.insert(ids, ends, end_id)
-                    counts = counts + 1
+            for a, z, counts, ids in enc.encode(b.column(1), end_id=end_id):
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 here = of[a:z]
                 edges = [0, *(np.flatnonzero(np.diff(here)) + 1).tolist(), z - a]
                 for p, q in zip(edges, edges[1:], strict=False):
-                    if here[p] != state["shard"]:
-                        yield from flush()
-                        state.update(shard=int(here[p]), block=0, before=0)
-                    held.append((keys[a + p : a + q], counts[p:q], ids[upto[p] : upto[q]]))
-                    if sum(len(h[2]) for h in held) >= BLOCK_IDS:
-                        yield from flush()
-        yield from flush()
+                    if here[p] != shard:
+                        if held:
+                            yield flushed()
+                            held.clear()
+                        shard, block, before, holds = int(here[p]), 0, 0, 0
+                    held.append((b.column(0).slice(a + p, q - p), counts[p:q], ids[upto[p] : upto[q]]))
+                    holds += int(upto[q] - upto[p])
+                    if holds >= BLOCK_IDS:
+                        yield flushed()
+                        held.clear()
+                        block, before, holds = block + 1, before + holds, 0
+        if held:
+            yield flushed()
 
     dealt.select("id", "text", "shard").mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(path)
 
@@ -94,7 +92,7 @@ def _lists(ids: np.ndarray, upto: np.ndarray) -> pa.Array:
 
 
 def _digests(ids: np.ndarray, upto: np.ndarray) -> pa.Array:
-    raw = memoryview(ids.astype("<u4").tobytes())
+    raw = memoryview(ids.astype("<u4")).cast("B")
     return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.int64())
 
 
@@ -109,11 +107,12 @@ def _read(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                ids = simple8b.decode(np.frombuffer(r["words"], "<u8"))
-                n = np.asarray(r["lengths"], np.int64)
+            for i in range(b.num_rows):
+                shard, before, doc_ids, lengths, words = (c[i] for c in b.columns)
+                ids = simple8b.decode(np.frombuffer(words.as_buffer(), "<u8"))
+                n = lengths.values.to_numpy()
                 upto = np.concatenate([[0], np.cumsum(n)])
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(upto[:-1] + (base[r["shard"]] + r["before"])), pa.array(n), last(ids, upto)], names=names)
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(upto[:-1] + (base[shard.as_py()] + before.as_py())), pa.array(n), last(ids, upto)], names=names)
 
     return blocks.select("shard", "before", "doc_ids", "lengths", "words").mapInArrow(run, schema)
 

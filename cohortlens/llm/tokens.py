@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ import pyarrow.compute as pc
 
 #: Texts longer than this many code points are encoded in overlapping chunks.
 CHUNK, OVERLAP = 32_768, 256
-#: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-MEMORY = 300_000
+#: Distinct pieces that a worker remembers before it starts a new memory; what the last one held is taken over when it is met again.
+MEMORY = 250_000
 #: Bytes of text handled at once.
 SLICE_BYTES = 6 << 20
 
@@ -56,14 +57,21 @@ class WordEncoder:
         self.model = self.tok.model
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.alphabet = _byte_alphabet()
+        self.past_atoms: dict[str, tuple] = {}
+        self.atoms: dict[str, tuple] = {}
+        self._begin()
         self._reset()
 
-    def _reset(self) -> None:
+    def _begin(self) -> None:
         self.slots: dict[str, int] = {}
         self.heads: dict[str, int] = {}
-        self.atoms: dict[str, tuple] = {}
         self.pool, self.start, self.length = array("I"), array("q"), array("i")
 
+    def _reset(self) -> None:
+        """A new memory; the one before it stays within reach."""
+        self.past = (self.slots, self.heads, self.pool, self.start, self.length)
+        self._begin()
+
     def _library(self, piece: str) -> list[int]:
         return self.tok.encode(piece, add_special_tokens=False).ids
 
@@ -72,7 +80,7 @@ class WordEncoder:
 
         ``whole``: the caller remembers the piece itself.
         """
-        got = None if whole else self.atoms.get(s)
+        got = None if whole else self.atoms.get(s) or self.past_atoms.get(s)
         if got is None:
             word = s[1:] if s[:1] == " " else s
             if word.isalpha():
@@ -100,26 +108,40 @@ class WordEncoder:
             return tuple(self._library(s))
         return self._atom(s, whole=True)
 
-    def _slot(self, ids: tuple) -> int:
-        self.start.append(len(self.pool))
-        self.length.append(len(ids))
-        self.pool.extend(ids)
-        return len(self.start) - 1
-
-    def _look_up(self, pieces: list[str], known: dict[str, int], lead: str) -> np.ndarray:
-        out = np.empty(len(pieces), np.int64)
-        for i, w in enumerate(pieces):
-            at = known.get(w)
-            if at is None:
-                at = known[w] = self._slot(self._piece(lead + w) if lead or w else ())
-            out[i] = at
-        return out
+    def _stored(self, many: list) -> int:
+        """Keeps the ids of new pieces; returns the slot of the first."""
+        first = len(self.start)
+        sizes = np.fromiter(map(len, many), np.int64, len(many))
+        self.start.frombytes((len(self.pool) + np.cumsum(sizes) - sizes).tobytes())
+        self.length.frombytes(sizes.astype(np.int32).tobytes())
+        self.pool.extend(chain.from_iterable(many))
+        return first
+
+    def _look_up(self, pieces: list[str], known: dict[str, int], past: dict[str, int], lead: str) -> np.ndarray:
+        out = list(map(known.get, pieces))
+        missing = [i for i, at in enumerate(out) if at is None]
+        if missing:
+            _, _, pool, start, length = self.past
+            new, first = [], len(self.start)
+            for i in missing:
+                w = pieces[i]
+                at = known.get(w)
+                if at is None:
+                    at = known[w] = first + len(new)
+                    before = past.get(w)
+                    if before is not None:
+                        new.append(pool[start[before] : start[before] + length[before]])
+                    else:
+                        new.append(self._piece(lead + w) if lead or w else ())
+                out[i] = at
+            self._stored(new)
+        return np.array(out, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return resync_encode(self.tok, text) if len(text) > CHUNK else np.asarray(self._library(text), np.uint32)
 
-    def encode(self, texts: pa.Array, want_ids: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
-        """For runs of texts: (first, after the last, token counts, all ids of the run or None)."""
+    def encode(self, texts: pa.Array, want_ids: bool = True, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+        """For runs of texts: (first, after the last, token counts, all ids of the run or None); with ``end_id`` each text ends in it."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         n = len(texts)
         if not n:
@@ -128,11 +150,13 @@ class WordEncoder:
         cut = np.flatnonzero(np.diff(np.cumsum(size) // SLICE_BYTES, prepend=0)).tolist()
         edges = sorted({0, *cut, n})
         for a, b in zip(edges, edges[1:], strict=False):
-            yield from self._encode(texts.slice(a, b - a), a, want_ids)
+            yield from self._encode(texts.slice(a, b - a), a, want_ids, end_id)
 
-    def _encode(self, texts: pa.Array, base: int, want_ids: bool):
-        if len(self.slots) > MEMORY or len(self.atoms) > MEMORY or len(self.heads) > MEMORY:
+    def _encode(self, texts: pa.Array, base: int, want_ids: bool, end_id: int | None):
+        if len(self.slots) + len(self.heads) > MEMORY:
             self._reset()
+        if len(self.atoms) > MEMORY:
+            self.atoms, self.past_atoms = {}, self.atoms
         n = len(texts)
         odd = pc.match_substring_regex(texts, _UNSAFE)
         for s in self.specials:
@@ -149,16 +173,20 @@ class WordEncoder:
         offs = offs - offs[0]
         flat = split.flatten()
         coded = flat.dictionary_encode()
-        slots = self._look_up(coded.dictionary.to_pylist(), self.slots, " ")[coded.indices.to_numpy()]
+        slots = self._look_up(coded.dictionary.to_pylist(), self.slots, self.past[0], " ")[coded.indices.to_numpy()]
         first = offs[:-1]
-        slots[first] = self._look_up(flat.take(pa.array(first)).to_pylist(), self.heads, "")
+        slots[first] = self._look_up(flat.take(pa.array(first)).to_pylist(), self.heads, self.past[1], "")
+        if end_id is not None:  # one more piece for each text
+            slots = np.insert(slots, offs[1:], self._stored([(end_id,)]))
+            offs = offs + np.arange(n + 1)
         start, length, pool = (np.frombuffer(x, t) for x, t in ((self.start, np.int64), (self.length, np.int32), (self.pool, np.uint32)))
         try:
             each = length[slots]
             upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
             counts = upto[offs[1:]] - upto[offs[:-1]]
+            ends = int(end_id is not None)
             for i, x in whole.items():
-                counts[i] = len(x)
+                counts[i] = len(x) + ends
             if not want_ids:
                 yield base, base + n, counts, None
                 return
@@ -168,15 +196,15 @@ class WordEncoder:
                 p, q = offs[a], offs[b]
                 m = each[p:q]
                 total = int(upto[q] - upto[p])
-                at = np.arange(total, dtype=np.int64)
-                at += np.repeat(start[slots[p:q]] - (upto[p:q] - upto[p]), m)
+                at = np.arange(total, dtype=np.int32)
+                at += np.repeat((start[slots[p:q]] - (upto[p:q] - upto[p])).astype(np.int32), m)
                 ids = pool[at] if total else np.zeros(0, np.uint32)
                 if inside := [i for i in whole if a <= i < b]:
                     parts, done = [], 0
                     for i in sorted(inside):
                         k = int(upto[offs[i]] - upto[p])
                         parts += [ids[done:k], whole[i]]
-                        done = k + int(upto[offs[i + 1]] - upto[offs[i]])
+                        done = k + int(upto[offs[i + 1]] - upto[offs[i]]) - ends  # an end id stays
                     ids = np.concatenate([*parts, ids[done:]]).astype(np.uint32)
                 yield base + a, base + b, counts[a:b], ids
         finally:
