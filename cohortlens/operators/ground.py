@@ -12,10 +12,11 @@ from cohortlens.model import FactModel
 
 #: Reasons for which the gate rejects, in the order in which they are told.
 REASONS = ("unknown-fact", "missing-source", "doc-not-found", "wrong-patient", "quote-not-found", "contradictory-negation", "type-mismatch", "value-not-allowed", "unknown-code-system", "missing-unit", "unit-mismatch", "duplicate-fact")
-#: Words that negate what follows in a clause, what ends a clause, and how far back a clause is sought.
-NEGATION = re.compile(r"\b(?:no|not|never|without|denies?|denied|negative\s+for|absence\s+of|free\s+of)\b", re.I)
-CLAUSE_END = re.compile(r"[.;,!?:\n]|\b(?:but|however|instead|rather)\b")
+#: Words that negate what follows in a clause, the words and signs that end a clause, and how far back a clause is sought.
+NEGATORS = ("no", "not", "never", "without", "deny", "denies", "denied", "negative for", "absence of", "free of")
+TURNS, SIGNS = ("but", "however", "instead", "rather"), ".;,!?:\n"
 REACH = 100
+_LETTER = "[\\p{L}\\p{N}_]"
 
 
 def newlines(x: Column) -> Column:
@@ -27,23 +28,29 @@ def verbatim(quote: Column, document: Column) -> Column:
     return (F.length(F.trim(F.regexp_replace(q, r"\s", " "))) > 0) & F.contains(newlines(document), q)
 
 
-def negates(fact: str, kind: str, value: str, quote: str) -> bool:
-    """Whether the quote denies the value at each place where it names it."""
-    if kind == "code" or value == "false":
-        return False
-    targets = [p for p in fact.split("_") if len(p) >= 4 and p != "true"] if kind == "boolean" else [value]
-    text = quote.replace("\r\n", "\n").replace("\r", "\n").lower()
-    places = [m.start() for t in targets if t for m in re.finditer(rf"\b{re.escape(t.lower())}\b", text)]
-    return bool(places) and all(NEGATION.search(CLAUSE_END.split(text[max(0, p - REACH) : p])[-1]) for p in places)
+def _denied(before: Column) -> Column:
+    """Whether the clause that a text ends in holds a negating word."""
+    words = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(before, F.lit(f"({_LETTER}+|[{SIGNS}])"), F.lit(1)), " "), F.lit(" "))
+    ends = F.element_at(F.split(words, " (?:" + "|".join(TURNS) + f"|[{SIGNS}])(?= )"), -1)
+    held = F.lit(False)
+    for n in NEGATORS:
+        held = held | F.contains(ends, F.lit(f" {n} "))
+    return held
 
 
-def _negations(fact: pa.Array, kind: pa.Array, value: pa.Array, quote: pa.Array) -> pa.Array:
-    return pa.array([None if q is None or v is None else negates(f, k or "", v, q) for f, k, v, q in zip(*(c.to_pylist() for c in (fact, kind, value, quote)), strict=True)], pa.bool_())
+def negation(fact: Column, kind: Column, value: Column, quote: Column) -> Column:
+    """Whether the quote denies the value at each place where it names it; a true fact is named by the words of its name."""
+    text = F.lower(newlines(quote))
+    targets = F.when(kind == "boolean", F.filter(F.split(fact, "_"), lambda p: (F.length(p) >= 4) & (p != "true"))).otherwise(F.array(value))
+    targets = F.filter(F.transform(targets, F.lower), lambda t: t != "")
 
+    def befores(t: Column) -> Column:
+        around = F.split(text, F.concat(F.lit(f"(?<!{_LETTER})\\Q"), F.replace(t, F.lit("\\E"), F.lit("")), F.lit(f"\\E(?!{_LETTER})")), -1)
+        return F.transform(F.slice(around, 1, F.size(around) - 1), lambda _, i: F.right(F.call_function("array_join", F.slice(around, 1, i + 1), t), F.lit(REACH)))
 
-def negation(fact: Column | str, kind: Column | str, value: Column | str, quote: Column | str) -> Column:
-    """Scans every occurrence, which no built-in function does; only rows whose quote is verbatim come here."""
-    return F.arrow_udf(_negations, "boolean")(fact, kind, value, quote)
+    places = F.flatten(F.transform(targets, befores))
+    denied = (F.size(places) > 0) & F.forall(places, _denied)
+    return F.when(quote.isNotNull() & value.isNotNull(), F.coalesce((kind != "code") | kind.isNull(), F.lit(True)) & (value != "false") & denied)
 
 
 def model_frame(spark: SparkSession, model: FactModel) -> DataFrame:
@@ -66,7 +73,7 @@ def gate(proposals: DataFrame, documents: DataFrame, model: FactModel) -> DataFr
     number_ok, boolean_ok = value.rlike(r"\A-?\d+(\.\d+)?\z"), F.col("value").isin("true", "false")
     quoted = F.coalesce(verbatim(F.col("quote"), F.col("body")), F.lit(False))
     j = j.withColumn("__quoted", quoted)
-    denied = F.when(F.col("__quoted") & known, negation("fact", "type", "value", "quote"))
+    denied = F.when(F.col("__quoted") & known, negation(*map(F.col, ("fact", "type", "value", "quote"))))
     numeric, enum = F.col("type") == "number", F.col("type") == "enum"
     checks = {
         "unknown-fact": ~known,

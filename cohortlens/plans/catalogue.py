@@ -509,7 +509,7 @@ def _(spark, d):
     """Quotes that deny what they are cited for; the scan of all occurrences is no SQL function."""
     e = _read(spark, d, "events").select("event_id", F.lit("class").alias("fact"), F.lit("enum").alias("kind"), F.lit("IV").alias("value"))
     quote = F.when(F.col("event_id") % 2 == 0, F.lit("No evidence of class IV today")).otherwise(F.lit("Not tired. Class IV since May"))
-    return e.select(ground.negation("fact", "kind", "value", quote).alias("denied")).groupBy("denied").agg(F.count(F.lit(1)).alias("n"))
+    return e.select(ground.negation(F.col("fact"), F.col("kind"), F.col("value"), quote).alias("denied")).groupBy("denied").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ENTRIES = """e AS (SELECT o_custkey AS patient, 'fact' || (o_orderkey % 4) AS fact, CASE WHEN o_orderkey % 3 = 0 THEN 'pipeline' ELSE 'llm/m' END AS extracted_by,

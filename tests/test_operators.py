@@ -179,10 +179,19 @@ def test_flatten(spark):
         ("nyha", "enum", "IV", "not class IV, but later class IV confirmed", False),
         ("on_dialysis", "boolean", "true", "denies dialysis", True),
         ("on_dialysis", "boolean", "false", "denies dialysis", False),
+        ("nyha", "enum", "IV", "No class\r\nIV", False),
+        ("nyha", "enum", "IV", "Free of\tclass iv; no IV", True),
+        ("nyha", "enum", "IV", "no " + "x" * 100 + " IV", False),
+        ("lvef", "number", "4.5", "not 4.5 %, not 4x5", True),
+        ("nyha", "enum", "IV", "nothing like IV", False),
+        ("nyha", "code", "IV", "no IV", False),
+        ("nyha", "enum", "IV", None, None),
+        ("nyha", "enum", "", "no IV", False),
     ],
 )
-def test_negation(fact, kind, value, quote, denied):
-    assert ground.negates(fact, kind, value, quote) is denied
+def test_negation(spark, fact, kind, value, quote, denied):
+    row = spark.createDataFrame([(fact, kind, value, quote)], "fact string, kind string, value string, quote string")
+    assert row.select(ground.negation(*map(F.col, row.columns))).first()[0] is denied
 
 
 def test_gate(spark):
