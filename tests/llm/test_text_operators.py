@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from cohortlens.llm.common import new_path
 
 WORDS = ["the", "a", "of", "blick", "éa", "zorro", "in", "that", "<|endoftext|>", "don't", "x.y", "日本語"]
 #: Columns of a caller whose names an operator might use itself.
-EXTRA = ("k1", "k2", "fp", "rid", "h", "label", "pid", "e", "sur", "n", "words")
+EXTRA = ("k1", "k2", "fp", "rid", "h", "label", "pid", "e", "sur", "n", "words", "Entities", "key_1", "key_2", "surrogates", "names", "gone_1", "GONE_2", "node", "component", "score", "__e", "__score", "__gone", "m1", "es", "kind")
 
 
 def text_of(rnd, n):
@@ -474,7 +475,7 @@ def luhn_ok(s):
 def test_pii(spark, none):
     rows = [*enumerate(TEXTS), (0, TEXTS[0]), (None, TEXTS[1])]
     df = frame(spark, rows)
-    out = pii.replace_pii(df, count_col="n_entities")
+    out = pii.replace_pii(df, "k", count_col="n_entities")
     assert out.columns == [*df.columns, "n_entities"]
     by = collections.defaultdict(list)
     for r in out.collect():
@@ -489,9 +490,9 @@ def test_pii(spark, none):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} 4\d{15} or \(\d{3}\) \d{3}-\d{4}; (\S+@\S+) \1 \d+\.\d+\.\d+\.\d+\.", a)
     assert luhn_ok(re.search(r"\d{4} \d{4} \d{4} \d{4}", b)[0]) and luhn_ok("4785380592391139") == luhn_ok(re.search(r"4\d{15}", a)[0])
     assert re.search(r"господин [А-Я][а-я]+ [А-Я][а-я]+", b) and re.search(r'AKIA[A-Z2-7]{16} token = "[0-9a-f]{40}"', b)
-    other = pii.replace_pii(df, key="another").where("doc_id = 1").first().text
+    other = pii.replace_pii(df, "another").where("doc_id = 1").first().text
     assert other != b
-    assert pii.replace_pii(none).count() == 0
+    assert pii.replace_pii(none, "k").count() == 0
 
 
 def test_pii_of_more_shapes(spark):
@@ -501,7 +502,7 @@ def test_pii_of_more_shapes(spark):
     rows = [(k, f"call {x} now") for k, x in enumerate([*phones, *cards, *others])]
     rows += [(100, "Dr. John F. O'Brien met Prof. Smith-Jones and Mr. Paul McDonald. Then O'Brien's dog bit McDonald; JOHN and Smith-Jones left, paul too, O'Briens not."), (101, "Smith and John stay, doña Ana Ruiz goes, Ruiz and Ana too")]
     rows += [(200, "id 1700000000001 at 12:30:45, std::vector, a::b, 1.2.3, 2024-01-15, 2001-2002 and 12.50")]
-    got = {r.doc_id: r for r in pii.replace_pii(frame(spark, rows), count_col="n").collect()}
+    got = {r.doc_id: r for r in pii.replace_pii(frame(spark, rows), "k", count_col="n").collect()}
     shape = lambda t: re.sub(r"\d", "9", t)
     for k, x in enumerate([*phones, *cards, *others]):
         assert x not in got[k].text and got[k].n == 1, x
@@ -526,6 +527,59 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == 260 and len({r.made for r in got}) == 260 and all(re.fullmatch("[a-z][0-9]([a-z]{4})?", m) for m in made)
 
 
+def test_surrogates_of_crowded_forms(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {k: v[:2] for k, v in pii.SYLLABLES.items()})
+    phones = [("phone", f"1|{k:02d}") for k in range(100)] + [("phone", "49|7")]
+    names = [("name-latin-l", x) for x in (f"name{'abcdefghijklmnopqrstuvwxy'[k]}" for k in range(25))] + [("name-latin-l", "babababard")]
+    got = pii.assign(spark.createDataFrame(phones + names, "kind string, canon string"), "k", 12).collect()
+    assert len(got) == len({(r.kind, r.made) for r in got}) == 127
+    assert all(r.made != r.canon and re.sub(r"\d", "9", r.made) == re.sub(r"\d", "9", r.canon) for r in got if r.kind == "phone" and r.canon != "49|7")
+    assert all(re.fullmatch("(?:Ba|ba|Be|be)(?:ba|be){3,9}rd", r.made) and r.made != "Babababard" for r in got if r.kind != "phone")
+
+
+def test_surrogates_against_a_scan(spark):
+    """Every text is rebuilt from its own gaps and one injective map of entities that keeps their format."""
+    rnd = random.Random(12)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if luhn_ok(body + c))
+
+    make = (
+        lambda: f"u{rnd.randint(0, 60)}@h{rnd.randint(0, 3)}.org", lambda: f"+1 ({digits(3)}) 555-{digits(4)}", lambda: f"10.{rnd.randint(0, 255)}.0.{rnd.randint(1, 9)}",
+        card, lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: "AKIA" + "".join(rnd.choice("ABCDEFGH234567") for _ in range(16)), lambda: hashlib.sha1(digits(2).encode()).hexdigest(),
+    )
+    rows = [(k, " ".join(rnd.choice(make)() if rnd.random() < 0.2 else rnd.choice(WORDS) for _ in range(rnd.randint(1, 60)))) for k in range(150)]
+    rows += [(200, "no card 4785380592391130 here, no secret " + "a" * 40 + " or " + "7" * 40)]
+    pattern, forward = regex.compile(pii.ANY), {}
+    for r in pii.replace_pii(frame(spark, rows), "k", count_col="n_entities").collect():
+        source = rows[[i for i, _ in rows].index(r.doc_id)][1]
+        gaps, found = pattern.split(source), pattern.findall(source)
+        kept = [e for e in found if re.fullmatch(r"\d{13,19}", e) and not luhn_ok(e)]
+        assert r.n_entities == len(found) - len(kept)
+        rest = r.text
+        for gap, e in zip(gaps[:-1], found, strict=True):
+            assert rest.startswith(gap)
+            rest = rest[len(gap) :]
+            new = pattern.match(rest)[0] if e not in kept else e
+            assert rest.startswith(new) and (new == e) == (e in kept)
+            assert forward.setdefault(e, new) == new
+            if "@" not in e and not re.fullmatch(r"[\d.]+", e) and not e.startswith("AKIA") and len(e) < 40:
+                assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", e)
+            rest = rest[len(new) :]
+        assert rest == gaps[-1], (source, r.text)
+    same_print = collections.Counter(forward.values())
+    assert max(same_print.values()) == 1 and not {v for k, v in forward.items() if k != v} & set(forward)
+
+
+@pytest.mark.parametrize("part", ["a.", "a1", "Ab-", "x@a.", "1", "12 ", "a:", "Mr. A. ", "+1", "f0", "é"])
+def test_pii_of_very_long_texts(spark, part):
+    rows = [(1, "x@" + part * (1_000_000 // len(part))), (2, part * 500_000 + " Mr. John Smith " + part * 10)]
+    got = {r.doc_id: r.text for r in pii.replace_pii(frame(spark, rows), "k").collect()}
+    assert len(got) == 2 and ("John" not in got[2] or part in ("Mr. A. ", "é", "a1", "Ab-"))
+
+
 # --- 7 -----------------------------------------------------------------------------------------------
 
 
