@@ -9,8 +9,10 @@ documented sample), in one task that goes through them ``EPOCHS`` times.  Weight
 ``2**BITS`` numbers, whatever the input.  Scoring reads every whole text in one narrow map.
 
 Defined results: a null or empty text has the bias as its score; without labelled rows every score
-is 0.5; an id that is labelled twice counts once, with its lower label; repeated rows stay; a null
-id is never held out and never trained on; other columns are ignored.
+is 0.5; an id that is labelled twice counts once, with its lower label; an id on several texts is
+trained on the least of them; repeated rows stay; a null id is never held out and never trained on;
+an empty table gives no rows; very long texts are read whole; other columns are ignored, or kept
+(``drop_low_quality``) whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import documents
+from cohortlens.llm.common import documents, free_name
 
 BITS = 18
 SAMPLE = 8_000
@@ -143,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     ids = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     chosen = ids.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(sample)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(chosen), "id").repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text")  # at most ``sample`` rows on either side
+    # one text for each id, however many rows repeat it: at most ``sample`` rows on either side
+    one = text.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = one.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, y = [], []
@@ -190,7 +194,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the classifier rejects; columns as they were."""
     score = score_udf(docs.sparkSession, *fit(docs, labels, id_col=id_col, text_col=text_col))
-    return docs.withColumn("__score", score(F.col(text_col).cast("string"))).where(F.col("__score") >= threshold).drop("__score")
+    (name,) = free_name(docs, "score")
+    return docs.withColumn(name, score(F.col(text_col).cast("string"))).where(F.col(name) >= threshold).drop(name)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
