@@ -12,7 +12,9 @@ are tried in parts, one after the other, and the longest fit of all parts wins,
 bounded however many rules there are.
 
 Defined results: a null url, or one without ``://``, has empty host and path, which no rule fits;
-repeated rows stay; null ids stay null; other columns are ignored.
+repeated rows stay; null ids stay null; an empty table gives no rows; a very long url is judged whole
+(each token fetches its rules once); among equally long rules a block wins, then the lesser name;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,11 +98,16 @@ def _order(r: Rule) -> tuple:
 
 
 def token_frequency(urls: DataFrame, rules: list[Rule], url_col: str) -> dict[str, int]:
-    """How many urls hold each token of the rules (at most ``PART`` rules' tokens)."""
+    """How many urls hold each token of the rules; one number for each token, at most ``PART`` rules' tokens."""
+    spark = urls.sparkSession
     wanted = sorted({t for r in rules for t in r.tokens})
-    tokens = F.array_distinct(F.expr(f"regexp_extract_all(coalesce(`{url_col}`, ''), '[A-Za-z0-9]+', 0)"))
-    hits = urls.select(F.explode(F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted])) if wanted else F.array().cast("array<string>")).alias("t"))
-    return {r.t: r.n for r in hits.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not wanted:
+        return {}
+    listed = spark.createDataFrame(pa.table({"t": wanted}))
+    line = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
+    tokens = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(line, F.lit("[A-Za-z0-9]+"), F.lit(0)))).alias("t"))
+    hits = tokens.join(F.broadcast(listed), "t").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return {r.t: r.n for r in hits.collect()}
 
 
 def filter_urls(urls: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
