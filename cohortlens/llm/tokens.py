@@ -6,6 +6,9 @@ Two ways that give the library's ids for a whole text:
   cuts, and lets the library encode each distinct piece once per worker;
 * :func:`resync_encode` is for huge documents: overlapping chunks are encoded with offsets and
   spliced at boundaries that are provably stable; the overlap widens where none is found.
+
+Defined results: a null text is an empty one and has no ids (but an end id, where one is asked for);
+repeated texts get equal ids; special strings inside texts are handled as the library does.
 """
 
 from __future__ import annotations
@@ -262,4 +265,12 @@ def resync_encode(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
 
 def _true_starts(text: str, starts: np.ndarray) -> np.ndarray:
     """Token starts with the leading space, which the library's trimmed offsets leave out, counted in."""
-    return np.asarray([s - 1 if s and text[s - 1] == " " and (s >= len(text) or not text[s].isspace()) else s for s in starts.tolist()], np.int64)
+    low = int(starts[0]) if len(starts) else 0
+    codes = np.frombuffer(text[max(0, low - 1) : int(starts[-1]) + 1].encode("utf-32-le", "surrogatepass"), np.uint32) if len(starts) else np.zeros(0, np.uint32)
+    at = starts - max(0, low - 1)
+    space = (starts > 0) & (codes[np.maximum(at - 1, 0)] == 32)
+    back = np.flatnonzero(space)
+    seen = np.array([not (s < len(text) and text[s].isspace()) for s in starts[back].tolist()], bool) if len(back) else np.zeros(0, bool)
+    out = starts.copy()
+    out[back[seen]] -= 1
+    return out
