@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm import tokens
 from cohortlens.llm.common import documents, save
 
-SALTS = 128
+#: Pieces that one ranking task takes; lengths with more are dealt over as many salts as that needs.
+RANKED = 5_000
 
 
 class Bins:
@@ -169,13 +170,14 @@ def pieces_of(docs: DataFrame, size: int, end_id: int, tokenizer: str | None, id
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_pack(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_fit_pack(docs: DataFrame, size: int = 1024, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", ranked: int = RANKED) -> DataFrame:
     """The place of every piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     pieces, _ = save(pieces_of(docs, size, end_id, tokenizer, id_col, text_col), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``size`` rows
+    many = F.create_map(*[F.lit(x) for length, n in counts.items() for x in (length, -(-n // ranked))]) if counts else F.create_map(F.lit(0).cast("long"), F.lit(1))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.try_element_at(many, F.col("length"))).cast("int")
     salted = pieces.withColumn("salt", salt)
     each = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     slot_key, slot_seq, slot_off = [], [], []
     seen: dict[int, int] = {}
     seq = 0
