@@ -85,6 +85,22 @@ class Tables:
         self.paths.clear()
 
 
+class since:
+    """Knows the tables that are made from its beginning on, to free them when their reader is written."""
+
+    def __enter__(self) -> since:
+        self.before = {path for _, path in _OWN}
+        return self
+
+    def __exit__(self, *_) -> None:
+        pass
+
+    def free(self, spark: SparkSession, keep: str) -> None:
+        for _, path in list(_OWN):
+            if path not in self.before and path != keep:
+                drop_table(spark, path)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

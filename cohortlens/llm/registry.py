@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.llm import decontaminate, doc_fingerprint, packing, pii, quality, simhash, substring_dedup, token_counts, token_file, url_filter
@@ -22,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": decontaminate.op8,
         "op9_token_file": token_file.op9,
         "op10_best_fit_packing": packing.op10,
-        "pipeline": corpus_pipeline.run,
     }
 
 
