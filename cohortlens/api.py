@@ -54,7 +54,8 @@ class Engine:
         bad = patients.where("problems is not null").select(F.col("name").alias("patient"), F.lit("document").alias("fact"), F.lit("schema").alias("code"), F.array_join("problems", "; ").alias("detail"))
         good = patients.where("problems is null")
         twice = lint.duplicate_ids(good.select("patient", "name"), "patient", "name").select("patient", F.lit("patient").alias("fact"), F.lit("duplicate-patient").alias("code"), F.col("name").alias("detail"))
-        findings = bad.unionByName(twice).unionByName(lint.lint_facts(tables.facts_long(good), model))
+        long = tables.facts_long(good)
+        findings = bad.unionByName(twice).unionByName(lint.lint_facts(long, model)).unionByName(lint.companion_units(long, model))
         only = list(dict.fromkeys(f for r in rules for f in facts_read(r)))
         return tables.facts_wide(good, model, only), findings
 
@@ -70,8 +71,8 @@ class Engine:
         if not findings.isEmpty():
             raise ValueError("the cohort has errors")
         ev = evaluate.evaluate(facts, rs, model, trace=True)
-        if out:
-            report.screen_json(ev, out, self.metadata(ruleset, fact_model, as_of, partial))
+        if out:  # evaluated once: what follows reads what was written
+            ev = report.screen_json(ev, out, self.metadata(ruleset, fact_model, as_of, partial))
         return ev, report.markdown_report(ev, rs, as_of)
 
     def metadata(self, ruleset: str, fact_model: str, as_of: str, partial: tuple[str, ...] = ()) -> dict:
@@ -104,8 +105,8 @@ class Engine:
         model = _model(fact_model)
         rows = tables.read_facts_files(tables.read_files(self.spark, path))
         bad = rows.where("problems is not null").select("patient", F.lit(None).cast("string").alias("fact"), F.explode("problems").alias("finding"))
-        e = rows.where("problems is null and entry is not null").select("patient", F.coalesce(F.lit(as_of), "asOf").alias("as_of"), "entry.*")
-        told = e.where(F.col("extractedBy") != "pipeline").select(F.col("source.doc").alias("doc"), F.monotonically_increasing_id().alias("seq"), "fact", F.expr("try_variant_get(value, '$', 'string')").alias("value"), "unit", "confidence", F.col("source.quote").alias("quote"), "patient", "status")
+        e = rows.where("problems is null and entry is not null").select("patient", "place", F.coalesce(F.lit(as_of), "asOf").alias("as_of"), "entry.*")
+        told = e.where(F.col("extractedBy") != "pipeline").select(F.col("source.doc").alias("doc"), F.col("place").alias("seq"), "fact", F.expr("try_variant_get(value, '$', 'string')").alias("value"), "unit", "confidence", F.col("source.quote").alias("quote"), "patient", "status")
         failed = ground.reverify(told, notes, model).where("not grounded").select("patient", "fact", F.explode("reasons").alias("finding"))
         stale = lint.recency(e.withColumnsRenamed({"measuredAt": "measured_at", "validWithinDays": "valid_within_days"}), F.to_date("as_of")).select("patient", "fact", "finding")
         return bad.unionByName(failed).unionByName(stale)

@@ -119,3 +119,8 @@ def examples(classified: DataFrame, trial: str, order: str, k: int = 10) -> Data
     """The first line of each trial, and of those the first k."""
     w = Window.partitionBy(trial).orderBy(order)
     return classified.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").orderBy(trial).limit(k)
+
+
+def distinct_trials(lines: DataFrame, trial: str) -> DataFrame:
+    """(trials): how many trials there are."""
+    return lines.agg(F.countDistinct(trial).alias("trials"))

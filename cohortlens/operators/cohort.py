@@ -6,7 +6,7 @@ there with zeros; each is one partial and final hash aggregate over narrow rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.model import RuleSet
@@ -68,10 +68,16 @@ def attrition(ev: DataFrame, rs: RuleSet) -> DataFrame:
 
 
 def sole_disqualifiers(ev: DataFrame, modeled: bool = False) -> DataFrame:
-    """(id, n, patients): patients whom one criterion alone removes; lists are for reports of bounded cohorts."""
+    """(id, patient): one row for each patient whom one criterion alone removes; no list is gathered."""
     c = "sole_modeled_ord" if modeled else "sole_ord"
-    rows = reasons(ev).where(F.col(c).isNotNull()).select(F.element_at("results", F.col(c) + 1)["id"].alias("id"), "patient")
-    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("patient").cast("string"))), ",").alias("patients"))
+    return reasons(ev).where(F.col(c).isNotNull()).select(F.element_at("results", F.col(c) + 1)["id"].alias("id"), "patient")
+
+
+def listed(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(…, n, patients): how many patients each group has, and the least k of them, for a report."""
+    w = Window.partitionBy(*by).orderBy("patient")
+    least = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).groupBy(*by).agg(F.array_sort(F.collect_list("patient")).alias("patients"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(least, by)
 
 
 def funnel(ev: DataFrame, rs: RuleSet) -> DataFrame:
@@ -89,10 +95,10 @@ def reasons_first(results: Column) -> Column:
 
 
 def funnel_drilldown(ev: DataFrame) -> DataFrame:
-    """(id, bucket, n, patients) behind the funnel's counts."""
+    """(id, bucket, patient): the patients behind the funnel's counts, one row for each place that a patient is counted at."""
     active = ev.select("patient", F.explode("results").alias("r"), reasons_first(F.col("results")).alias("first")).where(F.col("first").isNull() | (F.col("r.ord") <= F.col("first")))
     bucket = F.when(is_parked(F.col("r")), "chart_review").otherwise(F.col("r.verdict"))
-    return active.select("patient", "r.id", bucket.alias("bucket")).groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("patient").cast("string"))), ",").alias("patients"))
+    return active.select("r.id", bucket.alias("bucket"), "patient")
 
 
 def verdict_counts(ev: DataFrame, rs: RuleSet) -> DataFrame:
@@ -136,6 +142,17 @@ def modeling_counts(rs: RuleSet, partial: tuple[str, ...] = ()) -> dict[str, int
 
 
 def content_hash(files: DataFrame) -> DataFrame:
-    """SHA-256 over the sorted (patient, hash) list of a corpus.  files: patient, hash."""
-    listed = F.to_json(F.array_sort(F.collect_list(F.struct(F.col("patient").cast("string").alias("patient"), "hash"))))
-    return files.agg(F.sha2(listed, 256).alias("corpus_hash"), F.count(F.lit(1)).alias("n"))
+    """(corpus_hash, n): SHA-256 over a corpus, whatever its order.  files: patient, hash.
+
+    Files are dealt into 65,536 lots by the digest of their patient; each lot's sorted list is hashed
+    in its own group, and the lots' digests, a bounded list, are hashed in order.
+    """
+    patient = F.coalesce(F.col("patient").cast("string"), F.lit(""))
+    lots = files.select(F.left(F.sha2(patient, 256), F.lit(4)).alias("lot"), F.struct(patient.alias("patient"), "hash").alias("f"))
+    lots = lots.groupBy("lot").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("f"))), 256).alias("d"), F.count(F.lit(1)).alias("n"))
+    return lots.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lot", "d"))), lambda x: x["d"]), ""), 256).alias("corpus_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def level_counts(findings: DataFrame) -> DataFrame:
+    """(level, n) of findings, zeros included.  findings: level."""
+    return counts_over(findings, "level", ("error", "warning", "info"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -102,6 +103,54 @@ def reason_counts(gated: DataFrame) -> DataFrame:
     return gated.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def reasons_by_frequency(gated: DataFrame) -> DataFrame:
+    """(reason, n), the most frequent first, by name among equals."""
+    return reason_counts(gated).orderBy(F.desc("n"), "reason")
+
+
+def rejections(gated: DataFrame) -> DataFrame:
+    """(doc, seq, fact, reasons, detail) of what the gate rejects; the detail names the reasons in one line."""
+    return gated.where("not grounded").select("doc", "seq", "fact", "reasons", F.array_join("reasons", "; ").alias("detail"))
+
+
+def grounding_stats(gated: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(proposed, grounded, rejected, pass_rate, caught, overblocked) of a gated extraction; 0/0 is 0.
+
+    expected: doc, fact, value.  A rejection of an expected fact is over-blocked, any other is caught.
+    """
+    key = ["doc", "fact", "value"]
+    j = gated.select(*key, "grounded")
+    j = j.join(expected.select(*key).distinct().withColumn("hit", F.lit(True)), key, "left") if expected is not None else j.withColumn("hit", F.lit(False))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    ok, hit = F.col("grounded"), F.coalesce("hit", F.lit(False))
+    s = j.agg(F.count(F.lit(1)).alias("proposed"), n(ok).alias("grounded"), n(~ok).alias("rejected"), n(~ok & ~hit).alias("caught"), n(~ok & hit).alias("overblocked"))
+    return s.select("proposed", "grounded", "rejected", ratio(F.col("grounded"), F.col("proposed")).alias("pass_rate"), "caught", "overblocked")
+
+
+def token_sums(recordings: DataFrame) -> DataFrame:
+    """(input_tokens, output_tokens, recorded): sums that take a missing number as 0, and how many recordings have both."""
+    total = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0)).alias(c)
+    both = (F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()).cast("long")
+    return recordings.agg(total("input_tokens"), total("output_tokens"), F.coalesce(F.sum(both), F.lit(0)).alias("recorded"))
+
+
+def extract(recordings: DataFrame, notes: DataFrame, model: FactModel) -> DataFrame:
+    """Recorded responses through the gate to rows of a facts file: (patient, doc, seq, fact, value, unit, confidence, quote, status, reasons, grounded).
+
+    recordings: doc, output; notes: doc, patient, body.  Grounded rows are proposed, the others
+    rejected; a response that can't be parsed gives no rows, and a document that isn't there rejects all of its rows.
+    """
+    told = parse_response(recordings).join(notes.select("doc", "patient"), "doc", "left")
+    gated = gate(told.select("doc", "seq", "fact", "value", "unit", "confidence", "quote", "patient"), notes, model)
+    return gated.withColumn("status", F.when(F.col("grounded"), "proposed").otherwise("rejected")).select("patient", "doc", "seq", "fact", "value", "unit", "confidence", "quote", "status", "reasons", "grounded")
+
+
+def without_expected(notes: DataFrame, expected: DataFrame) -> DataFrame:
+    """(doc, problem): notes that no expected case tells of, and cases without a note."""
+    j = notes.select("doc", F.lit(1).alias("n")).join(expected.select("doc").distinct().withColumn("e", F.lit(1)), "doc", "full_outer")
+    return j.select("doc", F.when(F.col("e").isNull(), "no-expected-case").when(F.col("n").isNull(), "no-note").alias("problem")).where("problem is not null")
+
+
 def reverify(entries: DataFrame, documents: DataFrame, model: FactModel) -> DataFrame:
     """Gate for stored rows (as proposals, with ``status``): of rejected rows only the fact's name is checked."""
     gated = gate(entries, documents, model)
@@ -141,6 +190,14 @@ def confirmed_facts(entries: DataFrame) -> DataFrame:
     return rows
 
 
+def refuse_clashes(confirmed: DataFrame, most: int = 10) -> DataFrame:
+    """The confirmed facts, or an error if there are two values of one fact."""
+    bad = confirmed.where("clash").orderBy("patient", "fact").limit(most).collect()
+    if bad:
+        raise ValueError("clashing confirmed facts: " + ", ".join(f"{r.patient}/{r.fact}" for r in bad))
+    return confirmed.drop("clash")
+
+
 def pending_review(entries: DataFrame) -> DataFrame:
     """(patient, n, facts) of proposed rows."""
     return entries.where("status = 'proposed'").groupBy("patient").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("fact")), ",").alias("facts"))
@@ -182,9 +239,29 @@ def expected_calibration_error(buckets: DataFrame) -> DataFrame:
     return buckets.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.coalesce("gap", F.lit(0.0))).alias("s")).select(ratio(F.col("s"), F.col("total")).alias("ece"))
 
 
-def latency(rows: DataFrame, column: str) -> DataFrame:
-    """(n, mean, p50, p95) with nearest-rank percentiles."""
-    return rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.expr(f"percentile_disc(0.5) within group (order by `{column}`)").alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by `{column}`)").alias("p95"))
+def latency(rows: DataFrame, column: str, ranges: int = 256) -> DataFrame:
+    """(n, mean, p50, p95) with nearest-rank percentiles.
+
+    Equal values are counted first, in ranges of about equal size; only the range that a rank falls
+    into is put in order.
+    """
+    x = rows.select(F.col(column).alias("x")).where("x is not null")
+    bounds = sorted(set(x.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.5 / ranges)))
+    lot = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("x"))) if bounds else F.lit(0)
+    counted = x.groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("lot", lot)
+    lots = sorted((r.lot, r.n) for r in counted.groupBy("lot").agg(F.sum("n").alias("n")).collect())  # a number for each range
+    total = sum(n for _, n in lots)
+    out = x.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+    for name, p in (("p50", 0.5), ("p95", 0.95)):
+        rank, before, at = math.ceil(p * total), 0, 0
+        for at, n in lots:
+            if before + n >= rank:
+                break
+            before += n
+        upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) + before
+        found = counted.where(F.col("lot") == at).withColumn("upto", upto).where(F.col("upto") >= rank).agg(F.min("x").alias(name))
+        out = out.join(F.broadcast(found))
+    return out
 
 
 def caught_or_overblocked(rejected: DataFrame, expected: DataFrame) -> DataFrame:

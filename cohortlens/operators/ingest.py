@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +34,8 @@ CONVERSIONS = (
 #: Default shares of the corruptions, and days a stopped medication stays.
 RATES = {"drop_unit": 0.22, "sloppy_unit": 0.25, "convert": 0.10, "local_code": 0.18, "stringify": 0.07, "duplicate": 0.35, "backdate": 0.15, "unresolvable": 0.12}
 MEDICATION_DAYS, JITTER_DAYS = 365, 45
+#: By how many days, from and to, the date of a lab is moved back.
+BACKDATE = (30, 400)
 UNRESOLVABLE = "LOCAL-UNMAPPED-9"
 HF_CODES = ("88805009", "84114007", "42343007")
 
@@ -62,9 +60,11 @@ def normalize_labs(labs: DataFrame) -> DataFrame:
     """(… , slug, value, unit, raw, status, log) of lab rows (…, code, base, value_text, unit).
 
     ``value_text`` is the number as text; what is no plain number, or in a unit that isn't known for
-    the analyte, is quarantined: value and unit go, ``raw`` keeps both as text.  The dimensions are
-    fixed tables of under forty rows and so are broadcast.
+    the analyte, is quarantined: value and unit go, ``raw`` keeps both as text.  A row that an earlier
+    run has quarantined (no value, but ``raw``) stays exactly as it is, so that normalising twice is
+    normalising once.  The dimensions are fixed tables of under forty rows and so are broadcast.
     """
+    before = F.col("value_text").isNull() & F.col("raw").isNotNull() if "raw" in labs.columns else F.lit(False)
     spark = labs.sparkSession
     defs, local = lab_dim(spark), local_dim(spark).select("local", F.col("loinc").alias("mapped"))
     conv = conversion_dim(spark).withColumnsRenamed({"slug": "c_slug", "from_unit": "c_from", "to_unit": "c_to"})
@@ -79,7 +79,8 @@ def normalize_labs(labs: DataFrame) -> DataFrame:
     j = j.join(F.broadcast(conv), (F.col("slug") == F.col("c_slug")) & (F.coalesce("unit", F.lit("")) == F.col("c_from")) & (F.col("want") == F.col("c_to")), "left")
     number = F.when(F.col("value_text").rlike(r"\A-?\d+(\.\d+)?\z"), F.expr("try_cast(value_text as double)"))
     status = (
-        F.when(F.col("want").isNull(), "unresolvable-code")
+        F.when(before, "quarantined-before")
+        .when(F.col("want").isNull(), "unresolvable-code")
         .when(number.isNull(), "quarantined-value")
         .when(F.coalesce(F.col("unit") == F.col("want"), F.lit(False)), "ok")
         .when(F.coalesce(F.length(F.trim("unit")), F.lit(0)) == 0, "assumed-unit")
@@ -91,9 +92,11 @@ def normalize_labs(labs: DataFrame) -> DataFrame:
     bad = F.col("status").isin("unresolvable-code", "quarantined-value", "unknown-unit")
     value = F.when(bad, F.lit(None).cast("double")).when(F.col("status") == "converted", round_half_up(F.col("number") * F.col("factor"))).otherwise(F.col("number"))
     raw = F.when(bad, F.concat_ws(" ", "value_text", "unit"))
-    mapped = F.when(F.col("direct").isNull() & F.col("mapped").isNotNull(), "mapped-code")
-    keep = [c for c in labs.columns if c not in ("value_text", "unit")]
-    return j.select(*keep, "slug", value.alias("value"), F.when(bad, F.lit(None)).otherwise(F.col("want")).alias("unit"), raw.alias("raw"), "status", F.array_compact(F.array(mapped, F.when(F.col("status") != "ok", F.col("status")))).alias("log"))
+    raw = F.when(before, F.col("raw")).otherwise(raw) if "raw" in labs.columns else raw
+    bad = bad | (F.col("status") == "quarantined-before")
+    mapped = F.when(~before & F.col("direct").isNull() & F.col("mapped").isNotNull(), "mapped-code")
+    keep = [c for c in labs.columns if c not in ("value_text", "unit", "raw")]
+    return j.select(*keep, "slug", value.alias("value"), F.when(bad, F.lit(None)).otherwise(F.col("want")).alias("unit"), raw.alias("raw"), "status", F.array_compact(F.array(mapped, F.when(~F.col("status").isin("ok", "quarantined-before"), F.col("status")))).alias("log"))
 
 
 def dedup_codes(rows: DataFrame, *keys: str) -> DataFrame:
@@ -174,18 +177,18 @@ def hf_cohort(flat: DataFrame, n_hf: int, n_all: int) -> DataFrame:
 # --- seeded corruption -------------------------------------------------------------------------------
 
 
-class Draws:
-    """Numbers that depend on (seed, patient, stream) alone, one after the other: a keyed digest in counter mode."""
+def draw(seed: int, patient: Column, *stream: Column | str) -> Column:
+    """A number in [0, 1) that depends on the seed, the patient and the stream's name alone: the head of an MD5 digest."""
+    parts = [F.lit(str(seed)), patient.cast("string"), *(F.lit(s) if isinstance(s, str) else s for s in stream)]
+    return F.conv(F.left(F.md5(F.concat_ws(":", *parts)), F.lit(8)), 16, 10).cast("long") / float(1 << 32)
+
 
-    def __init__(self, seed: int, patient: str, stream: str):
-        self.key, self.i = f"{seed}:{patient}:{stream}".encode(), 0
+def _between(u: Column, low: int, high: int) -> Column:
+    return (F.floor(u * (high - low + 1)) + low).cast("long")
 
-    def next(self) -> float:
-        self.i += 1
-        return int.from_bytes(hashlib.blake2b(self.i.to_bytes(8, "little"), key=self.key[:64], digest_size=8).digest(), "little") / 2**64
 
-    def pick(self, items: list):
-        return items[int(self.next() * len(items))]
+def _any_of(u: Column, items: Column) -> Column:
+    return F.get(items, F.floor(u * F.size(items)).cast("int"))
 
 
 def mess(labs: DataFrame, seed: int, rates: dict | None = None) -> DataFrame:
@@ -196,43 +199,65 @@ def mess(labs: DataFrame, seed: int, rates: dict | None = None) -> DataFrame:
     alone, so that partitioning and order don't matter.
     """
     r = {**RATES, **(rates or {})}
-    local = {v: k for k, v in LOCAL_CODES.items()}
     sloppy: dict[str, list[str]] = {}
     for a, u in UNIT_ALIASES.items():
         sloppy.setdefault(u, []).append(a)
-    away = {(s, to): [(f, k) for s2, f, t, k in CONVERSIONS if (s2, t) == (s, to)] for s, _, to, _ in CONVERSIONS}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for patient, slug, code, value, unit, days in pdf.itertuples(index=False):
-                d, log, text = Draws(seed, patient, f"mess:{slug}"), [], None
-                if d.next() < r["local_code"]:
-                    if d.next() < r["unresolvable"]:
-                        code, _ = UNRESOLVABLE, log.append("unresolvable-code")
-                    elif code in local:
-                        code, _ = local[code], log.append("local-code")
-                x = d.next()
-                if x < r["drop_unit"]:
-                    unit, _ = None, log.append("drop-unit")
-                elif x < r["drop_unit"] + r["convert"] and away.get((slug, unit)):
-                    to, factor = d.pick(away[(slug, unit)])
-                    value, unit = value / factor, to
-                    log.append("convert-unit")
-                elif x < r["drop_unit"] + r["convert"] + r["sloppy_unit"] and sloppy.get(unit):
-                    unit = d.pick(sloppy[unit])
-                    log.append("sloppy-unit")
-                if d.next() < r["stringify"]:
-                    text = d.pick([f">{value:.2f}", f"<{value:.2f}", f"{value:.2f} (see comment)", "cancelled", "hemolyzed", f"{value:.2f} *"])
-                    log.append("stringify")
-                if d.next() < r["backdate"]:
-                    days = None if pd.isna(days) else int(days) + 400 + int(d.next() * 400)
-                    log.append("backdate")
-                out.append((patient, slug, code, text if text is not None else repr(float(value)), unit, days, log))
-            yield pd.DataFrame(out, columns=["patient", "slug", "code", "value_text", "unit", "days_ago", "log"]).astype({"days_ago": "Int64"})
-
-    src = labs.select("patient", "slug", "code", F.col("value").cast("double"), "unit", F.col("days_ago").cast("long"))
-    return src.mapInPandas(run, "patient string, slug string, code string, value_text string, unit string, days_ago long, log array<string>")
+    away: dict[str, list] = {}
+    for slug, given, want, factor in CONVERSIONS:
+        away.setdefault(f"{slug}|{want}", []).append(F.struct(F.lit(given).alias("unit"), F.lit(factor).alias("factor")))
+    table = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v)])
+    local = table({v: F.lit(k) for k, v in LOCAL_CODES.items()})
+    spelt = table({k: F.array(*map(F.lit, v)) for k, v in sloppy.items()})
+    converts = table({k: F.array(*v) for k, v in away.items()})
+    u = lambda name: draw(seed, F.col("patient"), F.concat(F.lit("mess:"), "slug"), name)
+
+    x = labs.select("patient", "slug", "code", F.col("value").cast("double").alias("value"), "unit", F.col("days_ago").cast("long").alias("days_ago"))
+    x = x.withColumns({"other": F.try_element_at(local, F.col("code")), "to": F.try_element_at(converts, F.concat_ws("|", "slug", "unit")), "spelt": F.try_element_at(spelt, F.col("unit")), "which": u("unit")})
+    drop, convert, sloppy_upto = r["drop_unit"], r["drop_unit"] + r["convert"], r["drop_unit"] + r["convert"] + r["sloppy_unit"]
+    coded = u("local-code") < r["local_code"]
+    x = x.withColumns({
+        "c": F.when(coded & (u("unresolvable") < r["unresolvable"]), "unresolvable-code").when(coded & F.col("other").isNotNull(), "local-code"),
+        "n": F.when(F.col("which") < drop, "drop-unit").when((F.col("which") < convert) & F.col("to").isNotNull(), "convert-unit").when((F.col("which") < sloppy_upto) & F.col("spelt").isNotNull(), "sloppy-unit"),
+        "t": F.when(u("stringify") < r["stringify"], "stringify"),
+        "d": F.when(F.col("days_ago").isNotNull() & (u("backdate") < r["backdate"]), "backdate"),
+        "to": _any_of(u("to"), F.col("to")),
+    })
+    value = F.when(F.col("n") == "convert-unit", F.col("value") / F.col("to.factor")).otherwise(F.col("value"))
+    shown = F.format_string("%.2f", value)
+    texts = F.array(F.concat(F.lit(">"), shown), F.concat(F.lit("<"), shown), F.concat(shown, F.lit(" (see comment)")), F.lit("cancelled"), F.lit("hemolyzed"), F.concat(shown, F.lit(" *")))
+    unit = F.when(F.col("n") == "drop-unit", F.lit(None)).when(F.col("n") == "convert-unit", F.col("to.unit")).when(F.col("n") == "sloppy-unit", _any_of(u("spelling"), F.col("spelt"))).otherwise(F.col("unit"))
+    return x.select(
+        "patient", "slug",
+        F.when(F.col("c") == "unresolvable-code", UNRESOLVABLE).when(F.col("c") == "local-code", F.col("other")).otherwise(F.col("code")).alias("code"),
+        F.when(F.col("t").isNotNull(), _any_of(u("text"), texts)).otherwise(value.cast("string")).alias("value_text"), unit.alias("unit"),
+        F.when(F.col("d").isNotNull(), F.col("days_ago") + _between(u("days"), *BACKDATE)).otherwise(F.col("days_ago")).alias("days_ago"),
+        F.array_compact(F.array("c", "n", "t", "d")).alias("log"),
+    )
+
+
+def mess_medications(rows: DataFrame, seed: int, rates: dict | None = None) -> DataFrame:
+    """``rows`` with ``copy``: 0, or 1 and 2 for the repeats that a careless join of two systems leaves.
+
+    rows: patient, seq, days_ago, and any other columns.  A copy is up to six days older than its
+    original; the copy of an undated row stays undated.
+    """
+    r = {**RATES, **(rates or {})}
+    w = Window.partitionBy("patient")
+    u = lambda *name: draw(seed, F.col("patient"), "mess:medications", *name)
+    numbered = rows.withColumns({"__i": F.row_number().over(w.orderBy("seq")) - 1, "__n": F.count(F.lit(1)).over(w)})
+    many = F.when(u("duplicate") < r["duplicate"], _between(u("copies"), 1, 2)).otherwise(0)
+    picked = F.filter(F.array(F.lit(1), F.lit(2)), lambda k: (k <= many) & (F.floor(u("pick", k.cast("string")) * F.col("__n")) == F.col("__i")))
+    out = numbered.withColumn("copy", F.explode(F.concat(F.array(F.lit(0)), picked)))
+    days = F.col("days_ago") + F.when(F.col("copy") > 0, _between(u("days", F.col("copy").cast("string")), 0, 6)).otherwise(0)
+    return out.withColumn("days_ago", days.cast(rows.schema["days_ago"].dataType)).drop("__i", "__n")
+
+
+def mess_conditions(rows: DataFrame, seed: int, rates: dict | None = None) -> DataFrame:
+    """``rows`` (patient, days_ago, and any other columns) with all onsets of some patients moved back alike; an undated one counts as of today there."""
+    r = {**RATES, **(rates or {})}
+    u = lambda name: draw(seed, F.col("patient"), "mess:conditions", name)
+    moved = F.coalesce("days_ago", F.lit(0)) + _between(u("days"), 20, 200)
+    return rows.withColumn("days_ago", F.when(u("backdate") < r["backdate"], moved).otherwise(F.col("days_ago")).cast(rows.schema["days_ago"].dataType))
 
 
 #: Facts of a heart-failure patient that records lack (name, low, high), and codes that are filled in.

@@ -109,6 +109,14 @@ def lint_units(units: DataFrame) -> DataFrame:
     return units.where(F.col("unit").isNotNull()).withColumn("detail", detail).where("detail is not null").select("patient", "fact", F.lit("invalid-patient-unit").alias("code"), "detail")
 
 
+def companion_units(long: DataFrame, model: FactModel) -> DataFrame:
+    """Findings on the ``<fact>_unit`` facts of a cohort, whose unit must be the declared one of the fact (:func:`lint_units`)."""
+    rows = [(f"{k}_unit", k, d.unit) for k, d in model.facts.items() if f"{k}_unit" not in model.facts]
+    decl = F.broadcast(long.sparkSession.createDataFrame(rows, "name string, of string, declared string"))
+    told = long.join(decl, F.col("fact") == F.col("name")).select("patient", F.col("of").alias("fact"), F.coalesce(F.try_variant_get("value", "$", "string"), F.lit("")).alias("unit"), "declared")
+    return lint_units(told)
+
+
 def duplicate_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     """The second and later rows of each id."""
     w = Window.partitionBy(key).orderBy(order)

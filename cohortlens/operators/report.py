@@ -12,21 +12,27 @@ from cohortlens.operators import cohort
 from cohortlens.operators.prove import Finding, by_severity
 
 
-def screen_json(ev: DataFrame, path: str, metadata: dict) -> None:
-    """Per-patient evaluations as JSON lines, and the metadata and counts beside them."""
+def screen_json(ev: DataFrame, path: str, metadata: dict) -> DataFrame:
+    """Per-patient evaluations as JSON lines, and the metadata and counts beside them; returns the evaluations as written."""
     ev.write.mode("overwrite").json(f"{path}/evaluations")
+    ev = ev.sparkSession.read.schema(ev.schema).json(f"{path}/evaluations")
     counts = {r.overall: r.n for r in cohort.overall_counts(ev).collect()}
     ev.sparkSession.createDataFrame([(json.dumps({**metadata, "counts": counts}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return ev
 
 
-def markdown_report(ev: DataFrame, rs: RuleSet, as_of: str) -> str:
-    """Bands, attrition and sole reasons of a screening; collects as many rows as there are criteria."""
+def markdown_report(ev: DataFrame, rs: RuleSet, as_of: str, shown: int = 20) -> str:
+    """Bands, attrition and sole disqualifiers of a screening; collects as many rows as there are criteria, each with ``shown`` patients at most."""
     bands = {r.band: r.n for r in cohort.display_band_counts(ev).collect()}
     rows = sorted(cohort.attrition(ev, rs).collect(), key=lambda r: r.ord)
     out = ["---", f"ruleset: {rs.ruleset}", f"version: {rs.version}", f"asOf: {as_of}", "---", "", "# Screening", "", "| band | patients |", "|---|---|"]
     out += [f"| {b} | {n} |" for b, n in bands.items()]
     out += ["", "| criterion | removed in order | fails alone | sole reason | sole modeled reason |", "|---|---|---|---|---|"]
     out += [f"| {r.id} | {r.removed_sequential} | {r.fails_alone} | {r.sole_reason} | {r.sole_modeled_reason} |" for r in rows]
+    for title, modeled in (("Sole disqualifiers", False), ("Sole modeled disqualifiers", True)):
+        lists = cohort.listed(cohort.sole_disqualifiers(ev, modeled), ["id"], shown).orderBy("id").collect()
+        more = lambda r: f" and {r.n - len(r.patients)} more" if r.n > len(r.patients) else ""
+        out += ["", f"## {title}", "", *([f"- {r.id} ({r.n}): {', '.join(map(str, r.patients))}{more(r)}" for r in lists] or ["none"])]
     return "\n".join(out) + "\n"
 
 

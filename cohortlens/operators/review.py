@@ -12,8 +12,8 @@ UNSURE = 0.8
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """The last decision of each card.  decisions: card, decision, value, at, correction_reason, correction_source."""
-    w = Window.partitionBy("card").orderBy(F.desc("at"))
+    """The last decision of each card; of equal times a rejection, then the greater value.  decisions: card, decision, value, at, correction_reason, correction_source."""
+    w = Window.partitionBy("card").orderBy(F.desc("at"), F.desc("decision"), F.desc("value"), F.desc("correction_reason"), F.desc("correction_source"))
     return decisions.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -34,6 +34,18 @@ def apply_review(cohort: DataFrame, proposals: DataFrame, decisions: DataFrame)
     return cohort.join(confirmed.join(known, "patient", "left_semi"), ["patient", "fact"], "full_outer").select("patient", "fact", F.coalesce("reviewed", "value").alias("value"))
 
 
+def structured_values(proposals: DataFrame, cohort: DataFrame) -> DataFrame:
+    """``proposals`` with ``structured``: the recorded value that a confirmation would override.  cohort: patient, fact, value, once for each patient and fact."""
+    return proposals.join(cohort.select("patient", "fact", F.col("value").alias("structured")), ["patient", "fact"], "left")
+
+
+def allowed_values(proposals: DataFrame, model: FactModel) -> DataFrame:
+    """``proposals`` with ``allowed``: the values that the model declares for an enum fact, NULL for others."""
+    rows = [(k, list(d.values)) for k, d in model.facts.items() if d.type == "enum"]
+    declared = proposals.sparkSession.createDataFrame(rows, "fact string, allowed array<string>")
+    return proposals.join(F.broadcast(declared), "fact", "left")
+
+
 def parse_edit(edited: Column, original_type: Column) -> Column:
     """An edited value of the original's type, as text; NULL where it is none (lists are refused)."""
     e = F.trim(edited)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,12 +159,20 @@ def _(spark, d):
     return cohort.attrition(_ev(spark, d), V1)
 
 
-@query("sole_disqualifiers", S.with_v1("SELECT id, count(*) AS n, string_agg(x.patient::VARCHAR, ',' ORDER BY x.patient::VARCHAR) AS patients FROM v AS x JOIN v_o USING (patient) WHERE verdict = 'fail' AND n_fail = 1 AND n_open + n_parked = 0 GROUP BY id"))
+@query("sole_disqualifiers", S.with_v1("SELECT id, x.patient AS patient FROM v AS x JOIN v_o USING (patient) WHERE verdict = 'fail' AND n_fail = 1 AND n_open = 0 AND NOT unmodeled"))
 def _(spark, d):
-    return cohort.sole_disqualifiers(_ev(spark, d))
+    """Over the modeled criteria: one that is not modeled is unknown for everybody and leaves no sole reason."""
+    modeled = replace(V1, criteria=tuple(c for c in V1.criteria if not c.unmodeled))
+    return cohort.sole_disqualifiers(evaluate.evaluate(facts_wide(spark, d), modeled, MODEL))
 
 
-@query("sole_modeled_reason", S.with_v1("SELECT id, count(*) AS n, string_agg(x.patient::VARCHAR, ',' ORDER BY x.patient::VARCHAR) AS patients FROM v AS x JOIN v_o USING (patient) WHERE verdict = 'fail' AND n_fail = 1 AND n_open = 0 AND NOT unmodeled GROUP BY id"))
+@query("sole_disqualifiers_listed", S.with_v1("SELECT id, count(*) AS n, array_to_string((list(x.patient ORDER BY x.patient))[1:3], ',') AS patients FROM v AS x JOIN v_o USING (patient) WHERE verdict = 'fail' AND n_fail = 1 AND n_open = 0 AND NOT unmodeled GROUP BY id"))
+def _(spark, d):
+    out = cohort.listed(cohort.sole_disqualifiers(_ev(spark, d), modeled=True), ["id"], 3)
+    return out.withColumn("patients", F.array_join(F.col("patients").cast("array<string>"), ","))
+
+
+@query("sole_modeled_reason", S.with_v1("SELECT id, x.patient AS patient FROM v AS x JOIN v_o USING (patient) WHERE verdict = 'fail' AND n_fail = 1 AND n_open = 0 AND NOT unmodeled"))
 def _(spark, d):
     return cohort.sole_disqualifiers(_ev(spark, d), modeled=True)
 
@@ -177,8 +186,8 @@ def _(spark, d):
 
 
 @query("funnel_drilldown", S.with_v1("""
-SELECT id, CASE WHEN verdict = 'unknown' AND unmodeled THEN 'chart_review' ELSE verdict END AS bucket, count(*) AS n, string_agg(patient::VARCHAR, ',' ORDER BY patient::VARCHAR) AS patients
-FROM (SELECT x.* FROM v AS x JOIN v_o USING (patient) WHERE first_ord IS NULL OR ord <= first_ord) GROUP BY 1, 2"""))
+SELECT id, CASE WHEN verdict = 'unknown' AND unmodeled THEN 'chart_review' ELSE verdict END AS bucket, patient
+FROM (SELECT x.* FROM v AS x JOIN v_o USING (patient) WHERE first_ord IS NULL OR ord <= first_ord)"""))
 def _(spark, d):
     return cohort.funnel_drilldown(_ev(spark, d))
 
@@ -428,15 +437,59 @@ def _(spark, d):
     return ingest.latest(rows, ["user_id", "event_type"], "ts", "event_id").drop("ts")
 
 
-@query("mess_ops")
+def _draw_sql(patient: str, *stream: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '7', {patient}, {', '.join(repr(s) for s in stream)})), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+_LAB_DRAW = lambda name: _draw_sql("event_id::VARCHAR", "mess:creatinine", name)
+
+
+@query("mess_ops", f"""WITH u AS (SELECT event_id, {_LAB_DRAW('local-code')} AS c, {_LAB_DRAW('unresolvable')} AS o, {_LAB_DRAW('unit')} AS n, {_LAB_DRAW('stringify')} AS t, {_LAB_DRAW('backdate')} AS d FROM events),
+l AS (SELECT event_id, CASE WHEN c < 0.18 THEN CASE WHEN o < 0.12 THEN 'unresolvable-code' ELSE 'local-code' END END AS op FROM u
+  UNION ALL SELECT event_id, CASE WHEN n < 0.22 THEN 'drop-unit' WHEN n < 0.22::DOUBLE + 0.10::DOUBLE THEN 'convert-unit' WHEN n < 0.22::DOUBLE + 0.10::DOUBLE + 0.25::DOUBLE THEN 'sloppy-unit' END FROM u
+  UNION ALL SELECT event_id, 'stringify' FROM u WHERE t < 0.07 UNION ALL SELECT event_id, 'backdate' FROM u WHERE d < 0.15)
+SELECT op, count(*) AS n, count(DISTINCT event_id) AS patients FROM l WHERE op IS NOT NULL GROUP BY op""")
 def _(spark, d):
-    """Seeded corruption of event values as labs; draws are a keyed digest, which SQL doesn't have."""
+    """Seeded corruption of event values as labs."""
     e = _read(spark, d, "events")
     labs = e.select(F.col("event_id").cast("string").alias("patient"), F.lit("creatinine").alias("slug"), F.lit("38483-4").alias("code"), "value", F.lit("mg/dL").alias("unit"), F.lit(10).alias("days_ago"))
     return ingest.op_counts(ingest.mess(labs, seed=7))
 
 
-@query("flatten_bundles")
+@query("mess_lab_rows", f"""SELECT event_id::VARCHAR AS patient, CASE WHEN {_LAB_DRAW('backdate')} < 0.15 THEN 10 + floor({_LAB_DRAW('days')} * 371)::BIGINT + 30 ELSE 10 END AS days_ago,
+  CASE WHEN {_LAB_DRAW('local-code')} < 0.18 THEN CASE WHEN {_LAB_DRAW('unresolvable')} < 0.12 THEN 'LOCAL-UNMAPPED-9' ELSE 'CREAT-S' END ELSE '38483-4' END AS code FROM events""")
+def _(spark, d):
+    e = _read(spark, d, "events")
+    labs = e.select(F.col("event_id").cast("string").alias("patient"), F.lit("creatinine").alias("slug"), F.lit("38483-4").alias("code"), "value", F.lit("mg/dL").alias("unit"), F.lit(10).alias("days_ago"))
+    return ingest.mess(labs, seed=7).select("patient", "days_ago", "code")
+
+
+_MED = lambda *s: _draw_sql("o_custkey::VARCHAR", "mess:medications", *s)
+
+
+@query("mess_medications", f"""WITH m AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 90 END AS ago, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n,
+  CASE WHEN {_MED('duplicate')} < 0.35 THEN floor({_MED('copies')} * 2) + 1 ELSE 0 END AS many FROM orders)
+SELECT o_custkey AS patient, o_orderkey AS seq, 0 AS copy, ago AS days_ago FROM m
+UNION ALL SELECT o_custkey, o_orderkey, 1, ago + floor({_MED('days', '1')} * 7)::BIGINT FROM m WHERE many >= 1 AND floor({_MED('pick', '1')} * n) = i
+UNION ALL SELECT o_custkey, o_orderkey, 2, ago + floor({_MED('days', '2')} * 7)::BIGINT FROM m WHERE many >= 2 AND floor({_MED('pick', '2')} * n) = i""")
+def _(spark, d):
+    o = _read(spark, d, "orders")
+    ago = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 90).cast("long")
+    return ingest.mess_medications(o.select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("seq"), ago.alias("days_ago")), seed=7)
+
+
+_COND = lambda s: _draw_sql("o_custkey::VARCHAR", "mess:conditions", s)
+
+
+@query("mess_conditions", f"""SELECT o_custkey AS patient, o_orderkey AS seq, CASE WHEN {_COND('backdate')} < 0.15 THEN coalesce(ago, 0) + floor({_COND('days')} * 181)::BIGINT + 20 ELSE ago END AS days_ago
+FROM (SELECT *, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 90 END AS ago FROM orders)""")
+def _(spark, d):
+    o = _read(spark, d, "orders")
+    ago = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 90).cast("long")
+    return ingest.mess_conditions(o.select(F.col("o_custkey").alias("patient"), F.col("o_orderkey").alias("seq"), ago.alias("days_ago")), seed=7)
+
+
+@query("flatten_bundles", "SELECT 'SYN-' || lpad(c_custkey::VARCHAR, 8, '0') AS patient, 41 AS age, 'female' AS sex, CASE WHEN count(o_orderkey) > 0 THEN 'hemoglobin' END AS lab_names FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def _(spark, d):
     """Customers and their orders as nested bundles, flattened again."""
     c = _read(spark, d, "customer").select("c_custkey")
@@ -448,7 +501,7 @@ def _(spark, d):
     text = F.concat(F.lit('{"entry":['), F.concat_ws(",", F.array(person), F.coalesce("es", F.array().cast("array<string>"))), F.lit("]}"))
     bundles = docs.select(F.from_json(text, ingest.BUNDLE).alias("b")).select("b.entry")
     flat = ingest.flatten(bundles, "2001-08-02")
-    return flat.select("patient", "age", "sex", F.map_keys("labs").alias("lab_names"))
+    return flat.select("patient", "age", "sex", F.array_join(F.map_keys("labs"), ",").alias("lab_names"))
 
 
 # --- grounding and scores --------------------------------------------------------------------------------
@@ -456,19 +509,26 @@ def _(spark, d):
 
 @query("ground_quotes", "SELECT item_id, count(*) AS n FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE length(trim(benchmark.text)) > 0 GROUP BY item_id")
 def _(spark, d):
-    """Benchmark passages as quotes, sought verbatim in documents.
+    """Benchmark passages as quotes, sought verbatim in documents; what stands beside a quote may touch its first and last word.
 
-    A quote can only stand in a document that holds its first eight words in a row, so an equi-join on
-    their hash comes first and no pair is compared without it.
+    A quote of three words or more is sought by the hash of its inner words, eight of them at most, so
+    that an equi-join on (how many, hash) comes first; shorter ones have no whole word of their own.
+    Those are sought by a window of their length from each place, again by an equi-join.
     """
-    words = 8
-    head = lambda w, at: F.xxhash64(F.array_join(F.slice(w, at, words), " "))
+    most = 8
     split = lambda c: F.split(c, " ")
-    quotes = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), split("text").alias("w")).where(F.size("w") >= words + 2)
-    quotes = quotes.select("item_id", "quote", head(F.col("w"), F.lit(2)).alias("h"))  # from the second word: the first may follow other text
+    digest = lambda w, at, k: F.xxhash64(F.array_join(F.slice(w, at, k), " "))
+    quotes = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), split("text").alias("w")).where(F.length(F.trim("text")) > 0)
+    k = F.least(F.size("w") - 2, F.lit(most))
+    inner = quotes.where(F.size("w") > 2).select("item_id", k.alias("k"), digest(F.col("w"), F.lit(2), k).alias("h"))
+    short = quotes.where(F.size("w") <= 2).select("item_id", (-F.length("quote")).alias("k"), F.xxhash64("quote").alias("h"))
     docs = _read(spark, d, "documents").select("doc_id", "text", split("text").alias("w"))
-    spots = docs.select("doc_id", "w", F.posexplode("w").alias("p", "x")).where(F.col("p") <= F.size("w") - words).select("doc_id", head(F.col("w"), F.col("p") + 1).alias("h"))
-    pairs = spots.join(quotes.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    keys = inner.unionByName(short)
+    sizes = [r.k for r in keys.select("k").distinct().collect()]  # at most eight word counts, and the lengths of short quotes
+    spots = docs.select("doc_id", "text", "w", F.explode(F.array(*map(F.lit, sizes or [1]))).alias("k"))
+    spots = spots.select("doc_id", "text", "w", "k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.when(F.col("k") > 0, F.size("w") - F.col("k") + 1).otherwise(F.length("text") + F.col("k") + 1)))).alias("p"))
+    spots = spots.select("doc_id", "k", F.when(F.col("k") > 0, digest(F.col("w"), F.col("p"), F.greatest("k", F.lit(1)))).otherwise(F.xxhash64(F.substring("text", F.col("p"), -F.col("k")))).alias("h"))
+    pairs = spots.join(keys, ["k", "h"]).select("doc_id", "item_id").distinct()
     hit = pairs.join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(ground.verbatim(F.col("quote"), F.col("text")))
     return hit.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -504,12 +564,17 @@ def _(spark, d):
     return ground.reason_counts(ground.gate(rows, docs, _GMODEL))
 
 
-@query("negation_gate")
+_DENIED = (
+    ("No evidence of class IV today", True), ("Not tired. Class IV since May", False), ("not class IV, but later class IV confirmed", False), ("free of iv, never IV", True),
+    ("nothing to tell", False), ("knot IV", False),
+)
+
+
+@query("negation_gate", f"SELECT event_id, [{', '.join(str(x).lower() for _, x in _DENIED)}][event_id % {len(_DENIED)} + 1] AS denied FROM events")
 def _(spark, d):
-    """Quotes that deny what they are cited for; the scan of all occurrences is no SQL function."""
-    e = _read(spark, d, "events").select("event_id", F.lit("class").alias("fact"), F.lit("enum").alias("kind"), F.lit("IV").alias("value"))
-    quote = F.when(F.col("event_id") % 2 == 0, F.lit("No evidence of class IV today")).otherwise(F.lit("Not tired. Class IV since May"))
-    return e.select(ground.negation(F.col("fact"), F.col("kind"), F.col("value"), quote).alias("denied")).groupBy("denied").agg(F.count(F.lit(1)).alias("n"))
+    """Quotes that deny what they are cited for, at each place where they name it."""
+    quote = F.element_at(F.array(*[F.lit(q) for q, _ in _DENIED]), (F.col("event_id") % len(_DENIED) + 1).cast("int"))
+    return _read(spark, d, "events").select("event_id", ground.negation(F.lit("class"), F.lit("enum"), F.lit("IV"), quote).alias("denied"))
 
 
 _ENTRIES = """e AS (SELECT o_custkey AS patient, 'fact' || (o_orderkey % 4) AS fact, CASE WHEN o_orderkey % 3 = 0 THEN 'pipeline' ELSE 'llm/m' END AS extracted_by,

@@ -54,10 +54,10 @@ def read_notes(files: DataFrame) -> DataFrame:
 
 
 def read_facts_files(files: DataFrame) -> DataFrame:
-    """(name, patient, asOf, entry struct, problems): one row for each entry."""
+    """(name, patient, asOf, problems, place, entry struct): one row for each entry, with its place in the file."""
     entry = "array<struct<fact:string,value:variant,unit:string,status:string,confidence:double,extractedBy:string,source:struct<doc:string,quote:string>,measuredAt:string,validWithinDays:int,reviewedBy:string,reviewedAt:string>>"
     rows = _parsed(files, lambda t, n: D.parse_facts_file(t), ("patient", "asOf", "facts"))
-    return rows.select("name", "patient", "asOf", "problems", F.explode_outer(F.from_json("facts", entry)).alias("entry"))
+    return rows.select("name", "patient", "asOf", "problems", F.posexplode_outer(F.from_json("facts", entry)).alias("place", "entry"))
 
 
 def duplicate_documents(notes: DataFrame) -> DataFrame:
@@ -95,6 +95,28 @@ def read_recordings(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("valid", ok)
 
 
+def matching(recordings: DataFrame, controls: dict[str, str]) -> DataFrame:
+    """Valid recordings of exactly this request, prompt and schema (``sidecars.controls``); all others fail closed."""
+    ok = F.col("valid")
+    for k, v in controls.items():
+        ok = ok & F.col(k).eqNullSafe(F.lit(v))
+    return recordings.where(ok)
+
+
+def read_legacy_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """Recordings of the older form, which is bound to no request: (doc, model, recordedAt, output, valid)."""
+    rows = spark.read.schema("doc string, model string, promptHash string, recordedAt string, output string").option("multiLine", True).json(path)
+    ok = F.col("promptHash").rlike("^[0-9a-f]{64}$")
+    for c in ("doc", "model", "recordedAt", "output"):
+        ok = ok & F.col(c).isNotNull()
+    return rows.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
+def write_recordings(recordings: DataFrame, path: str) -> None:
+    """Recorded responses as JSON, one envelope a line; reading them again gives the same rows."""
+    recordings.drop("valid").write.mode("errorifexists").json(path)
+
+
 def criterion_lines(spark: SparkSession, path: str) -> DataFrame:
     """(trial, kind, line) of criterion files named <trial>_inc.txt or <trial>_exc.txt."""
     from cohortlens.operators.classify import split_lines

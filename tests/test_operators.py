@@ -131,6 +131,8 @@ def test_api_end_to_end(spark, tmp_path):
     assert [(r.patient, r.id, r.got) for r in t.mismatches.collect()] == [("y", "overall", "undetermined")]
     (tmp_path / "p" / "e.yaml").write_text(json.dumps({"patient": "a", "facts": {"age": "70", "sex": "x"}}))
     assert {(r.code, r.fact) for r in e.cohort(str(tmp_path / "p"), MODEL_TEXT, [D.parse_ruleset(A)])[1].collect()} == {("duplicate-patient", "patient"), ("invalid-patient-fact", "age"), ("invalid-patient-fact", "sex")}
+    (tmp_path / "p" / "f.yaml").write_text(json.dumps({"patient": "u", "facts": {"age": 70, "age_unit": "months"}}))
+    assert ("invalid-patient-unit", "age") in {(r.code, r.fact) for r in e.cohort(str(tmp_path / "p"), MODEL_TEXT, [D.parse_ruleset(A)])[1].collect()}
     with pytest.raises(ValueError, match="blocked"):
         e.evaluate(facts, A.replace("years", "months"), MODEL_TEXT)
 
