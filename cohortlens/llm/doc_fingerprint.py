@@ -1,14 +1,17 @@
 """Canonical exact fingerprints of documents, in DataFrame functions only.
 
-Canonical text: characters that have a one-character compatibility form are replaced by it,
-combining marks are composed with their base letter, letters are lower-cased, and white-space runs
-become one space (none at the ends).  The fingerprint is two chained XXH64 values of the canonical
+Canonical text: compatibility normal form (NFKC) with case folding, and white-space runs become one
+space (none at the ends).  Characters are folded one by one; runs of combining marks are put in
+canonical order (32 marks at a time, more than any writing system stacks) and composed with the
+letter before them, conjoining Hangul letters with one another.  Plain Latin text skips all but the
+lower-casing.  The fingerprint is two chained XXH64 values of the canonical
 text.  Equal fingerprints are checked byte by byte: in a bucket whose least and greatest canonical
 texts differ, the fingerprint carries the text's SHA-256 as well, so that equal fingerprints always
 mean equal canonical texts.
 
 Defined results: a null text is an empty one; equal ids are ordered by text; a null id comes first;
-repeated rows stay; other columns are ignored.  With one row the next document is the row itself.
+repeated rows stay; other columns are ignored; an empty table gives no rows; very long texts are read
+whole.  With one row the next document is the row itself.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,52 +29,161 @@ from cohortlens.llm.common import documents, parallelism, save, shards
 _SPACE = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 
 
+#: Marks that are put in order at once.
+STACK = 32
+#: Frequent characters with longer forms, which are replaced before all others are looked for.
+_FREQUENT = "…™½¼¾ﬁﬂ№"
+#: The Greek iota below, a mark that folds to a letter once marks are in order.
+_IOTA = "\u0345"
+_PLAIN = "[^\\x00-\\x9f\\u00c0-\\u0131]"
+_NUL = "\x00"
+
+
+class Unicode(NamedTuple):
+    """Parallel strings made from Python's Unicode data; lists are joined by NUL."""
+
+    one: str  # characters whose folded form is one character
+    to: str
+    many: str  # characters whose folded form is longer
+    forms: str
+    marks: str  # combining marks, and their classes as characters in order
+    classes: str
+    dec: str  # characters with a canonical decomposition
+    parts: str
+    second: str  # marks that compose, the letters before them, and what they make
+    bases: str
+    built: str
+
+
+def _folded(text: str) -> str:
+    nf = unicodedata.normalize
+    return nf("NFKC", nf("NFKC", nf("NFD", text).casefold()).casefold())
+
+
 @lru_cache
-def _tables() -> tuple[str, str, list[tuple[str, str, str]]]:
-    """From the Unicode data: single characters with their compatibility form, and for each combining mark its bases and their compositions."""
-    one, to, marks = [], [], {}
-    for c in range(0xA0, sys.maxunicode + 1):
-        ch = chr(c)
+def _unicode() -> Unicode:
+    one, many, marks, dec, pairs = {}, {}, {}, {}, {}
+    for c in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4:
             continue
-        form = unicodedata.normalize("NFKC", ch)
-        if len(form) == 1 and form != ch and unicodedata.category(ch)[0] != "M":
-            one.append(ch)
-            to.append(form)
-        d = unicodedata.decomposition(ch)
-        if d and not d.startswith("<") and " " in d and form == ch:
-            base, mark = (chr(int(x, 16)) for x in d.split())
-            if unicodedata.category(mark)[0] == "M":
-                marks.setdefault(mark, []).append((base, ch))
-    return "".join(one), "".join(to), [(m, "".join(b for b, _ in x), "".join(c for _, c in x)) for m, x in marks.items()]
+        ch = chr(c)
+        form, d = _folded(ch), unicodedata.normalize("NFD", ch)
+        if _IOTA in d and ch != _IOTA:
+            form = _folded(d.replace(_IOTA, "")) + _IOTA
+        if form != ch and ch != _IOTA:
+            (one if len(form) == 1 else many)[ch] = form
+        if unicodedata.combining(ch):
+            marks[ch] = chr(0x100 + unicodedata.combining(ch))
+        if d != ch:
+            dec[ch] = d
+            step = unicodedata.decomposition(ch).split()
+            if len(step) == 2 and unicodedata.normalize("NFC", ch) == ch and chr(int(step[1], 16)) != _IOTA:
+                base, mark = (chr(int(x, 16)) for x in step)
+                pairs.setdefault(mark, {})[base] = ch
+    join = "".join
+    return Unicode(
+        join(one), join(one.values()), join(many), _NUL.join(many.values()), join(marks), join(marks.values()), join(dec), _NUL.join(dec.values()),
+        join(pairs), _NUL.join(map(join, pairs.values())), _NUL.join(join(x.values()) for x in pairs.values()),
+    )
+
+
+def _class_of(chars: str, gap: int = 16) -> str:
+    """A character class that holds them, and what stands in gaps of that width, so that it has few ranges."""
+    codes, runs = sorted(map(ord, chars)), []
+    for c in codes:
+        if runs and c <= runs[-1][1] + gap:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def _listed(joined: str) -> Column:
+    return F.split(F.lit(joined), _NUL)
+
+
+def _looked_up(c: Column, keys: str, values: Column, other: Column) -> Column:
+    at = F.instr(F.lit(keys), c)
+    return F.when((at > 0) & (F.length(c) == 1), F.element_at(values, F.greatest(at, F.lit(1)))).otherwise(other)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _ordered_and_composed(cluster: Column) -> Column:
+    """One letter and its marks in canonical order, composed as far as they are not blocked."""
+    u = _unicode()
+    starter = F.lit(chr(0x100))
+    chars = F.filter(F.flatten(F.transform(F.split(cluster, ""), lambda c: F.split(_looked_up(c, u.dec, _listed(u.parts), c), ""))), lambda c: c != "")
+    ranked = F.transform(chars, lambda c: F.struct(_looked_up(c, u.marks, F.split(F.lit(u.classes), ""), starter).alias("k"), c.alias("c")))
+
+    def placed(x: Column) -> Column:
+        run = lambda i: F.size(F.filter(F.slice(x, 1, i + 1), lambda y: y["k"] == starter))
+        return F.array_sort(F.transform(x, lambda y, i: F.struct(run(i).alias("run"), y["k"].alias("k"), i.alias("i"), y["c"].alias("c"))))
+
+    def made(a: Column, b: Column) -> Column:
+        k = F.greatest(F.instr(F.lit(u.second), b), F.lit(1))
+        j = F.instr(F.element_at(_listed(u.bases), k), a)
+        return F.when(F.contains(F.lit(u.second), b) & (F.length(a) > 0) & (j > 0), F.substring(F.element_at(_listed(u.built), k), j, F.lit(1))).otherwise("")
+
+    state = lambda done, first, tail, last: F.struct(done.alias("done"), first.alias("first"), tail.alias("tail"), last.alias("last"))
+
+    def step(s: Column, x: Column) -> Column:
+        blocked = (s["tail"] != "") & (s["last"] >= x["k"])
+        new = F.when(blocked, "").otherwise(made(s["first"], x["c"]))
+        begins = state(F.concat(s["done"], s["first"], s["tail"]), x["c"], F.lit(""), F.lit(""))
+        return F.when(new != "", state(s["done"], new, s["tail"], s["last"])).when(x["k"] == starter, begins).otherwise(state(s["done"], s["first"], F.concat(s["tail"], x["c"]), x["k"]))
+
+    return F.aggregate(_let(ranked, placed), state(*[F.lit("")] * 4), step, lambda s: F.concat(s["done"], s["first"], s["tail"]))
 
 
 def _composed(text: Column) -> Column:
-    """Combining marks composed with the letter before them, in the order in which they stand."""
-    _, _, marks = _tables()
-    kinds = F.lit("".join(m for m, _, _ in marks))
-    bases, built = (F.array(*[F.lit(x[i]) for x in marks]) for i in (1, 2))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)\\P{{M}}*+\\p{{M}}{{1,{STACK}}}|\\P{{M}}++"), F.lit(0))
+
+    def piece(p: Column) -> Column:
+        n = F.length(F.regexp_extract(p, "^\\P{M}*+", 0))
+        head = F.greatest(n - 1, F.lit(0))
+        return F.when(n < F.length(p), F.concat(F.left(p, head), _ordered_and_composed(F.substring(p, head + 1, F.length(p))))).otherwise(p)
+
+    return F.array_join(F.transform(pieces, piece), "")
+
+
+def _hangul(text: Column) -> Column:
+    """Conjoining letters as syllables, by their numbers."""
+    pieces = F.regexp_extract_all(text, F.lit("(?s)[\\u1100-\\u1112][\\u1161-\\u1175][\\u11a8-\\u11c2]?|[\\uac00-\\ud7a3][\\u11a8-\\u11c2]|[^\\u1100-\\u1112\\uac00-\\ud7a3]++|."), F.lit(0))
+
+    def piece(p: Column) -> Column:
+        code = lambda i: F.ascii(F.substring(p, i, 1))
+        last = F.when(F.length(p) == 3, code(3) - 0x11A7).otherwise(0)
+        syllable = F.when(p.rlike("^[\\u1100-\\u1112][\\u1161-\\u1175]"), (code(1) - 0x1100) * 588 + (code(2) - 0x1161) * 28 + last + 0xAC00)
+        syllable = syllable.when(p.rlike("^[\\uac00-\\ud7a3][\\u11a8-\\u11c2]") & ((code(1) - 0xAC00) % 28 == 0), code(1) + code(2) - 0x11A7)
+        return F.when(syllable.isNull(), p).otherwise(F.decode(F.unhex(F.lpad(F.hex(syllable), 4, "0")), "UTF-16BE"))
+
+    return F.array_join(F.transform(pieces, piece), "")
 
-    def step(done: Column, mark: Column) -> Column:
-        at = F.greatest(F.instr(kinds, mark), F.lit(1))
-        k = F.instr(F.element_at(bases, at), F.right(done, F.lit(1)))
-        new = F.substring(F.element_at(built, at), k, F.lit(1))
-        fits = F.contains(kinds, mark) & (F.length(done) > 0) & (k > 0)
-        return F.when(fits, F.concat(F.left(done, F.length(done) - 1), new)).otherwise(F.concat(done, mark))
 
-    runs = F.regexp_extract_all(text, F.lit("(?s)(\\P{M}\\p{M}+|(?:\\P{M}(?!\\p{M}))+|\\p{M}+)"), F.lit(1))
-    clusters = F.transform(runs, lambda c: F.when(c.rlike("^\\P{M}\\p{M}"), F.aggregate(F.split(F.substring(c, F.lit(2), F.length(c)), ""), F.left(c, F.lit(1)), step)).otherwise(c))
-    return F.array_join(clusters, "")
+def _spelt_out(text: Column) -> Column:
+    """Characters whose folded form is longer, replaced."""
+    u = _unicode()
+    many = _class_of(u.many)
+    runs = F.regexp_extract_all(text, F.lit(f"(?s){many}|[^{many[1:-1]}]++"), F.lit(0))
+    some = F.length(F.translate(text, u.many, "")) < F.length(text)
+    return F.when(some, F.array_join(F.transform(runs, lambda r: _looked_up(r, u.many, _listed(u.forms), r)), "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
-    """The text that is digested.  Native functions have no full normalisation form: letters and marks
-    compose as in NFC (marks in the order given), compatibility characters with a form of one
-    character take it, and those with a longer form stay."""
-    one, to, _ = _tables()
-    plain = F.when(text.rlike("[^\\x00-\\x9f\\u00c0-\\u0131]"), F.translate(text, one, to)).otherwise(text)
-    composed = F.when(plain.rlike("\\p{M}"), _composed(plain)).otherwise(plain)
-    return F.trim(F.regexp_replace(F.lower(composed), _SPACE, " "))
+    """The text that is digested.  Each step works on a value that is worked out once."""
+    u = _unicode()
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    single = F.translate(low, u.one, u.to)
+    for c in _FREQUENT:
+        single = F.replace(single, F.lit(c), F.lit(_folded(c)))
+    ordered = lambda x: F.when(x.rlike("\\p{M}"), F.translate(_composed(x), _IOTA, "ι")).otherwise(x)
+    joined = lambda x: F.when(x.rlike("[\\u1161-\\u1175\\u11a8-\\u11c2]"), _hangul(x)).otherwise(x)
+    full = _let(_let(_let(single, _spelt_out), ordered), joined)
+    return F.trim(F.regexp_replace(F.when(low.rlike(_PLAIN), full).otherwise(low), _SPACE, " "))
 
 
 def wide_hash(text: Column) -> list[Column]:
