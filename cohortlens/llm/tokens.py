@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 #: Texts longer than this many code points are encoded in overlapping chunks.
 CHUNK, OVERLAP = 32_768, 256
 #: Distinct pieces that a worker remembers before it starts a new memory; what the last one held is taken over when it is met again.
-MEMORY = 250_000
+MEMORY = 400_000
 #: Bytes of text handled at once.
 SLICE_BYTES = 6 << 20
 
