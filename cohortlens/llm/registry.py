@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, doc_fingerprint, packing, pii, quality, simhash, substring_dedup, token_counts, token_file, url_filter
+from cohortlens.llm import decontaminate, doc_fingerprint, packing, pii, quality, simhash, substring_dedup, token_counts, token_file, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": decontaminate.op8,
         "op9_token_file": token_file.op9,
         "op10_best_fit_packing": packing.op10,
+        "op11_vector_codes": vector_codes.op11,
     }
 
 
