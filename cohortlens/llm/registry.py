@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import decontaminate, doc_fingerprint, packing, pii, quality, simhash, substring_dedup, token_align, token_counts, token_file, url_filter, vector_codes
+from cohortlens.llm import decontaminate, doc_fingerprint, html_extract, packing, pii, quality, simhash, substring_dedup, token_align, token_counts, token_file, url_filter, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": packing.op10,
         "op11_vector_codes": vector_codes.op11,
         "op12_token_alignment": token_align.op12,
+        "op13_html_extraction": html_extract.op13,
     }
 
 
