@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from cohortlens.llm import tokens
 from cohortlens.llm.common import Tables, documents
 
-#: Pieces, and bytes of them, that a worker remembers before it starts anew.
-MEMORY, MEMORY_BYTES = 300_000, 24 << 20
+#: Pieces, and bytes of them, that a worker remembers before it starts anew; parts of pieces that it remembers besides.
+MEMORY, MEMORY_BYTES, MEMORY_PARTS = 150_000, 16 << 20, 60_000
+#: Bytes of text handled at once.
+SLICE_BYTES = 2 << 20
 #: Pieces of one text that are hashed at once.
 HASHED = 50_000
 
@@ -165,7 +167,7 @@ class Aligner:
         if not n:
             return
         size = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1])
-        run = np.diff(np.cumsum(size) // tokens.SLICE_BYTES, prepend=0)
+        run = np.diff(np.cumsum(size) // SLICE_BYTES, prepend=0)
         edges = sorted({0, *np.flatnonzero(run).tolist(), n})
         for a, z in zip(edges, edges[1:], strict=False):
             yield a, z, *self._align(texts.slice(a, z - a))
@@ -173,7 +175,7 @@ class Aligner:
     def _align(self, texts: pa.Array):
         if len(self.slots) > MEMORY or self.held > MEMORY_BYTES:
             self._reset()
-        if len(self.enc.atoms) > tokens.MEMORY:
+        if len(self.enc.atoms) > MEMORY_PARTS:
             self.enc.atoms, self.enc.past_atoms = {}, {}
         n = len(texts)
         odd = pc.match_substring_regex(texts, _ODD) if self.cuts else pa.array(np.ones(n, bool))

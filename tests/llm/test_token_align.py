@@ -84,7 +84,7 @@ def test_memory_that_starts_anew(monkeypatch):
     want = [(x.tolist() if isinstance(x, np.ndarray) else x) for part in al.align(texts) for x in part]
     monkeypatch.setattr(token_align, "MEMORY", 0)
     monkeypatch.setattr(token_align, "HASHED", 7)
-    monkeypatch.setattr(tokens, "SLICE_BYTES", 500)
+    monkeypatch.setattr(token_align, "SLICE_BYTES", 500)
     parts = list(al.align(texts))
     assert len(parts) > 5
     assert [d for p in parts for d in p[5]] == want[5]
