@@ -1,94 +1,83 @@
-"""Which criterion lines a closed condition language could express, by the terms in their text."""
+"""Which criterion lines a closed condition language could express, by the terms in their text.
+
+A line is cut into tokens once; its runs of tokens are looked up in the term tables' hash sets, longer
+runs only where a token begins a term of that length (a trie by length).  No shuffle, no regular
+expression for a term, no UDF: a lexicon of any number of terms costs one look-up a run.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The words that count as numbers beside digits.
-NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
-_TIME = ("day", "days", "week", "weeks", "month", "months", "year", "years")
-#: Units as they are written; capitals count.
-UNITS = ("mg/dL", "mg/dl", "g/dL", "g/dl", "mmol/L", "mEq/L", "mmHg", "mm Hg", "mL/min", "IU/L", "U/L", "pg/mL", "pg/ml", "ng/mL", "ng/ml", "10^9/L", "109/L", "10*9/L", "cells/mm3", "kg/m2", "mg/kg", "mm3")
-#: Terms for what a rule could compare.  A term is a row of slots; ``|`` parts the words of a slot, ``*``
-#: stands for any letters, ``?`` ends a slot that may be missing, ``..3`` for up to three words between,
-#: ``#`` for a number and ``~`` for days, weeks, months or years.
-ANCHORS = {
-    "numeric-threshold": (
-        "<|>|≤|≥ =? #", "greater|less|more|fewer|higher|lower than #", "greater|less|more|fewer|higher|lower than or equal to #",
-        "at least #", "between # and #", "up to #",
-    ),
-    "age": ("age|ages|aged",),
-    "sex": ("male|males|female|females", "men|women"),
-    "unit": ("# %",),
-    "time-window": ("within the? last|past|previous|prior? # ~", "in the last|past|previous # ~", "# ~ prior|before|preceding|of"),
-    "diagnosis": ("diagnosis|diagnosed|documented|known|confirmed", "history|evidence|presence of"),
-    "medication": ("treatment|therapy with", "receiving|taking", "use of", "on a? stable? dose", "anticoagulant|chemotherapy|antibiotic|insulin|steroid"),
-    "clinical-condition": (
-        "disease*|disorder*|syndrome*|failure*|insufficien*|infect*|allerg*|ulcer*|bleeding*|hemorrhag*|haemorrhag*",
-        "cancer*|carcinoma*|tumor*|tumour*|malignan*|neoplas*|metasta*",
-        "pregnan*|lactating*|breastfeeding*", "breast feeding*",
-        "diabet*|obesity*|obese*|hypertens*|hypotens*|angina*|arrhythmia*|fibrillation*|infarct*|stroke*|thromb*|embol*|anemi*|anaemi*",
-        "seizure*|epilep*|dementia*|depression*|psychosis*|schizophren*",
-        "asthma*|copd*|hiv*|aids*|hepatitis*|cirrhosis*", "transplant*|dialysis*|surg*|fracture*",
-        "****itis|****emia|****aemia|****osis|****opathy|****oma|****ectomy|****plasia|****trophy|****pnea|****pnoea|****algia",
-    ),
-    "named-measure": (
-        "creatinine|hemoglobin|haemoglobin|platelet|bilirubin|alt|ast|sgot|sgpt", "lvef|bnp|egfr|gfr|wbc|neutrophil|hba1c|a1c|bmi|karnofsky|ecog",
-        "ejection fraction", "blood pressure", "performance status",
-    ),
-}
-#: Terms for what no rule can compare.
-BLOCKERS = {
-    "investigator-judgement": (
-        "in the opinion|judgment|judgement|view of", "investigator|investigators|investigator's opinion|discretion*|judg*",
-        "as determined|judged|assessed by", "deemed", "at the discretion", "felt to be",
-    ),
-    "vague-qualifier": (
-        "clinically significant|relevant|important", "adequate|inadequate|appropriate|acceptable|satisfactory|suitable|unsuitable", "well|poorly controlled",
-        "wellcontrolled|uncontrolled|stable", "medically fit",
-    ),
-    "consent-or-logistics": (
-        "informed consent", "willing*|unwilling", "able to comply|understand|attend|complete|tolerate|swallow", "compliance", "comply with", "follow up", "followup",
-        "questionnaire|prisoner|caregiver|incarcerat*|geograph*|transport*", "available for",
-    ),
-    "open-ended-list": ("but not limited to", "including but", "such as", "etc", "any|or other", "any condition|disease"),
-    "intent-or-plan": ("planned|unlikely|potential|potentially|anticipat*|intend*|contemplat*", "expected|likely to", "candidate for"),
-    "exception-clause": ("unless|except", "with the exception", "other than"),
-    "prognosis": ("life expectancy", "prognosis", "survival of at least"),
-    "interference": ("would|which|that|might|may ..3 interfere|preclude|confound|compromise|jeopardise|jeopardize|limit",),
-}
+from cohortlens.operators.term_table import ANCHORS, BLOCKERS, NUMBER_WORDS, TIME_WORDS
+
 CLASSES = ("expressible", "partially", "unmodeled")
 SHORTEST = 12
 #: Words (an apostrophe inside), numbers, and the signs that terms use; anything else parts them.
-_TOKEN = r"[\p{L}_][\p{L}\d_]*(?:['’]\p{L}+)?|\d+(?:[.,]\d+)*|[<>≤≥=%/^*]"
-
-
-def _slot(slot: str) -> str:
-    if slot.startswith(".."):
-        return f"(?:[^ ]+ ){{0,{slot[2:]}}}"
-    words = [re.escape(w.replace("*", "\0")).replace("\0\0\0\0", "[^ ]{4,}").replace("\0", "[^ ]*") for w in slot.removesuffix("?").split("|")]
-    return f"(?:{'|'.join(words)}) " if not slot.endswith("?") else f"(?:(?:{'|'.join(words)}) )?"
-
-
-def _holds(line: Column, terms: tuple[str, ...]) -> Column:
-    """Whether a line of tokens (a space on either side of each) holds one of the terms."""
-    return line.rlike(" (?:" + "|".join("".join(map(_slot, t.split(" "))) for t in terms) + ")")
-
-
-def signals(line: Column, lexicon: dict[str, tuple[str, ...]]) -> Column:
-    """Names of the term tables of which a line holds a term, in their order."""
-    tokens = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(0))
-    kind = lambda t: F.when(t.rlike("^\\d") | t.isin(*NUMBER_WORDS), "#").when(t.isin(*_TIME), "~").otherwise(F.replace(t, F.lit("’"), F.lit("'")))
-    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    plain = spaced(F.transform(tokens, lambda t: kind(F.lower(t))))
-    written = [" ".join(re.findall(r"[^\W\d]\w*|\d+|[/^*]", u)) for u in UNITS]
-    found = {name: _holds(plain, terms) for name, terms in lexicon.items()}
-    if "unit" in found:
-        found["unit"] = found["unit"] | spaced(tokens).rlike(" (?:" + "|".join(map(re.escape, written)) + ") ")
-    return F.array_compact(F.array(*[F.when(hit, F.lit(n)) for n, hit in found.items()]))
+TOKEN = r"\p{L}+(?:['’]\p{L}+)?|[0-9]+(?:[.,][0-9]+)*|[<>]=?|[≤≥=%/^*]"
+
+
+def _listed(words) -> str:
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(words))
+
+
+def _number(t: str) -> str:
+    return f"({t} >= '0' AND {t} < ':')"  # begins with a digit
+
+
+def _normal(t: str) -> str:
+    return f"CASE WHEN {_number(t)} OR {t} IN ({_listed(NUMBER_WORDS)}) THEN '#' WHEN {t} IN ({_listed(TIME_WORDS)}) THEN '~' WHEN {t} = '≤' THEN '<=' WHEN {t} = '≥' THEN '>=' ELSE {t} END"
+
+
+def _longer_runs(tokens: str, terms: list[str], normal: Callable[[str], str], classes: dict[str, str], mark: str) -> str:
+    """SQL of the runs of two tokens or more that are terms; runs begin where a token, or a class of tokens, begins a term."""
+    first = {t.split(" ", 1)[0] for t in terms}
+    starts = " OR ".join([f"t IN ({_listed(first - set(classes))})", *(test for name, test in classes.items() if name in first)])
+    lengths = sorted({t.count(" ") + 1 for t in terms})
+    runs = ", ".join(f"array_join(slice(w, 1, {n}), ' ')" for n in lengths)
+    at = f"filter(transform({tokens}, (t, i) -> CASE WHEN {starts} THEN i END), i -> i IS NOT NULL)"
+    words = f"transform({at}, i -> transform(slice({tokens}, i + 1, {lengths[-1]}), x -> {normal('x')}))"
+    return f"transform(filter(flatten(transform({words}, w -> array({runs}))), run -> run IN ({_listed(terms)})), run -> concat('{mark}', run))"
+
+
+def hits(lines: DataFrame, column: str, rows: list[tuple[str, str]], out: str = "hits") -> DataFrame:
+    """Adds the distinct terms of ``rows`` (signal, term) that each line holds; a null line holds none."""
+    taken = {c.lower() for c in lines.columns}
+    raw, low = "__raw", "__low"
+    while raw in taken or low in taken:
+        raw, low = raw + "_", low + "_"
+    words = {t for _, t in rows if t[0] not in "$-"}
+    units = sorted({t[1:] for _, t in rows if t[0] == "$"})
+    endings = sorted({t[1:] for _, t in rows if t[0] == "-"}, key=lambda e: (-len(e), e))
+    classes = {"#": f"{_number('t')} OR t IN ({_listed(NUMBER_WORDS)})", "~": f"t IN ({_listed(TIME_WORDS)})", "<=": "t = '≤' OR t = '<='", ">=": "t = '≥' OR t = '>='"}
+    found = []
+    if single := [t for t in words if " " not in t]:
+        found.append(f"filter({low}, t -> t IN ({_listed(single)}))")
+    if longer := [t for t in words if " " in t]:
+        found.append(_longer_runs(low, longer, _normal, classes, ""))
+    if units:
+        found.append(f"transform(filter({raw}, t -> t IN ({_listed(units)})), t -> concat('$', t))")
+    if longer := [t for t in units if " " in t]:
+        found.append(_longer_runs(raw, longer, lambda t: f"CASE WHEN {_number(t)} THEN '#' ELSE {t} END", {}, "$"))
+    if endings:
+        held = [f"(endswith(t, '{e}') AND length(t) >= {len(e) + 3})" for e in endings]
+        named = ", ".join(f"CASE WHEN {h} THEN '-{e}' END" for e, h in zip(endings, held, strict=True))
+        found.append(f"array_compact(flatten(transform(filter({low}, t -> {' OR '.join(held)}), t -> array({named}))))")
+    cut = lines.withColumn(raw, F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(TOKEN), F.lit(0)))
+    cut = cut.withColumn(low, F.expr(f"transform({raw}, t -> replace(lower(t), '’', '\\''))"))
+    return cut.withColumn(out, F.expr(f"array_distinct(concat({', '.join(found)}))") if found else F.array().cast("array<string>")).drop(raw, low)
+
+
+def signals(found: str, rows: list[tuple[str, str]]) -> Column:
+    """Names of the signals of which the terms in a column hold one, in the table's order."""
+    named: dict[str, list[str]] = {}
+    for name, term in rows:
+        named.setdefault(name, []).append(term)
+    cases = ", ".join(f"CASE WHEN exists(`{found}`, h -> h IN ({_listed(set(terms))})) THEN '{name}' END" for name, terms in named.items())
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def split_lines(text: Column) -> Column:
@@ -99,7 +88,12 @@ def split_lines(text: Column) -> Column:
 
 def classify(lines: DataFrame, column: str = "line") -> DataFrame:
     """Adds anchors, blockers and class."""
-    out = lines.withColumns({"anchors": signals(F.col(column), ANCHORS), "blockers": signals(F.col(column), BLOCKERS)})
+    taken = {c.lower() for c in lines.columns}
+    found = "__hits"
+    while found in taken:
+        found += "_"
+    out = hits(lines, column, ANCHORS + BLOCKERS, found)
+    out = out.withColumns({"anchors": signals(found, ANCHORS), "blockers": signals(found, BLOCKERS)}).drop(found)
     return out.withColumn("class", F.when(F.size("anchors") == 0, "unmodeled").when(F.size("blockers") == 0, "expressible").otherwise("partially"))
 
 
@@ -112,13 +106,18 @@ def tally(classified: DataFrame, by: str) -> DataFrame:
 
 def top_signals(classified: DataFrame, column: str, k: int = 5) -> DataFrame:
     """(signal, n) of the k most frequent signals, names among equals."""
-    return classified.select(F.explode(column).alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signal").limit(k)
+    # explode_outer: a plain explode makes the optimiser push a test of the whole matching below itself, where it is done again
+    named = classified.select(F.explode_outer(column).alias("signal")).where("signal is not null")
+    return named.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signal").limit(k)
 
 
 def examples(classified: DataFrame, trial: str, order: str, k: int = 10) -> DataFrame:
     """The first line of each trial, and of those the first k."""
+    n = "__n"
+    while n in classified.columns:
+        n += "_"
     w = Window.partitionBy(trial).orderBy(order)
-    return classified.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").orderBy(trial).limit(k)
+    return classified.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n).orderBy(trial).limit(k)
 
 
 def distinct_trials(lines: DataFrame, trial: str) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import facts as FN
 from cohortlens.functions.conditions import Facts, condition_column, leaf_column, tri
 from cohortlens.model import All, AnyOf, Codes, FactDecl, FactModel, Leaf, Not
 from cohortlens.operators import classify, cohort, diff, evaluate, ground, ingest, lint, review, sensitivity
+from cohortlens.operators.classify import TOKEN as term_token
+from cohortlens.operators.term_table import ANCHORS, BLOCKERS, CONDITION_ENDINGS, NUMBER_WORDS, TIME_WORDS
 from cohortlens.plans import sql_parts as S
 from cohortlens.plans.cohort_tables import MODEL, V1, V2, facts_wide
 
@@ -719,26 +721,74 @@ def _(spark, d):
 
 # --- criterion lines -----------------------------------------------------------------------------------------
 
-_LINES = (
-    "Age 18 years or older", "Hemoglobin at least 9 g/dL within 14 days", "In the opinion of the investigator, unlikely to comply",
-    "Known hepatitis B infection unless treated", "Willing to give informed consent", "Fond of long walks in the rain",
-    "Adequate renal function with creatinine < 1.5 mg/dL", "Pregnant or lactating women",
-)
-_CLASS = ("expressible", "expressible", "unmodeled", "partially", "unmodeled", "unmodeled", "partially", "expressible")
+#: Parts of criterion lines; the lines are put together from the numbers of each event.
+_LEAD = ("", "Documented", "No evidence of", "In the clinician's opinion,", "History of", "Unless treated, any", "Planned", "Patients with")
+_SUBJECT = ("hemoglobin", "chronic kidney disease", "arthritis", "a stable dose of warfarin", "walks in the rain", "informed consent", "BMI", "prior stroke", "women", "pancreatitis or metastases", "creatinine clearance")
+_COMPARED = (" > {}", " at least {} mg/dL", " within the last {} months", "", " of {} %", " less than or equal to {}", " (including but not limited to {} others)", " ≥{},5 x 10^9/L", " for {} days prior", " expected to last {} weeks")
+
+
+_LEAD_AT, _SUBJECT_AT, _COMPARED_AT = "event_id % 8", "user_id % 11", "(event_id + user_id) % 10"
+
+
+def _item(values: tuple[str, ...], index: str) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.expr(f"cast({index} as int)"))
+
+
+def _item_sql(values: tuple[str, ...], index: str) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{quoted}])[CAST({index} AS INTEGER) + 1]"
+
+
+_KIND = "CASE WHEN event_id % 3 = 0 THEN 'exclusion' ELSE 'inclusion' END"
 
 
 def _criteria_lines(spark: SparkSession, d: str) -> DataFrame:
-    e = _read(spark, d, "events").select("event_id", "event_type")
-    line = F.element_at(F.array(*map(F.lit, _LINES)), (F.col("event_id") % len(_LINES) + 1).cast("int"))
-    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, "exclusion").otherwise("inclusion").alias("kind"), line.alias("line"))
+    """(kind, id, line): a criterion line of each event, and every line of every document."""
+    number = F.expr("cast(cast(floor(abs(value)) as long) as string)")
+    line = F.concat(_item(_LEAD, _LEAD_AT), F.lit(" "), _item(_SUBJECT, _SUBJECT_AT), F.replace(_item(_COMPARED, _COMPARED_AT), F.lit("{}"), F.coalesce(number, F.lit("?"))))
+    events = _read(spark, d, "events").select(F.expr(_KIND).alias("kind"), F.col("event_id").alias("id"), line.alias("line"))
+    return events.unionByName(_document_lines(spark, d).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "line"))
+
+
+def _document_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", F.explode(classify.split_lines(F.col("text"))).alias("line"))
 
 
-_CLASSED = f"l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'exclusion' ELSE 'inclusion' END AS kind, {_pick_sql(_CLASS, 'event_id')} AS class FROM events)"
+_DOCUMENT_LINES = r"(SELECT doc_id, line FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM documents) WHERE length(line) >= 12)"
 
 
-@query("classify_lines", f"WITH {_CLASSED} SELECT event_id, class FROM l")
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+def _class_sql() -> str:
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    token = term_token.replace("'", "''")
+    longest = max(t.count(" ") + 1 for _, t in ANCHORS + BLOCKERS)
+    return f"""lex(side, signal, term) AS (VALUES {_values([("a", *r) for r in ANCHORS] + [("b", *r) for r in BLOCKERS])}),
+lines AS (SELECT row_number() OVER () AS rid, * FROM (
+  SELECT {_KIND} AS kind, event_id AS id, {_item_sql(_LEAD, _LEAD_AT)} || ' ' || {_item_sql(_SUBJECT, _SUBJECT_AT)} || replace({_item_sql(_COMPARED, _COMPARED_AT)}, '{{}}', coalesce(CAST(CAST(floor(abs(value)) AS BIGINT) AS VARCHAR), '?')) AS line FROM events
+  UNION ALL SELECT 'document', doc_id, line FROM {_DOCUMENT_LINES})),
+tok AS (SELECT rid, regexp_extract_all(line, '{token}') AS raw FROM lines),
+two AS (SELECT rid, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') OR lower(x) IN ({listed(NUMBER_WORDS)}) THEN '#' WHEN lower(x) IN ({listed(TIME_WORDS)}) THEN '~'
+    WHEN x = '≤' THEN '<=' WHEN x = '≥' THEN '>=' ELSE replace(lower(x), '’', chr(39)) END) AS plain, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '#' ELSE x END) AS cased FROM tok),
+pos AS (SELECT rid, plain, cased, unnest(range(1, len(plain) + 1)) AS i FROM two),
+run AS (
+  SELECT rid, array_to_string(plain[i:i + n - 1], ' ') AS term FROM pos, range(1, {longest + 1}) AS r(n) WHERE i + n - 1 <= len(plain)
+  UNION ALL SELECT rid, '$' || array_to_string(cased[i:i + n - 1], ' ') FROM pos, range(1, {longest + 1}) AS r(n) WHERE i + n - 1 <= len(plain)
+  UNION ALL SELECT rid, '-' || right(plain[i], k) FROM pos, (VALUES {", ".join(f"({k})" for k in sorted({len(e) for e in CONDITION_ENDINGS}))}) AS e(k) WHERE length(plain[i]) >= k + 3),
+found AS (SELECT DISTINCT rid, side, signal FROM run JOIN lex USING (term)),
+l AS (SELECT kind, id, line, rid, CASE WHEN NOT EXISTS (SELECT 1 FROM found f WHERE f.rid = lines.rid AND side = 'a') THEN 'unmodeled'
+  WHEN EXISTS (SELECT 1 FROM found f WHERE f.rid = lines.rid AND side = 'b') THEN 'partially' ELSE 'expressible' END AS class FROM lines)"""
+
+
+_CLASSED = _class_sql()
+
+
+@query("classify_lines", f"WITH {_CLASSED}, s AS (SELECT rid, string_agg(signal, ',' ORDER BY signal) AS signals FROM found GROUP BY rid) SELECT kind, id, md5(line) AS line_md5, class, coalesce(signals, '') AS signals FROM l LEFT JOIN s USING (rid)")
 def _(spark, d):
-    return classify.classify(_criteria_lines(spark, d)).select("event_id", "class")
+    c = classify.classify(_criteria_lines(spark, d))
+    return c.select("kind", "id", F.md5("line").alias("line_md5"), "class", F.array_join(F.array_sort(F.concat("anchors", "blockers")), ",").alias("signals"))
 
 
 @query("classify_tally", f"""WITH {_CLASSED}, t AS (SELECT kind, class, count(*) AS n FROM l GROUP BY GROUPING SETS ((kind, class), (class)))
@@ -748,21 +798,14 @@ def _(spark, d):
     return t.withColumn("pct", F.col("pct").cast("double"))
 
 
-_SIGNALS = (("age",), ("numeric-threshold", "unit", "named-measure", "time-window"), (), ("diagnosis", "clinical-condition"), (), (), ("numeric-threshold", "unit", "named-measure"), ("sex", "clinical-condition"))
-
-
-_SIGNAL_ROWS = ", ".join(f"({i}, '{s}')" for i, names in enumerate(_SIGNALS) for s in names)
-
-
-@query("signal_top5", f"SELECT signal, count(*) AS n FROM events JOIN (VALUES {_SIGNAL_ROWS}) AS s(i, signal) ON i = event_id % {len(_LINES)} GROUP BY signal ORDER BY n DESC, signal LIMIT 5")
+@query("signal_top5", f"WITH {_CLASSED} SELECT signal, count(*) AS n FROM found WHERE side = 'a' GROUP BY signal ORDER BY n DESC, signal LIMIT 5")
 def _(spark, d):
     return classify.top_signals(classify.classify(_criteria_lines(spark, d)), "anchors")
 
 
-@query("split_document_lines", r"""SELECT doc_id, length(line) AS n_chars FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS line FROM documents) WHERE length(line) >= 12""")
+@query("split_document_lines", f"SELECT doc_id, length(line) AS n_chars FROM {_DOCUMENT_LINES}")
 def _(spark, d):
-    docs = _read(spark, d, "documents")
-    return docs.select("doc_id", F.explode(classify.split_lines(F.col("text"))).alias("line")).select("doc_id", F.length("line").cast("long").alias("n_chars"))
+    return _document_lines(spark, d).select("doc_id", F.length("line").cast("long").alias("n_chars"))
 
 
 # --- manifests and scalar functions ------------------------------------------------------------------------------

@@ -1,9 +1,10 @@
-"""Criterion lines by hand, and the term language."""
+"""Labelled criterion lines, and the term tables."""
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import classify
+from cohortlens.operators import classify, term_table
 
+#: Lines and the classes that they must have.
 LINES = {
     "Karnofsky Performance Status > 60": "expressible",
     "Prior stroke within 90 days of randomization": "expressible",
@@ -24,15 +25,17 @@ LINES = {
 }
 SIGNALS = {
     "Prior stroke within 90 days of randomization": (["time-window", "clinical-condition"], []),
-    "platelets of 100 x 10^9/L or 5 U/L": (["unit"], []),
+    "platelets of 100 x 10^9/L or 5 U/L": (["unit", "named-measure"], []),
     "5 u/l and 30 % of all": (["unit"], []),
     "5 u/l": ([], []),
     "No more than twelve weeks; BMI >=30": (["numeric-threshold", "named-measure"], []),
-    "disease that might in some way interfere": (["clinical-condition"], ["interference"]),
+    "disease that might interfere": (["clinical-condition"], ["interference"]),
     "that could one two three four limit": ([], []),
     "the investigator’s judgment; including, but also": ([], ["investigator-judgement", "open-ended-list"]),
     "well-controlled breast-feeding men": (["sex", "clinical-condition"], ["vague-qualifier"]),
-    "arthritis, but not sitis": (["clinical-condition"], []),
+    "arthritis, but not itis, coma": (["clinical-condition"], []),
+    "compromising allergies": (["clinical-condition"], ["interference"]),
+    "≤ 3,5 ≥": (["numeric-threshold"], []),
     "": ([], []),
 }
 
@@ -44,9 +47,17 @@ def test_labelled_lines(spark):
 
 def test_signals(spark):
     df = spark.createDataFrame([(x,) for x in [*SIGNALS, None]], "line string")
-    assert {r.line: (r.anchors, r.blockers) for r in classify.classify(df).where("line is not null").collect()} == SIGNALS
+    got = classify.classify(df).collect()
+    assert {r.line: (r.anchors, r.blockers) for r in got if r.line is not None} == SIGNALS
+    assert [(r.anchors, r.blockers, r["class"]) for r in got if r.line is None] == [([], [], "unmodeled")]
+
+
+def test_forms():
+    assert term_table.terms("metastasis+; therapy+; box+; plan+ to; compromise!") == ["metastasis", "metastases", "therapy", "therapies", "box", "boxes", "plan to", "plans to", "compromise", "compromises", "compromised", "compromising"]
+    assert all(len(terms) < 200 for terms in ({t for s, t in term_table.ANCHORS + term_table.BLOCKERS if s == name} for name in {*term_table.ANCHOR_TERMS, *term_table.BLOCKER_TERMS}))
 
 
 def test_examples(spark):
     df = spark.createDataFrame([("b", 2, "x"), ("b", 1, "y"), ("a", 3, "z")], "trial string, at int, line string").withColumn("__n", F.lit(0))
+    assert all(r["__n"] == 0 for r in classify.examples(df, "trial", "at", 5).collect())
     assert [(r.trial, r.line) for r in classify.examples(df, "trial", "at", 5).collect()] == [("a", "z"), ("b", "y")]
