@@ -279,12 +279,6 @@ def _(spark, d):
     return diff.enrolled_impact(_both(spark, d), enrolled).select("patient", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("structural_diff", """SELECT * FROM (VALUES ('added', 'returns-max', NULL), ('removed', 'segment-open', NULL), ('changed', 'balance-min', NULL), ('changed', 'filled-max', NULL),
-('changed', 'urgent-recent', NULL), ('reordered', 'balance-min', NULL), ('reordered', 'recent-activity', NULL), ('renamed', 'urgent-recent', 'urgent-window'), ('metadata', 'status', NULL)) AS t(change, id, from_id)""")
-def _(spark, d):
-    return spark.createDataFrame(diff.structural_diff(V1, V2).rows(), "change string, id string, from_id string")
-
-
 # --- sensitivity ---------------------------------------------------------------------------------------
 
 

@@ -5,101 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.model import FactDecl, FactModel, RuleSet
-from cohortlens.operators import classify, cohort, evaluate, ground, ingest, lint, prove, report, review
+from cohortlens.model import FactDecl, FactModel
+from cohortlens.operators import classify, cohort, evaluate, ground, ingest, lint, report, review
 from cohortlens.plans import catalogue
 from cohortlens.plans import sql_parts as S
 from cohortlens.plans.catalogue import query
 from cohortlens.plans.cohort_tables import MODEL, V1, facts_wide
 from cohortlens.sources import sidecars, tables
-from cohortlens.sources.documents import parse_ruleset
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def _values(rows: list[tuple], columns: str) -> str:
-    lit = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else "NULL" if x is None else str(x)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({columns})"
-
-
-def _rules(*criteria: str, model: str = "m") -> RuleSet:
-    head = f"ruleset: r\nrulesetVersion: 1.0.0\nfactModel: {model}\ncriteria:\n"
-    return parse_ruleset(head + "".join(f"  - {{id: c{i}, kind: {c.split('|')[0]}, verbatim: t, {c.split('|')[1]}}}\n" for i, c in enumerate(criteria)))
-
-
 _SMALL = FactModel("m", {"age": FactDecl("number", "years"), "bmi": FactDecl("number"), "sex": FactDecl("enum", values=("f", "m")), "ok": FactDecl("boolean"), "meds": FactDecl("code", systems=("rx",))})
 
-# --- findings of rule documents ------------------------------------------------------------------------
-
-_LINTED = (
-    ("unmodeled: true", "info", "unmodeled-criterion"), ("when: {fact: nope, op: gt, value: 1}", "error", "unknown-fact"), ("when: {fact: sex, op: gt, value: 1}", "error", "type-mismatch"),
-    ("when: {fact: bmi, op: eq, value: x}", "error", "type-mismatch"), ("when: {fact: sex, op: eq, value: x}", "error", "unknown-enum-value"), ("when: {fact: sex, op: eq, value: true}", "error", "type-mismatch"),
-    ("when: {fact: bmi, op: in, codes: {system: rx, values: [a]}}", "error", "type-mismatch"), ("when: {fact: meds, op: in, codes: {system: zz, values: [a]}}", "error", "unknown-code-system"),
-    ("when: {fact: bmi, op: gt, value: 1, unit: kg}", "error", "unit-unexpected"), ("when: {fact: age, op: gt, value: 1}", "error", "unit-undeclared"), ("when: {fact: age, op: gt, value: 1, unit: months}", "error", "unit-mismatch"),
-    ("when: {fact: ok, op: exists}", "error", "exists-value-type"), ("when: {all: [{fact: age, op: gt, value: 1, unit: years}, {not: {any: [{fact: nope, op: exists}]}}]}", "error", "unknown-fact"),
-    ("when: {fact: age, op: lte, value: 9, unit: years}", None, None),
-)
-
-
-@query("lint_rule_findings", _values([("error", "fact-model-mismatch", ""), *((lv, code, f"c{i}") for i, (_, lv, code) in enumerate(_LINTED) if code)], "level, code, criterion"))
-def _(spark, d):
-    found = lint.lint(_rules(*(f"inclusion|{c}" for c, _, _ in _LINTED), model="other"), _SMALL)
-    return spark.createDataFrame([(f.level, f.code, ",".join(f.criteria)) for f in found], "level string, code string, criterion string")
-
-
-def _bmi(op: str, v: float) -> str:
-    return f"{{fact: bmi, op: {op}, value: {v}}}"
-
-
-def _meds(op: str, *codes: str) -> str:
-    return f"{{fact: meds, op: {op}, codes: {{system: rx, values: [{', '.join(codes)}]}}}}"
-
-
-_CONFLICTS = (
-    ("interval", (f"inclusion|when: {{all: [{_bmi('gt', 5)}, {_bmi('lt', 5)}]}}",), "unsatisfiable-criterion"),
-    ("point", (f"inclusion|when: {{all: [{_bmi('eq', 5)}, {_bmi('neq', 5)}]}}",), "unsatisfiable-criterion"),
-    ("codes in one", (f"inclusion|when: {{all: [{_meds('in', 'a')}, {_meds('notIn', 'a', 'b')}]}}",), "unsatisfiable-criterion"),
-    ("two inclusions", (f"inclusion|when: {_bmi('gt', 5)}", f"inclusion|when: {_bmi('lte', 5)}"), "contradictory-inclusions"),
-    ("three inclusions", (f"inclusion|when: {_bmi('gte', 5)}", f"inclusion|when: {_bmi('lte', 5)}", f"inclusion|when: {_bmi('neq', 5)}"), "contradictory-inclusions"),
-    ("codes of two", (f"inclusion|when: {_meds('in', 'a')}", f"inclusion|when: {_meds('notIn', 'a', 'b')}"), "contradictory-inclusions"),
-    ("exclusion covers", (f"inclusion|when: {_bmi('gte', 30)}", f"exclusion|when: {_bmi('gte', 20)}"), "unsatisfiable-ruleset"),
-    ("excluded codes", (f"inclusion|when: {_meds('in', 'a')}", f"exclusion|when: {_meds('in', 'a', 'b')}"), "unsatisfiable-ruleset"),
-    ("meets at an end", (f"inclusion|when: {_bmi('gte', 5)}", f"exclusion|when: {_bmi('lt', 5)}"), None),
-    ("codes of another", (f"inclusion|when: {_meds('in', 'a', 'c')}", f"exclusion|when: {_meds('in', 'a', 'b')}"), None),
-)
-
-
-@query("conflict_findings", _values([(name, code or "none") for name, _, code in _CONFLICTS], "name, code"))
-def _(spark, d):
-    rows = [(name, c) for name, rules, _ in _CONFLICTS for c in ({f.code for f in prove.conflicts(_rules(*rules)) if f.level == "error"} or {"none"})]
-    return spark.createDataFrame(rows, "name string, code string")
-
-
-_ENDS = (("gt", 1.0), ("gte", 1.0), ("lt", 4.0), ("lte", 4.0), ("eq", 1.0))
-_SHOWN = {"gt": "(1, ", "gte": "[1, ", "lt": ", 4)", "lte": ", 4]"}
-
-
-@query("interval_algebra", _values([(a, b, _SHOWN[a] + _SHOWN[b].removeprefix(", ")) for a in ("gt", "gte") for b in ("lt", "lte")] + [("gt", "eq", "empty"), ("gte", "eq", "point 1.0"), ("lt", "eq", "point 1.0"), ("lte", "eq", "point 1.0")], "a, b, met"))
-def _(spark, d):
-    of, rows = prove.Interval.of, []
-    for a, x in _ENDS:
-        for b, y in _ENDS:
-            if (a, b) in {("gt", "lt"), ("gt", "lte"), ("gte", "lt"), ("gte", "lte")} or b == "eq" != a:
-                met = of(a, x) & of(b, y)
-                rows.append((a, b, "empty" if met.empty else f"point {met.point}" if met.point is not None else str(met)))
-    return spark.createDataFrame(rows, "a string, b string, met string")
-
-
-@query("finding_levels", _values([("error", 13), ("warning", 2), ("info", 1)], "level, n"))
-def _(spark, d):
-    rs = _rules(*(f"inclusion|{c}" for c, _, _ in _LINTED), model="other")
-    found = prove.by_severity(lint.lint(rs, _SMALL) + lint.modeling_warnings(rs, ("c1",)))
-    assert [f.level for f in found] == ["error"] * 13 + ["warning"] * 2 + ["info"]
-    return cohort.level_counts(spark.createDataFrame([(f.level,) for f in found], "level string"))
-
-
 # --- renderings ------------------------------------------------------------------------------------------
 
 
