@@ -219,6 +219,28 @@ def match(expected: DataFrame, grounded: DataFrame) -> DataFrame:
     return e.join(g, [*keys, "k"], "full_outer").select(*keys, F.when(F.col("g").isNull(), "fn").when(F.col("e").isNull(), "fp").otherwise("tp").alias("outcome"))
 
 
+def match_facts(expected: DataFrame, grounded: DataFrame) -> DataFrame:
+    """(doc, fact, value, unit, confidence, outcome): as :func:`match`, for VARIANT values and units.
+
+    expected: doc, seq, fact, value VARIANT, unit; grounded: the same and confidence.  Values are equal if
+    their JSON is, so 1 isn't "1".  An expected fact without a unit takes any.  In the order of ``seq``
+    each grounded fact takes the first expected one that is left and fits.  What is compared one by one
+    is one document's repeats of a fact and value, which the parser's limit of 256 proposals bounds.
+    """
+    key = ["doc", "fact", "value"]
+    told = lambda d, *more: d.withColumn("value", F.to_json("value")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "unit", *more))).alias("rows"))
+    e, g = told(expected).withColumnRenamed("rows", "e"), told(grounded, "confidence").withColumnRenamed("rows", "g")
+    fold = """aggregate(coalesce(g, array()), named_struct('left', coalesce(e, array()), 'hit', cast(array() AS array<boolean>)),
+      (acc, x) -> named_struct(
+        'left', filter(acc.left, (y, i) -> i <> array_position(transform(acc.left, z -> z.unit IS NULL OR z.unit <=> x.unit), true) - 1),
+        'hit', concat(acc.hit, array(exists(acc.left, z -> z.unit IS NULL OR z.unit <=> x.unit)))))"""
+    row = "named_struct('unit', {0}.unit, 'confidence', {1}, 'outcome', {2})"
+    taken = "transform(coalesce(g, array()), (x, i) -> " + row.format("x", "x.confidence", "IF(m.hit[i], 'tp', 'fp')") + ")"
+    missed = "transform(m.left, y -> " + row.format("y", "cast(NULL AS double)", "'fn'") + ")"
+    both = e.join(g, key, "full_outer").withColumn("m", F.expr(fold))
+    return both.select(*key, F.inline(F.expr(f"concat({taken}, {missed})")))
+
+
 def precision_recall(matched: DataFrame, *by: str) -> DataFrame:
     """(…, tp, fp, fn, precision, recall, f1); 0/0 is 0."""
     n = lambda o: F.sum((F.col("outcome") == o).cast("long")).alias(o)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.model import RuleSet
 from cohortlens.operators import cohort
 from cohortlens.operators.prove import Finding, by_severity
+from cohortlens.sources import tables
+from cohortlens.sources.shared import exists, shared_path
 
 
 def screen_json(ev: DataFrame, path: str, metadata: dict) -> DataFrame:
@@ -63,6 +65,77 @@ def summary_line(bands: dict[str, int]) -> str:
     return " · ".join(f"{n} {b.replace('-', ' ')}" for b, n in bands.items() if n)
 
 
-def write_stage(df: DataFrame, path: str, undecided: DataFrame | None = None) -> None:
-    """Writes a corpus stage; patients with decided facts (``undecided`` lists the others) are never overwritten."""
-    (df if undecided is None else df.join(undecided.select("patient").distinct(), "patient", "left_semi")).write.mode("errorifexists").parquet(path)
+# --- stages of a corpus: one document for each patient ---------------------------------------------------------
+
+
+def stage_documents(facts: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """(patient, text): each patient's facts as a document that the parser reads, under a comment for each entry of a log.
+
+    facts: patient, facts VARIANT; log: patient, kind, target, detail (what was corrupted or repaired).
+    """
+    body = F.concat(F.lit('{"patient": '), F.to_json(F.array(F.col("patient").cast("string"))).substr(F.lit(2), F.length(F.to_json(F.array(F.col("patient").cast("string")))) - 2), F.lit(', "facts": '), F.to_json("facts"), F.lit("}"))
+    docs = facts.select(F.col("patient").cast("string").alias("patient"), body.alias("body"))
+    if log is None:
+        return docs.select("patient", F.col("body").alias("text"))
+    line = F.concat(F.lit("# "), F.regexp_replace(F.concat_ws(" ", "kind", "target", "detail"), r"[\r\n]+", " "))
+    lines = log.groupBy(F.col("patient").cast("string").alias("patient")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return docs.join(lines, "patient", "left").select("patient", F.concat_ws("\n", "lines", "body").alias("text"))
+
+
+def facts_documents(entries: DataFrame, as_of: str | None = None) -> DataFrame:
+    """(patient, text): the proposed rows of each patient as a facts file, in the order of their facts.
+
+    entries: patient, fact, value VARIANT, unit, confidence, extractedBy, doc, quote, status; rows that aren't proposed are left out.
+    """
+    entry = F.struct("fact", "value", "unit", "status", "confidence", "extractedBy", F.struct("doc", "quote").alias("source"))
+    day = F.lit(as_of).cast("string")
+    rows = entries.where("status = 'proposed'").select(F.col("patient").cast("string").alias("patient"), "fact", "doc", "quote", F.to_json(entry).alias("e"))
+    each = rows.groupBy("patient").agg(F.array_sort(F.collect_list(F.struct("fact", "doc", "quote", "e"))).alias("rows"))
+    named = F.to_json(F.struct("patient", day.alias("asOf")))
+    text = F.concat(F.regexp_replace(named, r"\}$", ', "facts": ['), F.array_join(F.transform("rows", lambda r: r["e"]), ",\n"), F.lit("]}"))
+    return each.select("patient", text.alias("text"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(patient, text) of documents that :func:`write_documents` wrote."""
+    rows = spark.read.schema("value string, patient string").text(path, wholetext=True)
+    return rows.select("patient", F.regexp_replace("value", r"\n$", "").alias("text"))
+
+
+def decided_patients(documents: DataFrame) -> DataFrame:
+    """(patient) whose facts file has a row that somebody decided, or that can't be read: neither may be overwritten."""
+    rows = tables.read_facts_files(documents.select(F.col("patient").alias("name"), F.col("text").alias("content")))
+    return rows.where("problems IS NOT NULL OR entry.status <> 'proposed'").select(F.col("name").alias("patient")).distinct()
+
+
+def write_documents(documents: DataFrame, path: str, guard: bool = False) -> DataFrame:
+    """Writes (patient, text) to a folder for each patient, and returns (patient, action): written, kept or unchanged.
+
+    Safe to repeat: a document that is there already is left alone; what is new is first written whole to
+    a staging folder (read back from there, so that it is computed once), and then replaces its patients'
+    folders only.  With ``guard`` a facts file that holds decisions is never replaced.  A run that ends
+    in the middle leaves whole old or whole new folders; running again completes it.
+    """
+    spark = documents.sparkSession
+    staged_at = shared_path(spark, "stage")
+    documents.select(F.col("patient").cast("string").alias("patient"), "text").write.parquet(staged_at)
+    staged = spark.read.schema("patient string, text string").parquet(staged_at)
+    if exists(spark, path):
+        old = read_documents(spark, path)
+        same = old.select("patient", F.sha2("text", 256).alias("hash"))
+        hashed = staged.withColumn("hash", F.sha2("text", 256))
+        action = hashed.join(same.withColumnRenamed("hash", "old"), "patient", "left")
+        if guard:
+            action = action.join(decided_patients(old).withColumn("decided", F.lit(True)), "patient", "left")
+        else:
+            action = action.withColumn("decided", F.lit(None).cast("boolean"))
+        action = action.withColumn("action", F.when(F.col("hash") == F.col("old"), "unchanged").when(F.col("decided"), "kept").otherwise("written"))
+    else:
+        action = staged.withColumn("action", F.lit("written"))
+    told_at = shared_path(spark, "actions")
+    action.select("patient", "text", "action").write.parquet(told_at)  # decided before anything is replaced
+    told = spark.read.schema("patient string, text string, action string").parquet(told_at)
+    new = told.where("action = 'written'").select("text", "patient")
+    if not new.isEmpty():
+        new.repartition("patient").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient").text(path)
+    return told.select("patient", "action")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.facts import from_variant
 from cohortlens.model import FactModel
 from cohortlens.sources import documents as D
+from cohortlens.sources.file_order import numbered
 
 RECORDING = "doc string, model string, promptId string, schemaId string, recordedAt string, output string, requestHash string, promptHash string, schemaHash string"
 
@@ -53,6 +54,11 @@ def read_notes(files: DataFrame) -> DataFrame:
     return _parsed(files, D.parse_note, ("doc", "patient", "kind", "date", "trap", "body"))
 
 
+def notes_in_order(notes: DataFrame) -> DataFrame:
+    """(place, doc, patient, body) of readable notes, numbered in the lexical order of their files' names (``file_order.numbered``)."""
+    return numbered(notes.where("problems IS NULL").select("name", "doc", "patient", "body"), "name", "doc").drop("name")
+
+
 def read_facts_files(files: DataFrame) -> DataFrame:
     """(name, patient, asOf, problems, place, entry struct): one row for each entry, with its place in the file."""
     entry = "array<struct<fact:string,value:variant,unit:string,status:string,confidence:double,extractedBy:string,source:struct<doc:string,quote:string>,measuredAt:string,validWithinDays:int,reviewedBy:string,reviewedAt:string>>"
