@@ -656,12 +656,12 @@ def _(spark, d):
     return ground.precision_recall(ground.match(o.where("seq % 3 <> 0"), o.where("seq % 4 <> 0"))).select("tp", "fp", "fn")
 
 
-@query("batch_reconcile", """WITH r AS (SELECT o_custkey AS custom_id, count(*) AS n, bool_or(o_orderstatus = 'F') AS bad FROM orders WHERE o_orderkey % 17 = 0 GROUP BY 1), q AS (SELECT c_custkey AS custom_id FROM customer WHERE c_custkey % 2 = 0)
+@query("batch_reconcile", """WITH r AS (SELECT l_orderkey AS custom_id, count(*) AS n, bool_or(l_linestatus = 'F') AS bad FROM lineitem GROUP BY 1), q AS (SELECT o_orderkey AS custom_id FROM orders WHERE o_custkey % 2 = 0)
 SELECT coalesce(q.custom_id, r.custom_id) AS custom_id, CASE WHEN n IS NULL THEN 'missing' WHEN q.custom_id IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicate' ELSE 'failed' END AS problem
 FROM q FULL OUTER JOIN r ON q.custom_id = r.custom_id WHERE n IS NULL OR q.custom_id IS NULL OR n > 1 OR bad""")
 def _(spark, d):
-    asked = _read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("custom_id"))
-    got = _read(spark, d, "orders").where("o_orderkey % 17 = 0").select(F.col("o_custkey").alias("custom_id"), F.when(F.col("o_orderstatus") == "F", "errored").otherwise("succeeded").alias("status"))
+    asked = _read(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("custom_id"))
+    got = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("custom_id"), F.when(F.col("l_linestatus") == "F", "errored").otherwise("succeeded").alias("status"))
     return ground.reconcile(asked, got)
 
 
@@ -684,10 +684,10 @@ def _(spark, d):
     return review.impact(_cards(spark, d), V1, MODEL, "avg_filled_value").select("card", "band_without", "band_with", "flips")
 
 
-@query("review_queue", _CARDS + " SELECT card, flips, confidence, confidence < 0.8 AS unsure FROM q ORDER BY flips DESC, confidence, card LIMIT 50")
+@query("review_queue", _CARDS + " SELECT card, flips, confidence, confidence < 0.8 AS unsure FROM q")
 def _(spark, d):
     q = review.queue(review.impact(_cards(spark, d), V1, MODEL, "avg_filled_value"))
-    return q.select("card", "flips", "confidence", "unsure").limit(50)
+    return q.select("card", "flips", "confidence", "unsure")
 
 
 @query("review_progress", "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS pending, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS decided, count(*) FILTER (WHERE o_orderstatus = 'F') AS relevant, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS relevant_pending, count(DISTINCT o_custkey) AS patients FROM orders")

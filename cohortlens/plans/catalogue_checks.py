@@ -106,7 +106,7 @@ _CHARS = FactModel("labels/v1", {"chars": FactDecl("number", "chars"), "lang": F
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    x = _read(spark, d, "documents").where(F.length("text") >= 40)
+    x = _read(spark, d, "documents")
     told = lambda f, v, u: F.struct(F.lit(f).alias("fact"), v.alias("value"), F.lit(u).alias("unit"), F.lit(0.5).alias("confidence"), F.substring("text", 1, 20).alias("quote"))
     out = F.to_json(F.array(told("long", F.when(F.col("doc_id") % 2 == 0, "true").otherwise("yes"), None), told("lang", F.col("lang"), None), told("meds", F.lit("a"), None), told("chars", F.col("n_chars").cast("string"), None)))
     rows = x.select(F.col("doc_id").alias("doc"), out.alias("output"))
@@ -115,7 +115,7 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GATED = """g AS (SELECT doc_id AS doc, i AS seq, CASE WHEN doc_id % 7 = 0 THEN false WHEN i = 0 THEN doc_id % 2 = 0 WHEN i = 1 THEN lang IN ('en', 'de', 'fr') ELSE false END AS grounded, doc_id, lang
-  FROM documents, range(4) AS r(i) WHERE length(text) >= 40)"""
+  FROM documents, range(4) AS r(i))"""
 
 
 @query("extract_facts", f"WITH {_GATED} SELECT doc, seq, CASE WHEN grounded THEN 'proposed' ELSE 'rejected' END AS status FROM g")
@@ -194,9 +194,9 @@ def _(spark, d):
     return review.manifest(rows)
 
 
-@query("highlight_spans", "SELECT doc_id, length(text) - strpos(text, substr(text, 11, 12)) - 11 AS after, strpos(text, substr(text, 11, 12)) - 1 AS before FROM documents WHERE length(text) >= 30")
+@query("highlight_spans", "SELECT doc_id, length(text) - strpos(text, substr(text, 11, 12)) - length(substr(text, 11, 12)) + 1 AS after, strpos(text, substr(text, 11, 12)) - 1 AS before FROM documents")
 def _(spark, d):
-    x = _read(spark, d, "documents").where(F.length("text") >= 30).select("doc_id", review.highlight(F.col("text"), F.substring("text", 11, 12)).alias("h"))
+    x = _read(spark, d, "documents").select("doc_id", review.highlight(F.col("text"), F.substring("text", 11, 12)).alias("h"))
     return x.select("doc_id", F.length("h.after").alias("after"), F.length("h.before").alias("before"))
 
 

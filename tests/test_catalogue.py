@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cohortlens.plans import catalogue, catalogue_checks, catalogue_rules  # noqa: F401
+from cohortlens.plans import catalogue, catalogue_checks, catalogue_flows, catalogue_rules  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
