@@ -117,6 +117,8 @@ def lab_base(fact: Column) -> Column:
 
 # --- bundles ---------------------------------------------------------------------------------------
 
+#: The names of the code systems of conditions and medications.
+SNOMED, RXNORM = "http://snomed.info/sct", "http://www.nlm.nih.gov/research/umls/rxnorm"
 CODING = "array<struct<system:string,code:string,display:string>>"
 BUNDLE = (
     "entry array<struct<resource:struct<resourceType:string,id:string,birthDate:string,gender:string,status:string,"
@@ -126,13 +128,52 @@ BUNDLE = (
 )
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BUNDLE).option("multiLine", True).json(path)
+RESOURCE = BUNDLE.removeprefix("entry array<struct<resource:").removesuffix(">>")
+
+
+def find_bundles(spark: SparkSession, root: str, ending: str = ".json") -> str:
+    """The first of root/fhir and root that holds bundle files, in whatever store they are."""
+    jvm = spark.sparkContext._jvm
+    for folder in (f"{root.rstrip('/')}/fhir", root):
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(p) and fs.getFileStatus(p).isDirectory() and any(x.getPath().getName().endswith(ending) for x in fs.listStatus(p)):
+            return folder
+    raise FileNotFoundError(f"no *{ending} under {root}")
+
+
+def read_bundles(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(entry) of whole bundles: one row for each file."""
+    return spark.read.schema(BUNDLE).option("multiLine", True).option("pathGlobFilter", glob).json(path)
+
+
+def read_resources(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(patient, seq, r, at) as :func:`resources`, of a folder of bundle files, a row for each entry.
+
+    Files are read as text that ends at each key ``"resource"``, so that Spark splits even one huge bundle
+    among tasks and no bundle is ever a row.  Files in which that word isn't only the key of an entry (it
+    is a value, or stands inside a resource) are told by the pieces that don't fit, and are read whole.
+    """
+    text = spark.read.option("lineSep", '"resource"').option("pathGlobFilter", glob)
+    raw = text.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("seq"), "value")
+    starts = raw.withColumn("body", F.regexp_extract("value", r"(?s)^\s*:\s*(\{.*)$", 1))
+    is_head = ~F.col("value").rlike(r"^\s*[:,}\]]")
+    r = F.when(F.length("body") > 0, F.from_json("body", RESOURCE))
+    rows = starts.where(~is_head).select("file", "seq", r.alias("r"))
+    odd = rows.where("r.resourceType IS NULL").select("file").distinct()
+    good = rows.join(odd, "file", "left_anti")
+    at = F.try_to_timestamp(F.coalesce("r.effectiveDateTime", "r.authoredOn", "r.onsetDateTime", "r.effectivePeriod.start"))
+    # the first patient of each file
+    named = good.where("r.resourceType = 'Patient'").groupBy("file").agg(patient_id(F.min_by("r.id", "seq")).alias("patient"))
+    split = good.join(named, "file", "left").select("patient", "seq", "r", at.alias("at"))
+    whole = spark.read.schema(BUNDLE).option("multiLine", True).option("pathGlobFilter", glob).json(path).select("entry", F.col("_metadata.file_path").alias("file"))
+    rest = resources(whole.join(odd, "file", "left_semi").select("entry"))
+    return split.unionByName(rest.withColumn("seq", F.struct(F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("n"))))
 
 
 def resources(bundles: DataFrame) -> DataFrame:
     """(patient, seq, r, at): every resource, its place in the bundle and its date."""
-    named = bundles.select("entry", F.filter("entry", lambda e: e["resource"]["resourceType"] == "Patient")[0]["resource"]["id"].alias("rid"))
+    named = bundles.select("entry", F.get(F.filter("entry", lambda e: e["resource"]["resourceType"] == "Patient"), F.lit(0))["resource"]["id"].alias("rid"))
     rows = named.select(patient_id(F.col("rid")).alias("patient"), F.posexplode("entry").alias("seq", "e")).select("patient", "seq", F.col("e.resource").alias("r"))
     at = F.coalesce("r.effectiveDateTime", "r.authoredOn", "r.onsetDateTime", "r.effectivePeriod.start")
     return rows.withColumn("at", F.try_to_timestamp(at))
@@ -143,24 +184,31 @@ def flatten(bundles: DataFrame, as_of: str, jitter_seed: int = 0) -> DataFrame:
 
     The newest event of a patient stands for the reference day, up to ``JITTER_DAYS`` earlier; days
     ago count from there.  Of a lab the newest reading stays, of a code its newest mention;
-    medications that ended over a year ago go, and labs that aren't listed.
+    medications that ended over a year ago go, labs that aren't listed, and conditions and medications
+    without a date or without a code of their system (SNOMED CT, RxNorm).
     """
-    rows = resources(bundles)
-    spark = bundles.sparkSession
+    return flatten_resources(resources(bundles), as_of, jitter_seed)
+
+
+def flatten_resources(rows: DataFrame, as_of: str, jitter_seed: int = 0) -> DataFrame:
+    """As :func:`flatten`, of rows (patient, seq, r, at)."""
+    spark = rows.sparkSession
     anchor = rows.groupBy("patient").agg(F.max("at").alias("anchor"))
     jitter = F.pmod(F.xxhash64(F.lit(jitter_seed), "patient"), F.lit(JITTER_DAYS + 1)).cast("int")
     rows = rows.join(anchor, "patient").withColumn("days_ago", whole_days(F.col("anchor"), F.col("at")) + jitter)
     person = rows.where(F.col("r.resourceType") == "Patient").select("patient", completed_years(F.to_date("r.birthDate"), F.to_date(F.lit(as_of))).alias("age"), F.col("r.gender").alias("sex"))
-    coded = rows.where(F.col("r.resourceType").isin("Condition", "MedicationRequest"))
-    entry = F.coalesce("r.code.coding", "r.medicationCodeableConcept.coding")[0]
-    coded = coded.select("patient", "seq", F.when(F.col("r.resourceType") == "Condition", "conditions").otherwise("medications").alias("list"), entry["code"].alias("code"), entry["system"].alias("system"), "days_ago", "r.status")
+    condition = F.col("r.resourceType") == "Condition"
+    of = lambda concept, system: F.get(F.filter(concept, lambda c: (c["system"] == system) & c["code"].isNotNull()), F.lit(0))["code"]
+    code = F.when(condition, of("r.code.coding", SNOMED)).otherwise(of("r.medicationCodeableConcept.coding", RXNORM))
+    coded = rows.where(F.col("r.resourceType").isin("Condition", "MedicationRequest") & F.col("at").isNotNull())
+    coded = coded.select("patient", "seq", F.when(condition, "conditions").otherwise("medications").alias("list"), code.alias("code"), F.when(condition, "snomed").otherwise("rxnorm").alias("system"), F.greatest(F.col("days_ago"), F.lit(0)).alias("days_ago"), "r.status").where("code IS NOT NULL")
     coded = coded.where((F.col("list") == "conditions") | (F.col("status") == "active") | (F.col("days_ago") <= MEDICATION_DAYS))
     coded = dedup_codes(coded, "patient", "list")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("days_ago", F.lit(0)).alias("o"), "code", "system", F.col("days_ago").alias("daysAgo"))))
     lists = coded.groupBy("patient").pivot("list", ["conditions", "medications"]).agg(F.transform(order, lambda x: F.struct(x["code"].alias("code"), x["system"].alias("system"), x["daysAgo"].alias("daysAgo"))))
     own = F.struct(F.col("r.code").alias("code"), F.col("r.valueQuantity").alias("valueQuantity"))
     readings = rows.where(F.col("r.resourceType") == "Observation").select("patient", "seq", "at", "days_ago", F.explode(F.concat(F.array(own), F.coalesce("r.component", F.array().cast(f"array<struct<code:struct<coding:{CODING}>,valueQuantity:struct<value:double,unit:string>>>")))).alias("o"))
-    readings = readings.where("o.valueQuantity.value is not null").withColumn("loinc", F.filter("o.code.coding", lambda c: c["system"] == "http://loinc.org")[0]["code"])
+    readings = readings.where("o.valueQuantity.value is not null").withColumn("loinc", F.get(F.filter("o.code.coding", lambda c: c["system"] == "http://loinc.org"), F.lit(0))["code"])
     labs = latest(readings.join(F.broadcast(lab_dim(spark)), "loinc"), ["patient", "slug"], "at", "seq")
     labs = labs.groupBy("patient").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("slug", F.struct(round_half_up(F.col("o.valueQuantity.value")).alias("value"), F.coalesce("o.valueQuantity.unit", "canonical").alias("unit"), F.col("loinc").alias("code"), "days_ago"))))).alias("labs"))
     return person.join(lists, "patient", "left").join(labs, "patient", "left")

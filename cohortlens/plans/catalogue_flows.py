@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ground, report
+from cohortlens.operators import ground, ingest, report
 from cohortlens.plans.catalogue import query
 from cohortlens.sources import file_order, tables
 from cohortlens.sources.shared import shared_path
@@ -71,3 +71,33 @@ def _(spark, d):
     stored = tables.read_facts_files(report.read_documents(spark, path).select(F.col("patient").alias("name"), F.col("text").alias("content")))
     told = stored.select(F.col("name").alias("patient"), F.expr("variant_get(entry.value, '$', 'string')").alias("value"), "entry.status")
     return actions.join(told, "patient").select("patient", "action", "value", "status")
+
+
+# --- bundle files ------------------------------------------------------------------------------------------------
+
+
+_LAB = "CASE WHEN o_orderkey % 2 = 0 THEN '718-7' ELSE '38483-4' END"
+
+
+@query("bundle_files", f"""WITH p AS (SELECT c_custkey, 'SYN-' || lpad(c_custkey::VARCHAR, 8, '0') AS patient, make_date(1940 + c_custkey % 50, c_custkey % 12 + 1, c_custkey % 28 + 1) AS born, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS sex FROM customer),
+l AS (SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'hemoglobin' ELSE 'creatinine' END AS lab, o_totalprice, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderdate::DATE DESC, o_orderkey) AS n FROM orders)
+SELECT patient, (2001 - year(born) - CASE WHEN '0802' < strftime(born, '%m%d') THEN 1 ELSE 0 END)::INTEGER AS age, sex, max(CASE WHEN lab = 'hemoglobin' THEN floor(o_totalprice * 100 + 0.5) / 100 END) AS hemoglobin, max(CASE WHEN lab = 'creatinine' THEN floor(o_totalprice * 100 + 0.5) / 100 END) AS creatinine
+FROM p LEFT JOIN l ON o_custkey = c_custkey AND n = 1 GROUP BY ALL""")
+def _(spark, d):
+    """Customers and their orders written as a file of a bundle each, found, read an entry a row, and flattened."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    coding = F.array(F.struct(F.lit("http://loinc.org").alias("system"), F.expr(_LAB).alias("code"), F.lit('the "resource" of a text').alias("display")))
+    reading = F.struct(F.lit("Observation").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), F.struct(coding.alias("coding")).alias("code"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("effectiveDateTime"), F.struct(F.col("o_totalprice").alias("value"), F.lit("g/dL").alias("unit")).alias("valueQuantity"))
+    entry = F.to_json(F.struct(F.lit("urn:x").alias("fullUrl"), reading.alias("resource")))
+    born = F.make_date(1940 + k % 50, k % 12 + 1, k % 28 + 1)
+    who = F.struct(F.lit("Patient").alias("resourceType"), F.lpad(k.cast("string"), 8, "0").alias("id"), F.date_format(born, "yyyy-MM-dd").alias("birthDate"), F.when(k % 2 == 0, "male").otherwise("female").alias("gender"))
+    # one file in seven has the word as a value, and so is read whole
+    person = F.to_json(F.struct(F.when(k % 7 == 0, "resource").alias("fullUrl"), who.alias("resource")))
+    docs = c.join(o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]).alias("es")), k == F.col("o_custkey"), "left")
+    text = F.concat(F.lit('{"resourceType": "Bundle", "entry": ['), F.concat_ws(", ", F.array(person), F.coalesce("es", F.array().cast("array<string>"))), F.lit("]}"))
+    root = shared_path(spark, "bundles")
+    docs.select(text.alias("value"), k.alias("name")).repartition("name").write.partitionBy("name").text(f"{root}/fhir")
+    flat = ingest.flatten_resources(ingest.read_resources(spark, f"{root}/fhir", "*.txt"), "2001-08-02")
+    return flat.select("patient", "age", "sex", F.col("labs")["hemoglobin"]["value"].alias("hemoglobin"), F.col("labs")["creatinine"]["value"].alias("creatinine"))

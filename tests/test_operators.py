@@ -163,14 +163,15 @@ def test_flatten(spark):
         {"resource": {"resourceType": "Patient", "id": "ab12cd34ef", "birthDate": "1960-05-01", "gender": "male"}},
         lab("38483-4", 1.0, "2020-01-01"), lab("38483-4", 1.2, "2020-03-01"), lab("0000-0", 9, "2020-03-01"),
         {"resource": {"resourceType": "Observation", "code": coding("http://loinc.org", "55284-4"), "effectiveDateTime": "2020-02-01", "component": [{"code": coding("http://loinc.org", "8480-6"), "valueQuantity": {"value": 120, "unit": "mm[Hg]"}}]}},
-        {"resource": {"resourceType": "MedicationRequest", "status": "stopped", "authoredOn": "2018-01-01", "medicationCodeableConcept": coding("rx", "old")}},
-        {"resource": {"resourceType": "MedicationRequest", "status": "active", "authoredOn": "2018-01-01", "medicationCodeableConcept": coding("rx", "now")}},
-        {"resource": {"resourceType": "Condition", "onsetDateTime": "2019-01-01", "code": coding("sct", "88805009")}},
+        {"resource": {"resourceType": "MedicationRequest", "status": "stopped", "authoredOn": "2018-01-01", "medicationCodeableConcept": coding(ingest.RXNORM, "old")}},
+        {"resource": {"resourceType": "MedicationRequest", "status": "active", "authoredOn": "2018-01-01", "medicationCodeableConcept": coding(ingest.RXNORM, "now")}},
+        {"resource": {"resourceType": "Condition", "onsetDateTime": "2019-01-01", "code": {"coding": [{"system": "other", "code": "x"}, {"system": ingest.SNOMED, "code": "88805009"}]}}},
+        {"resource": {"resourceType": "Condition", "onsetDateTime": "2019-01-01", "code": {"coding": []}}}, {"resource": {"resourceType": "Condition", "code": coding(ingest.SNOMED, "undated")}},
     ]}
     b = spark.createDataFrame([(json.dumps(bundle),)], "j string").select(F.from_json("j", ingest.BUNDLE).alias("b")).select("b.entry")
     r = ingest.flatten(b, "2020-05-01").first()
     assert (r.patient, r.age, r.sex) == ("SYN-AB12CD34", 60, "male") and {k: v.value for k, v in r.labs.items()} == {"creatinine": 1.2, "systolic_bp": 120.0}
-    assert [m.code for m in r.medications] == ["now"] and [c.code for c in r.conditions] == ["88805009"]
+    assert [m.code for m in r.medications] == ["now"] and [(c.code, c.system) for c in r.conditions] == [("88805009", "snomed")]
 
 
 @pytest.mark.parametrize(
