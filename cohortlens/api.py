@@ -100,6 +100,15 @@ class Engine:
         rs, model = self._sound(ruleset, fact_model)
         return sensitivity.ranked(sensitivity.yields(facts, rs, model))
 
+    def confirmed(self, path: str) -> DataFrame:
+        """(patient, fact, value) of stored facts that rules may read; files that can't be read, or two values of one fact, are errors."""
+        rows = tables.read_facts_files(tables.read_files(self.spark, path))
+        bad = rows.where("problems is not null").select("name").distinct().orderBy("name").limit(10).collect()
+        if bad:
+            raise ValueError("unreadable facts files: " + ", ".join(r.name for r in bad))
+        e = rows.where("entry is not null").select("patient", "entry.fact", F.to_json("entry.value").alias("value"), "entry.status", F.col("entry.extractedBy").alias("extracted_by"))
+        return ground.refuse_clashes(ground.confirmed_facts(e)).withColumn("value", F.parse_json("value"))
+
     def check_facts(self, path: str, notes: DataFrame, fact_model: str, as_of: str) -> DataFrame:
         """(patient, fact, finding) of stored facts that don't stand in their notes, or are stale."""
         model = _model(fact_model)

@@ -164,6 +164,33 @@ def parse_response(rows: DataFrame, column: str = "output") -> DataFrame:
     return each.withColumns({"confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), "confidence")), "unit": F.nullif(F.trim("unit"), F.lit(""))})
 
 
+def batch_text(blocks: DataFrame) -> DataFrame:
+    """(doc, output, problem) of messages in blocks: their texts joined in order, which must be JSON.
+
+    blocks: doc, seq, type, text.  problem: ``empty`` or ``not-json``; the output is null then.
+    """
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "text", F.struct("seq", "text")))), lambda x: x["text"]), "")
+    joined = blocks.groupBy("doc").agg(F.trim(texts).alias("t"))
+    problem = F.when(F.length("t") == 0, "empty").when(F.try_parse_json("t").isNull(), "not-json")
+    return joined.select("doc", F.when(problem.isNull(), F.col("t")).alias("output"), problem.alias("problem"))
+
+
+def requests(notes: DataFrame, system: str, model: str, schema: str, fact_model: str = "", note_bytes: int = 128 * 1024, model_bytes: int = 512 * 1024) -> DataFrame:
+    """(custom_id, n_bytes, problem, request) of a batch: one request for each note (doc, body), as JSON.
+
+    problem: ``duplicate-id`` or ``note-too-long`` (in bytes of UTF-8); such a note has no request.  A fact
+    model beyond its limit is an error, as it would be in every request.
+    """
+    if len(fact_model.encode()) > model_bytes:
+        raise ValueError(f"the fact model has over {model_bytes} bytes")
+    size = F.octet_length(F.coalesce("body", F.lit("")))
+    uses = notes.groupBy("doc").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    body = F.to_json(F.struct(F.lit(model).alias("model"), F.lit(system).alias("system"), F.array(F.struct(F.lit("user").alias("role"), F.coalesce("body", F.lit("")).alias("content"))).alias("messages"), F.lit(schema).alias("format")))
+    j = notes.select("doc", "body").join(uses, "doc", "left")
+    problem = F.when(F.col("uses").isNotNull(), "duplicate-id").when(size > note_bytes, "note-too-long")
+    return j.select(F.col("doc").alias("custom_id"), size.cast("long").alias("n_bytes"), problem.alias("problem"), F.when(problem.isNull(), body).alias("request"))
+
+
 def reconcile(requested: DataFrame, results: DataFrame) -> DataFrame:
     """(custom_id, problem) of a batch: missing, unexpected, repeated or failed results.  requested: custom_id; results: custom_id, status."""
     r = results.groupBy("custom_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("status") != "succeeded").cast("int")).alias("bad"))
@@ -180,6 +207,11 @@ def recording_mismatches(recordings: DataFrame, controls: dict[str, str]) -> Dat
 # --- confirmed facts ---------------------------------------------------------------------------------
 
 
+def is_llm(by: str = "extractedBy") -> Column:
+    """Whether a model extracted the row."""
+    return F.coalesce(F.col(by).startswith("llm/"), F.lit(False))
+
+
 def is_evaluable() -> Column:
     return (F.col("status") != "rejected") & ((F.col("extracted_by") == "pipeline") | (F.col("status") == "confirmed"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.model import RuleSet
-from cohortlens.operators import cohort
+from cohortlens.operators import classify, cohort
 from cohortlens.operators.prove import Finding, by_severity
 from cohortlens.sources import tables
 from cohortlens.sources.shared import exists, shared_path
@@ -42,12 +42,21 @@ def findings_text(findings: list[Finding]) -> str:
     return "\n".join(f"{f.level}: {f.code}: {f.message}" for f in by_severity(findings)) or "no findings"
 
 
-def coverage_report(tally: DataFrame, anchors: DataFrame, blockers: DataFrame) -> str:
-    """Markdown of a classification: shares by kind, and the most frequent signals."""
-    out = ["# Coverage", "", "| kind | class | lines | % |", "|---|---|---|---|"]
-    out += [f"| {r.kind or 'all'} | {r['class']} | {r.n} | {r.pct} |" for r in tally.orderBy(F.col("kind").asc_nulls_first(), "class").collect()]
-    for title, df in (("Anchors", anchors), ("Blockers", blockers)):
-        out += ["", f"## {title}", *(f"- {r.signal}: {r.n}" for r in df.collect())]
+def coverage_report(classified: DataFrame, kind: str = "kind", trial: str = "trial", line: str = "line", shown: int = 10) -> str:
+    """Markdown of a classification: shares by kind, the most frequent signals, and examples of each class, one of a trial.
+
+    Collects the shares, ten signals and ``shown`` lines of each class.
+    """
+    tally = classify.tally(classified, kind)
+    n = classify.distinct_trials(classified, trial).first()[0]
+    out = ["# Coverage", "", f"{n} trials", "", "| kind | class | lines | % |", "|---|---|---|---|"]
+    out += [f"| {r[kind] or 'all'} | {r['class']} | {r.n} | {r.pct} |" for r in tally.orderBy(F.col(kind).asc_nulls_first(), "class").collect()]
+    for title, column in (("Anchors", "anchors"), ("Blockers", "blockers")):
+        out += ["", f"## {title}", "", *(f"- {r.signal}: {r.n}" for r in classify.top_signals(classified, column).collect())]
+    for name in classify.CLASSES:
+        of = classify.examples(classified.where(F.col("class") == name), trial, line, shown).collect()
+        told = lambda r: ", ".join([*r["anchors"], *(f"not {x}" for x in r["blockers"])])
+        out += ["", f"## Examples: {name}", "", *([f"- {r[line]} ({r[trial]}{': ' + told(r) if told(r) else ''})" for r in of] or ["none"])]
     return "\n".join(out) + "\n"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators import ground
+
 from cohortlens.model import Criterion, FactModel, RuleSet, leaves
 from cohortlens.operators.evaluate import display_band, overall_of, with_results
 
@@ -103,6 +105,43 @@ def manifest(cards: DataFrame) -> DataFrame:
     return cards.where("decision is not null").select("card", F.to_json(body).alias("json"))
 
 
+def snapshot_manifest(entries: DataFrame, decisions: DataFrame, reviewer: str, now: str, recorded: DataFrame | None = None) -> DataFrame:
+    """(patient, json): what was decided of each patient's facts file, with each row before and after and the file as it was.
+
+    entries: patient, fact, value VARIANT, unit, status, confidence, extractedBy, source struct<doc, quote>;
+    decisions: card (``patient:fact``), decision, value VARIANT (a correction), at, correction_reason,
+    correction_source; recorded: patient, fact, value VARIANT of the structured record.  Patients of whom
+    nothing is decided have no row.  A correction without reason and source, or no reviewer, is an error.
+    The manifest is not authoritative and never replaces a facts file.
+    """
+    if not reviewer.strip():
+        raise ValueError("a manifest names its reviewer")
+    keys = ["patient", "fact"]
+    file = F.struct("fact", "value", "unit", "status", "confidence", "extractedBy", "source")
+    told = entries.where(ground.is_llm() & (F.col("status") != "rejected")).select(*keys, F.concat_ws(":", *keys).alias("card"), "value", "unit", "extractedBy", "source", file.alias("proposal"))
+    d = decisions.where(F.col("decision").isin("confirmed", "rejected")).select("card", "decision", F.col("value").alias("corrected"), F.coalesce("at", F.lit(now)).alias("at"), "correction_reason", "correction_source")
+    j = told.join(d, "card")
+    if recorded is not None:
+        j = j.join(recorded.select(*keys, F.col("value").alias("recordedValue")), keys, "left")
+    else:
+        j = j.withColumn("recordedValue", F.lit(None).cast("variant"))
+    fixed = F.col("corrected").isNotNull()
+    unfounded = fixed & (F.coalesce(F.length("correction_reason"), F.lit(0)) * F.coalesce(F.length("correction_source"), F.lit(0)) == 0)
+    refused = F.when(unfounded, F.raise_error(F.concat("card", F.lit(": a corrected value has no reason or source"))).cast("string"))
+    attested = F.struct(F.lit("reviewer-attestation").alias("type"), F.col("correction_source").alias("detail"))
+    after = F.struct(
+        "fact", F.coalesce("corrected", "value").alias("value"), "unit", F.col("decision").alias("status"), F.when(fixed, "human").otherwise(F.col("extractedBy")).alias("extractedBy"),
+        F.when(~fixed, F.col("source")).alias("source"), F.when(fixed, attested).alias("attestation"), F.lit(reviewer.strip()).alias("reviewedBy"), F.col("at").alias("reviewedAt"), refused.alias("refused"),
+    )
+    one = F.struct("fact", "decision", F.struct("proposal", "recordedValue").alias("before"), after.alias("after"), F.when(fixed, F.struct(F.col("correction_reason").alias("reason"), F.col("correction_source").alias("source"))).alias("correction"))
+    each = j.select("patient", "fact", F.to_json(one).alias("d")).groupBy("patient").agg(F.array_sort(F.collect_list(F.struct("fact", "d"))).alias("ds"))
+    files = entries.join(each.select("patient"), "patient", "left_semi").select("patient", "fact", F.to_json(file).alias("e")).groupBy("patient").agg(F.array_sort(F.collect_list(F.struct("fact", "e"))).alias("es"))
+    listed = lambda col, part: F.array_join(F.transform(col, lambda x: x[part]), ",")
+    head = F.to_json(F.struct(F.lit("review-manifest").alias("kind"), F.lit(1).alias("version"), F.lit(False).alias("authoritative"), F.lit(now).alias("exportedAt"), F.col("patient").cast("string").alias("patient")))
+    text = F.concat(F.regexp_replace(head, r"\}$", ',"sourceSnapshot":['), listed("es", "e"), F.lit('],"decisions":['), listed("ds", "d"), F.lit("]}"))
+    return each.join(files, "patient").select("patient", text.alias("json"))
+
+
 def highlight(body: Column, quote: Column) -> Column:
     """The text before, in and after the first occurrence of the quote; NULL if there is none."""
     at = F.instr(body, quote)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.conditions import Facts, condition_column, verdict
@@ -78,6 +78,18 @@ def ranked(y: DataFrame) -> DataFrame:
     return y.orderBy(F.desc("delta"), "knob_ord")
 
 
+def top_yields(y: DataFrame) -> DataFrame:
+    """(knob_ord, knob, value, relaxed, delta, ranked): the knobs of the largest yield, all that tie for it.
+
+    ranked: whether there is an order at all, which is so if there are two knobs or more and the two
+    largest yields differ.
+    """
+    best = y.agg(F.max("delta").alias("best"), F.count(F.lit(1)).alias("n"))
+    tied = y.join(F.broadcast(best), F.col("delta") == F.col("best"))  # one row is broadcast
+    alone = F.count(F.lit(1)).over(Window.partitionBy("best")) == 1
+    return tied.withColumn("ranked", alone & (F.col("n") > 1)).select("knob_ord", "knob", "value", "relaxed", "delta", "ranked")
+
+
 def preview(df: DataFrame, rs: RuleSet, model: FactModel, knob: Knob, values: list[float]) -> DataFrame:
     """(value, band, n) of each display band at each value of a knob, in one job."""
     base = baseline(df, rs, model)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ground, ingest, report
+from cohortlens.operators import ground, ingest, report, review, sensitivity
+from cohortlens.plans import catalogue
 from cohortlens.plans.catalogue import query
+from cohortlens.plans.cohort_tables import MODEL, V1, facts_wide
 from cohortlens.sources import file_order, tables
 from cohortlens.sources.shared import shared_path
 from cohortlens.streaming import batches
@@ -73,6 +75,35 @@ def _(spark, d):
     return actions.join(told, "patient").select("patient", "action", "value", "status")
 
 
+@query("batch_requests", """SELECT l_orderkey AS custom_id, strlen(text) AS n_bytes, CASE WHEN n > 1 THEN 'duplicate-id' WHEN strlen(text) > 4096 THEN 'note-too-long' END AS problem, n = 1 AND strlen(text) <= 4096 AS requested
+FROM (SELECT doc_id % 997 AS l_orderkey, text, count(*) OVER (PARTITION BY doc_id % 997) AS n FROM documents)""")
+def _(spark, d):
+    """Requests for all documents; ids repeat beyond 997 documents."""
+    notes = spark.read.parquet(f"{d}/documents.parquet").select(F.expr("doc_id % 997").alias("doc"), F.col("text").alias("body"))
+    return ground.requests(notes, "prompt", "m", "s", note_bytes=4096).select("custom_id", "n_bytes", "problem", F.col("request").isNotNull().alias("requested"))
+
+
+@query("top_yields", f"WITH y AS ({catalogue.oracle_sql()['sensitivity_yields']}) SELECT knob_ord, knob, value, relaxed, delta, (SELECT count(*) FROM y AS z WHERE z.delta = y.delta) = 1 AS ranked FROM y WHERE delta = (SELECT max(delta) FROM y)")
+def _(spark, d):
+    return sensitivity.top_yields(sensitivity.yields(facts_wide(spark, d), V1, MODEL))
+
+
+@query("snapshot_manifest", """SELECT o_custkey AS patient, count(*) AS decisions, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS corrected, any_value(c_mktsegment) AS recorded, (SELECT count(*) FROM orders AS x WHERE x.o_custkey = o.o_custkey) AS snapshot
+FROM orders AS o JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 GROUP BY o_custkey""")
+def _(spark, d):
+    """Decisions on the orders as facts, read back from the manifests."""
+    k = F.col("o_orderkey")
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("patient"), k, F.concat(F.lit("f"), k.cast("string")).alias("fact"), "o_orderstatus")
+    entries = o.select("patient", "fact", F.parse_json(k.cast("string")).alias("value"), F.lit(None).cast("string").alias("unit"), F.when(F.col("o_orderstatus") == "P", "rejected").otherwise("proposed").alias("status"), F.lit(0.5).alias("confidence"), F.lit("llm/m").alias("extractedBy"), F.struct(F.lit("d").alias("doc"), F.lit("q").alias("quote")).alias("source"))
+    fixed = k % 5 == 0
+    decisions = o.where(k % 3 != 0).select(F.concat_ws(":", "patient", "fact").alias("card"), F.when(k % 2 == 0, "confirmed").otherwise("rejected").alias("decision"), F.parse_json(F.when(fixed, "7")).alias("value"), F.lit("2024-01-01").alias("at"), F.when(fixed, "typo").alias("correction_reason"), F.when(fixed, "chart").alias("correction_source"))
+    segment = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("patient"), F.parse_json(F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))).alias("value"))
+    recorded = o.select("patient", "fact").join(segment, "patient")
+    told = review.snapshot_manifest(entries, decisions, "r", "2024-02-02", recorded).select("patient", F.parse_json("json").alias("m"))
+    ds = F.expr("variant_get(m, '$.decisions', 'array<variant>')")
+    return told.select("patient", F.size(ds).alias("decisions"), F.size(F.filter(ds, lambda x: F.try_variant_get(x, "$.correction.reason", "string") == "typo")).alias("corrected"), F.variant_get(F.get(ds, F.lit(0)), "$.before.recordedValue", "string").alias("recorded"), F.size(F.expr("variant_get(m, '$.sourceSnapshot', 'array<variant>')")).alias("snapshot"))
+
+
 # --- bundle files ------------------------------------------------------------------------------------------------
 
 

@@ -66,6 +66,15 @@ def read_facts_files(files: DataFrame) -> DataFrame:
     return rows.select("name", "patient", "asOf", "problems", F.posexplode_outer(F.from_json("facts", entry)).alias("place", "entry"))
 
 
+def load_fact_model(spark: SparkSession, path: str | None = None) -> FactModel:
+    """The fact model that every consumer uses: of the file at ``path``, or else at the session setting ``cohortlens.factModel``."""
+    path = path or spark.conf.get("cohortlens.factModel", None)
+    if not path:
+        raise ValueError("name a fact model, or set cohortlens.factModel")
+    (row,) = read_files(spark, path, "*").collect()
+    return D.parse_fact_model(row.content)
+
+
 def duplicate_documents(notes: DataFrame) -> DataFrame:
     return notes.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

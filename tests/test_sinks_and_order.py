@@ -8,7 +8,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ground, report
+from cohortlens.api import Engine
+from cohortlens.operators import classify, ground, report, review
 from cohortlens.sources import file_order, tables
 from cohortlens.sources.documents import parse_facts_file, parse_patient
 from cohortlens.streaming import batches
@@ -117,3 +118,53 @@ def test_batch_stream(spark, tmp_path):
         batches.run_batch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = Counter((r.custom_id, r.problem) for r in spark.read.schema("custom_id string, problem string").parquet(str(tmp_path / "out")).collect())
     assert got == Counter({("r1", "failed"): 1, ("r2", "duplicate"): 1, ("r3", "missing"): 1, ("r4", "missing"): 1, ("zz", "unexpected"): 1, ("r3", "unexpected"): 1})
+
+
+def test_manifest_refuses_unfounded_corrections(spark):
+    e = entries(spark, [("a", "f", "1", None, 0.5, "llm/m", "d", "q", "proposed"), ("a", "g", "2", None, None, "human", "d", "q", "confirmed"), ("b", "f", "1", None, 0.5, "llm/m", "d", "q", "proposed")]).withColumn("source", F.struct("doc", "quote"))
+    d = spark.createDataFrame([("a:f", "confirmed", "3", None, "typo", None), ("b:f", "pending", None, None, None, None)], "card string, decision string, value string, at string, correction_reason string, correction_source string").withColumn("value", F.parse_json("value"))
+    with pytest.raises(Exception, match="a:f: a corrected value has no reason or source"):
+        review.snapshot_manifest(e, d, "r", "2024-01-01").collect()
+    (row,) = review.snapshot_manifest(e, d.withColumn("correction_source", F.lit("chart")), " r ", "2024-01-01").collect()
+    m = json.loads(row.json)
+    assert m["patient"] == "a" and not m["authoritative"] and [x["fact"] for x in m["sourceSnapshot"]] == ["f", "g"]
+    assert m["decisions"][0]["after"] == {"fact": "f", "value": 3, "status": "confirmed", "extractedBy": "human", "attestation": {"type": "reviewer-attestation", "detail": "chart"}, "reviewedBy": "r", "reviewedAt": "2024-01-01"}
+    with pytest.raises(ValueError):
+        review.snapshot_manifest(e, d, " ", "2024-01-01")
+
+
+def test_batch_text_and_requests(spark):
+    b = spark.createDataFrame([("a", 1, "text", '"x"]'), ("a", 0, "text", "["), ("a", 2, "thinking", "no"), ("b", 0, "thinking", "x"), ("c", 0, "text", "[1"), ("d", 0, "text", None)], "doc string, seq int, type string, text string")
+    assert {r.doc: (r.output, r.problem) for r in ground.batch_text(b).collect()} == {"a": ('["x"]', None), "b": (None, "empty"), "c": (None, "not-json"), "d": (None, "empty")}
+    n = spark.createDataFrame([("a", "é" * 5), ("b", "x" * 11), ("c", "1"), ("c", "2"), ("d", None)], "doc string, body string")
+    got = sorted((r.custom_id, r.n_bytes, r.problem, r.request is None) for r in ground.requests(n, "s", "m", "f", note_bytes=10).collect())
+    assert got == [("a", 10, None, False), ("b", 11, "note-too-long", True), ("c", 1, "duplicate-id", True), ("c", 1, "duplicate-id", True), ("d", 0, None, False)]
+    with pytest.raises(ValueError):
+        ground.requests(n, "s", "m", "f", "x" * 11, model_bytes=10)
+
+
+def test_coverage_report(spark):
+    lines = spark.createDataFrame([("t1", "inclusion", "Age over 18 years"), ("t1", "exclusion", "Planned surgery soon"), ("t2", "inclusion", "Fond of long walks")], "trial string, kind string, line string")
+    text = report.coverage_report(classify.classify(lines))
+    assert "2 trials" in text and "| all | expressible | 1 | 33.3 |" in text and "- Fond of long walks (t2)" in text and "- Planned surgery soon (t1: clinical-condition, not intent-or-plan)" in text
+
+
+def test_one_fact_model_and_confirmed_facts(spark, tmp_path):
+    (tmp_path / "model.yaml").write_text("name: m\nfacts:\n  age: {type: number, unit: years}\n")
+    with pytest.raises(ValueError):
+        tables.load_fact_model(spark)
+    spark.conf.set("cohortlens.factModel", str(tmp_path / "model.yaml"))
+    try:
+        assert tables.load_fact_model(spark).facts["age"].unit == "years"
+    finally:
+        spark.conf.unset("cohortlens.factModel")
+    folder = tmp_path / "facts"
+    folder.mkdir()
+    row = lambda f, v, s="confirmed": {"fact": f, "value": v, "status": s, "extractedBy": "human", "reviewedBy": "r", "reviewedAt": "2024-01-01T00:00:00Z"}
+    (folder / "a.yaml").write_text(json.dumps({"patient": "a", "facts": [row("age", 3), row("bmi", 4, "rejected")]}))
+    (folder / "b.yaml").write_text(json.dumps({"patient": "a", "facts": [row("x", "y")]}))
+    engine = Engine(spark)
+    assert sorted((r.patient, r.fact, str(r.value)) for r in engine.confirmed(str(folder)).withColumn("value", F.to_json("value")).collect()) == [("a", "age", "3"), ("a", "x", '"y"')]
+    (folder / "c.yaml").write_text(json.dumps({"patient": "a", "facts": [row("age", 4)]}))
+    with pytest.raises(ValueError, match="a/age"):
+        engine.confirmed(str(folder))
