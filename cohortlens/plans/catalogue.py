@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import facts as FN
 from cohortlens.functions.conditions import Facts, condition_column, leaf_column, tri
 from cohortlens.model import All, AnyOf, Codes, FactDecl, FactModel, Leaf, Not
-from cohortlens.operators import classify, cohort, diff, evaluate, ground, ingest, lint, review, sensitivity
+from cohortlens.operators import classify, cohort, diff, evaluate, ground, ingest, lint, quotes, review, sensitivity
 from cohortlens.operators.classify import TOKEN as term_token
 from cohortlens.operators.term_table import ANCHORS, BLOCKERS, CONDITION_ENDINGS, NUMBER_WORDS, TIME_WORDS
 from cohortlens.plans import sql_parts as S
@@ -505,28 +505,9 @@ def _(spark, d):
 
 @query("ground_quotes", "SELECT item_id, count(*) AS n FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) WHERE length(trim(benchmark.text)) > 0 GROUP BY item_id")
 def _(spark, d):
-    """Benchmark passages as quotes, sought verbatim in documents; what stands beside a quote may touch its first and last word.
-
-    A quote of three words or more is sought by the hash of its inner words, eight of them at most, so
-    that an equi-join on (how many, hash) comes first; shorter ones have no whole word of their own.
-    Those are sought by a window of their length from each place, again by an equi-join.
-    """
-    most = 8
-    split = lambda c: F.split(c, " ")
-    digest = lambda w, at, k: F.xxhash64(F.array_join(F.slice(w, at, k), " "))
-    quotes = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), split("text").alias("w")).where(F.length(F.trim("text")) > 0)
-    k = F.least(F.size("w") - 2, F.lit(most))
-    inner = quotes.where(F.size("w") > 2).select("item_id", k.alias("k"), digest(F.col("w"), F.lit(2), k).alias("h"))
-    short = quotes.where(F.size("w") <= 2).select("item_id", (-F.length("quote")).alias("k"), F.xxhash64("quote").alias("h"))
-    docs = _read(spark, d, "documents").select("doc_id", "text", split("text").alias("w"))
-    keys = inner.unionByName(short)
-    sizes = [r.k for r in keys.select("k").distinct().collect()]  # at most eight word counts, and the lengths of short quotes
-    spots = docs.select("doc_id", "text", "w", F.explode(F.array(*map(F.lit, sizes or [1]))).alias("k"))
-    spots = spots.select("doc_id", "text", "w", "k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.when(F.col("k") > 0, F.size("w") - F.col("k") + 1).otherwise(F.length("text") + F.col("k") + 1)))).alias("p"))
-    spots = spots.select("doc_id", "k", F.when(F.col("k") > 0, digest(F.col("w"), F.col("p"), F.greatest("k", F.lit(1)))).otherwise(F.xxhash64(F.substring("text", F.col("p"), -F.col("k")))).alias("h"))
-    pairs = spots.join(keys, ["k", "h"]).select("doc_id", "item_id").distinct()
-    hit = pairs.join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(ground.verbatim(F.col("quote"), F.col("text")))
-    return hit.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    """Benchmark passages as quotes, sought verbatim in documents, each under its rarest run of words."""
+    hits = quotes.quote_hits(_read(spark, d, "benchmark"), _read(spark, d, "documents"), "item_id", "text", "doc_id", "text")
+    return hits.groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _GMODEL = FactModel("labels/v1", {"chars": FactDecl("number", "chars"), "lang": FactDecl("enum", values=("en", "de", "fr")), "toxic": FactDecl("boolean")})
@@ -823,9 +804,3 @@ def _(spark, d):
 @query("scalar_completed_years", "SELECT o_orderkey, (year(DATE '2001-08-02') - year(o_orderdate) - CASE WHEN '0802' < strftime(o_orderdate, '%m%d') THEN 1 ELSE 0 END)::INTEGER AS years FROM orders")
 def _(spark, d):
     return _read(spark, d, "orders").select("o_orderkey", FN.completed_years(F.col("o_orderdate"), F.lit("2001-08-02").cast("date")).alias("years"))
-
-
-def leaf_of(spark: SparkSession, d: str, leaf: Leaf) -> DataFrame:
-    """One leaf over the cohort, for interactive use."""
-    f = facts_wide(spark, d)
-    return f.select("patient", tri(leaf_column(leaf, Facts(f.columns, MODEL))).alias("result"))
