@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.names import free
 from cohortlens.operators.term_table import ANCHORS, BLOCKERS, NUMBER_WORDS, TIME_WORDS
 
 CLASSES = ("expressible", "partially", "unmodeled")
@@ -45,10 +46,7 @@ def _longer_runs(tokens: str, terms: list[str], normal: Callable[[str], str], cl
 
 def hits(lines: DataFrame, column: str, rows: list[tuple[str, str]], out: str = "hits") -> DataFrame:
     """Adds the distinct terms of ``rows`` (signal, term) that each line holds; a null line holds none."""
-    taken = {c.lower() for c in lines.columns}
-    raw, low = "__raw", "__low"
-    while raw in taken or low in taken:
-        raw, low = raw + "_", low + "_"
+    raw, low = free(lines, "__raw", "__low")
     words = {t for _, t in rows if t[0] not in "$-"}
     units = sorted({t[1:] for _, t in rows if t[0] == "$"})
     endings = sorted({t[1:] for _, t in rows if t[0] == "-"}, key=lambda e: (-len(e), e))
@@ -88,10 +86,7 @@ def split_lines(text: Column) -> Column:
 
 def classify(lines: DataFrame, column: str = "line") -> DataFrame:
     """Adds anchors, blockers and class."""
-    taken = {c.lower() for c in lines.columns}
-    found = "__hits"
-    while found in taken:
-        found += "_"
+    (found,) = free(lines, "__hits")
     out = hits(lines, column, ANCHORS + BLOCKERS, found)
     out = out.withColumns({"anchors": signals(found, ANCHORS), "blockers": signals(found, BLOCKERS)}).drop(found)
     return out.withColumn("class", F.when(F.size("anchors") == 0, "unmodeled").when(F.size("blockers") == 0, "expressible").otherwise("partially"))
@@ -113,9 +108,7 @@ def top_signals(classified: DataFrame, column: str, k: int = 5) -> DataFrame:
 
 def examples(classified: DataFrame, trial: str, order: str, k: int = 10) -> DataFrame:
     """The first line of each trial, and of those the first k."""
-    n = "__n"
-    while n in classified.columns:
-        n += "_"
+    (n,) = free(classified, "__n")
     w = Window.partitionBy(trial).orderBy(order)
     return classified.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n).orderBy(trial).limit(k)
 

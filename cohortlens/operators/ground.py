@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.names import free
 from cohortlens.model import FactModel
 
 #: Reasons for which the gate rejects, in the order in which they are told.
@@ -67,33 +68,34 @@ def gate(proposals: DataFrame, documents: DataFrame, model: FactModel) -> DataFr
     """
     spark = proposals.sparkSession
     docs = documents.select("doc", F.col("patient").alias("doc_patient"), "body")
+    is_quoted, is_denied, earlier = free(proposals, "__quoted", "__denied", "__before")
     j = proposals.join(F.broadcast(model_frame(spark, model)), "fact", "left").join(docs, "doc", "left")
     unit = F.nullif(F.trim("unit"), F.lit(""))
     value = F.trim("value")
     known, there = F.col("type").isNotNull(), F.col("body").isNotNull()
     number_ok, boolean_ok = value.rlike(r"\A-?\d+(\.\d+)?\z"), F.col("value").isin("true", "false")
     quoted = F.coalesce(verbatim(F.col("quote"), F.col("body")), F.lit(False))
-    j = j.withColumn("__quoted", quoted)
-    denied = F.when(F.col("__quoted") & known, negation(*map(F.col, ("fact", "type", "value", "quote"))))
+    j = j.withColumn(is_quoted, quoted)
+    denied = F.when(F.col(is_quoted) & known, negation(*map(F.col, ("fact", "type", "value", "quote"))))
     numeric, enum = F.col("type") == "number", F.col("type") == "enum"
     checks = {
         "unknown-fact": ~known,
         "missing-source": F.coalesce(F.length(F.trim("quote")), F.lit(0)) == 0,
         "doc-not-found": ~there,
         "wrong-patient": F.coalesce(F.col("doc_patient") != F.col("patient"), F.lit(False)),
-        "quote-not-found": there & (F.coalesce(F.length(F.trim("quote")), F.lit(0)) > 0) & ~F.col("__quoted"),
-        "contradictory-negation": F.coalesce(F.col("__denied"), F.lit(False)),
+        "quote-not-found": there & (F.coalesce(F.length(F.trim("quote")), F.lit(0)) > 0) & ~F.col(is_quoted),
+        "contradictory-negation": F.coalesce(F.col(is_denied), F.lit(False)),
         "type-mismatch": known & ((numeric & ~number_ok) | ((F.col("type") == "boolean") & ~boolean_ok) | (F.col("type") == "code")),
         "value-not-allowed": known & enum & ~F.coalesce(F.array_contains("allowed", F.col("value")), F.lit(False)),
         "missing-unit": known & F.col("declared_unit").isNotNull() & unit.isNull(),
         "unit-mismatch": known & unit.isNotNull() & ~F.coalesce(unit == F.col("declared_unit"), F.lit(False)),
     }
-    j = j.withColumn("__denied", denied)
+    j = j.withColumn(is_denied, denied)
     j = j.withColumn("reasons", F.array_compact(F.array(*[F.when(checks[r], F.lit(r)) for r in REASONS if r in checks])))
     clean = F.size("reasons") == 0
     before = F.sum(clean.cast("int")).over(Window.partitionBy("doc", "fact").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    j = j.withColumn("__before", F.coalesce(before, F.lit(0)))
-    j = j.withColumn("reasons", F.when(F.col("__before") > 0, F.array_append("reasons", F.lit("duplicate-fact"))).otherwise(F.col("reasons")))
+    j = j.withColumn(earlier, F.coalesce(before, F.lit(0)))
+    j = j.withColumn("reasons", F.when(F.col(earlier) > 0, F.array_append("reasons", F.lit("duplicate-fact"))).otherwise(F.col("reasons")))
     out = j.withColumn("grounded", F.size("reasons") == 0)
     return out.withColumn("unit", F.when(F.col("grounded"), F.col("declared_unit")).otherwise(F.col("unit"))).select(*proposals.columns, "reasons", "grounded")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.facts import UNIT_ALIASES, completed_years, patient_id, round_half_up, whole_days
+from cohortlens.functions.names import free
 
 #: Laboratory concepts (code, name, canonical unit).
 LABS = (
@@ -101,14 +102,16 @@ def normalize_labs(labs: DataFrame) -> DataFrame:
 
 def dedup_codes(rows: DataFrame, *keys: str) -> DataFrame:
     """One row for each key, system and code: the one of the fewest days ago, undated last; the first in ``seq`` among equals."""
+    (n,) = free(rows, "__n")
     w = Window.partitionBy(*keys, "system", "code").orderBy(F.asc_nulls_last("days_ago"), "seq")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return rows.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def latest(rows: DataFrame, keys: list[str], when: str, seq: str) -> DataFrame:
     """The newest row of each key; the first in ``seq`` among equals."""
+    (n,) = free(rows, "__n")
     w = Window.partitionBy(*keys).orderBy(F.desc(when), seq)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return rows.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def lab_base(fact: Column) -> Column:
@@ -292,12 +295,13 @@ def mess_medications(rows: DataFrame, seed: int, rates: dict | None = None) -> D
     r = {**RATES, **(rates or {})}
     w = Window.partitionBy("patient")
     u = lambda *name: draw(seed, F.col("patient"), "mess:medications", *name)
-    numbered = rows.withColumns({"__i": F.row_number().over(w.orderBy("seq")) - 1, "__n": F.count(F.lit(1)).over(w)})
+    i, n = free(rows, "__i", "__n")
+    numbered = rows.withColumns({i: F.row_number().over(w.orderBy("seq")) - 1, n: F.count(F.lit(1)).over(w)})
     many = F.when(u("duplicate") < r["duplicate"], _between(u("copies"), 1, 2)).otherwise(0)
-    picked = F.filter(F.array(F.lit(1), F.lit(2)), lambda k: (k <= many) & (F.floor(u("pick", k.cast("string")) * F.col("__n")) == F.col("__i")))
+    picked = F.filter(F.array(F.lit(1), F.lit(2)), lambda k: (k <= many) & (F.floor(u("pick", k.cast("string")) * F.col(n)) == F.col(i)))
     out = numbered.withColumn("copy", F.explode(F.concat(F.array(F.lit(0)), picked)))
     days = F.col("days_ago") + F.when(F.col("copy") > 0, _between(u("days", F.col("copy").cast("string")), 0, 6)).otherwise(0)
-    return out.withColumn("days_ago", days.cast(rows.schema["days_ago"].dataType)).drop("__i", "__n")
+    return out.withColumn("days_ago", days.cast(rows.schema["days_ago"].dataType)).drop(i, n)
 
 
 def mess_conditions(rows: DataFrame, seed: int, rates: dict | None = None) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ground
-
+from cohortlens.functions.names import free
 from cohortlens.model import Criterion, FactModel, RuleSet, leaves
+from cohortlens.operators import ground
 from cohortlens.operators.evaluate import display_band, overall_of, with_results
 
 UNSURE = 0.8
@@ -16,7 +16,8 @@ UNSURE = 0.8
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     """The last decision of each card; of equal times a rejection, then the greater value.  decisions: card, decision, value, at, correction_reason, correction_source."""
     w = Window.partitionBy("card").orderBy(F.desc("at"), F.desc("decision"), F.desc("value"), F.desc("correction_reason"), F.desc("correction_source"))
-    return decisions.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    (n,) = free(decisions, "__n")
+    return decisions.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def valid_decisions(decisions: DataFrame, reviewable: DataFrame) -> DataFrame:

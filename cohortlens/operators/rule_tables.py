@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.sources.shared import kept
+
 KEYS = ("ruleset", "version")
 COLUMNS = (*KEYS, "fact_model", "ord", "id", "ref", "kind", "verbatim", "when")
 
@@ -123,7 +125,7 @@ def structural_changes(criteria: DataFrame, levels: int | None = None) -> DataFr
     old = c.withColumnRenamed("version", "from_version").join(pairs, ["ruleset", "from_version"])
     new = c.join(pairs, list(KEYS))
     told = lambda d, side: d.select(*pair, "id", F.struct("ord", "ref", "identity", "signature", "shape", "ref_once").alias(side))
-    both = told(old, "a").join(told(new, "b"), [*pair, "id"], "full")
+    both = kept(told(old, "a").join(told(new, "b"), [*pair, "id"], "full"), "version-pairs")
 
     common = both.where("a IS NOT NULL AND b IS NOT NULL")
     place = lambda side: F.row_number().over(Window.partitionBy(*pair).orderBy(f"{side}.ord", "id"))
@@ -138,10 +140,10 @@ def structural_changes(criteria: DataFrame, levels: int | None = None) -> DataFr
         once = lambda d, name: d.groupBy(*pair, *key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "identity")).alias(name)).where("n = 1").drop("n")
         return once(left, "l").join(once(right, "r"), [*pair, *key]).select(*pair, F.col("l.id").alias("from_id"), F.col("r.id").alias("id"), (F.col("l.identity") != F.col("r.identity")).alias("differs"))
 
-    same = matched(gone, came, ["identity"])
+    same = kept(matched(gone, came, ["identity"]), "same")
     rest_gone = gone.where("ref_once").join(same.select(*pair, F.col("from_id").alias("id")), [*pair, "id"], "left_anti")
     rest_came = came.where("ref_once").join(same.select(*pair, "id"), [*pair, "id"], "left_anti")
-    renamed = same.unionByName(matched(rest_gone, rest_came, ["ref", "shape"]))
+    renamed = kept(same.unionByName(matched(rest_gone, rest_came, ["ref", "shape"])), "renames")
     return (
         out(came.join(renamed.select(*pair, "id"), [*pair, "id"], "left_anti"), "added")
         .unionByName(out(gone.join(renamed.select(*pair, F.col("from_id").alias("id")), [*pair, "id"], "left_anti"), "removed"))
@@ -195,8 +197,8 @@ def interval_text() -> Column:
 def admitted_intervals(criteria: DataFrame, levels: int | None = None) -> DataFrame:
     """(ruleset, version, fact, interval, n): what the inclusions of a rule set admit of each fact together; interval ``empty`` if nothing."""
     numeric = node_rows(criteria, levels).where("needed AND family = 'numeric'")
-    kept = _intervals(numeric).where(f"kind = 'inclusion' AND NOT {_EMPTY}")
-    met = kept.groupBy(*KEYS, "fact").agg(*_meet(), F.count(F.lit(1)).alias("n"))
+    inclusive = _intervals(numeric).where(f"kind = 'inclusion' AND NOT {_EMPTY}")
+    met = inclusive.groupBy(*KEYS, "fact").agg(*_meet(), F.count(F.lit(1)).alias("n"))
     return met.select(*KEYS, "fact", F.when(F.expr(_EMPTY), "empty").otherwise(interval_text()).alias("interval"), "n")
 
 
@@ -208,9 +210,10 @@ def contradictions(criteria: DataFrame, levels: int | None = None) -> DataFrame:
     least high end are named.  Code sets are compared by joining their codes.
     """
     rows = node_rows(criteria, levels).select(*KEYS, "ord", "id", "kind", "path", "needed", "node", "fact", "op", "family", "number", "system", F.array_distinct(F.coalesce("codes", F.array().cast("array<string>"))).alias("codes"))
+    rows = kept(rows.where("needed"), "needed-nodes")
     crit = list(_CRITERION)
     finding = lambda d, level, code, ids, fact=F.col("fact"): d.select(*KEYS, F.lit(level).alias("level"), F.lit(code).alias("code"), fact.alias("fact"), ids.alias("criteria"))
-    needed = rows.where("needed")
+    needed = rows
     partial = needed.groupBy(*crit).agg(
         F.max(F.col("node").isin("any", "not") | ((F.col("node") == "leaf") & ~F.coalesce(F.col("family").isin("numeric", "set"), F.lit(False)))).alias("partial"),
         F.max(F.coalesce((F.col("family") == "set") | ((F.col("family") == "numeric") & (F.col("op") == "neq")), F.lit(False))).alias("other"),
@@ -219,7 +222,7 @@ def contradictions(criteria: DataFrame, levels: int | None = None) -> DataFrame:
     out = finding(partial.where("partial"), "info", "analysis-incomplete", F.col("id"), F.lit(None).cast("string"))
 
     numeric = needed.where("family = 'numeric'")
-    by_criterion = _intervals(numeric)
+    by_criterion = kept(_intervals(numeric), "intervals")
     holes = numeric.where("op = 'neq'").select(*crit, "fact", F.col("number").alias("hole")).distinct()
     out = out.unionByName(finding(by_criterion.where(_EMPTY), "error", "unsatisfiable-criterion", F.col("id")))
     hit = by_criterion.where(_POINT).join(holes, [*crit, "fact"]).where("low = hole")
@@ -238,16 +241,16 @@ def contradictions(criteria: DataFrame, levels: int | None = None) -> DataFrame:
     out = out.unionByName(finding(excluded, "error", "unsatisfiable-ruleset", two(None, "x", "y")))
 
     # what all inclusions of a rule set admit of a fact
-    kept = by_criterion.where(f"kind = 'inclusion' AND NOT {_EMPTY}")
+    inclusive = by_criterion.where(f"kind = 'inclusion' AND NOT {_EMPTY}")
     # (ord, id) of the first criterion with the greatest low end and of the first with the least high end
     first_low = F.max_by(F.struct("ord", "id"), F.struct("low", "low_open", (-F.col("ord")).alias("o")))
     first_high = F.min_by(F.struct("ord", "id"), F.struct("high", (~F.col("high_open")).alias("c"), "ord"))
-    admitted = kept.groupBy(*KEYS, "fact").agg(*_meet(), first_low.alias("x"), first_high.alias("y"), F.count(F.lit(1)).alias("n"))
+    admitted = kept(inclusive.groupBy(*KEYS, "fact").agg(*_meet(), first_low.alias("x"), first_high.alias("y"), F.count(F.lit(1)).alias("n")), "admitted")
     ids = F.when(F.col("x.ord") < F.col("y.ord"), two(None, "x", "y")).otherwise(two(None, "y", "x"))
     apart = admitted.where(f"{_EMPTY} AND n > 1")
     out = out.unionByName(finding(apart, "error", "contradictory-inclusions", ids))
     point = admitted.where(_POINT).select(*KEYS, "fact", "low")
-    outside = holes.where("kind = 'inclusion'").join(kept.select(*crit, "fact"), [*crit, "fact"], "left_anti")
+    outside = holes.where("kind = 'inclusion'").join(inclusive.select(*crit, "fact"), [*crit, "fact"], "left_anti")
     pierced = point.join(outside, [*KEYS, "fact"]).where("low = hole")
     out = out.unionByName(finding(pierced, "error", "contradictory-inclusions", F.col("id")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import facts as FN
-from cohortlens.functions.conditions import Facts, condition_column, leaf_column, tri
+from cohortlens.functions.conditions import Facts, condition_column, tri
 from cohortlens.model import All, AnyOf, Codes, FactDecl, FactModel, Leaf, Not
 from cohortlens.operators import classify, cohort, diff, evaluate, ground, ingest, lint, quotes, review, sensitivity
 from cohortlens.operators.classify import TOKEN as term_token

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.names import free
+
 #: Values that the ranges' bounds are chosen from, those of least hash.
 SAMPLE = 4096
 
@@ -40,9 +42,7 @@ def numbered(df: DataFrame, by: str, *ties: str, name: str = "place", ranges: in
         return out
 
     lot = reduce(lambda a, b: a + b, [above(b).cast("int") for b in bounds], F.lit(0))
-    lots, number = "__lot", name
-    while lots in df.columns:
-        lots += "_"
+    (lots,) = free(df, "__lot")
     dealt = df.withColumn(lots, lot)
     sizes = {r[0]: r[1] for r in dealt.groupBy(lots).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, total = [], 0
@@ -50,4 +50,4 @@ def numbered(df: DataFrame, by: str, *ties: str, name: str = "place", ranges: in
         before.append(total)
         total += sizes.get(k, 0)
     at = F.row_number().over(Window.partitionBy(lots).orderBy(*[F.asc_nulls_first(k) for k in keys]))
-    return dealt.withColumn(number, F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col(lots)) + at - 1).drop(lots)
+    return dealt.withColumn(name, F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col(lots)) + at - 1).drop(lots)
