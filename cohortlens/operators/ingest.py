@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.facts import UNIT_ALIASES, completed_years, patient_id, round_half_up, whole_days
 from cohortlens.functions.names import free
+from cohortlens.sources.shared import kept
 
 #: Laboratory concepts (code, name, canonical unit).
 LABS = (
@@ -134,6 +135,10 @@ BUNDLE = (
 RESOURCE = BUNDLE.removeprefix("entry array<struct<resource:").removesuffix(">>")
 
 
+#: Files that are read whole by their names; beyond that all are read and those picked.
+FEW = 5000
+
+
 def find_bundles(spark: SparkSession, root: str, ending: str = ".json") -> str:
     """The first of root/fhir and root that holds bundle files, in whatever store they are."""
     jvm = spark.sparkContext._jvm
@@ -162,15 +167,22 @@ def read_resources(spark: SparkSession, path: str, glob: str = "*.json") -> Data
     starts = raw.withColumn("body", F.regexp_extract("value", r"(?s)^\s*:\s*(\{.*)$", 1))
     is_head = ~F.col("value").rlike(r"^\s*[:,}\]]")
     r = F.when(F.length("body") > 0, F.from_json("body", RESOURCE))
-    rows = starts.where(~is_head).select("file", "seq", r.alias("r"))
+    rows = kept(starts.where(~is_head).select("file", "seq", r.alias("r")), "bundle-entries")  # parsed once
     odd = rows.where("r.resourceType IS NULL").select("file").distinct()
     good = rows.join(odd, "file", "left_anti")
     at = F.try_to_timestamp(F.coalesce("r.effectiveDateTime", "r.authoredOn", "r.onsetDateTime", "r.effectivePeriod.start"))
     # the first patient of each file
     named = good.where("r.resourceType = 'Patient'").groupBy("file").agg(patient_id(F.min_by("r.id", "seq")).alias("patient"))
     split = good.join(named, "file", "left").select("patient", "seq", "r", at.alias("at"))
-    whole = spark.read.schema(BUNDLE).option("multiLine", True).option("pathGlobFilter", glob).json(path).select("entry", F.col("_metadata.file_path").alias("file"))
-    rest = resources(whole.join(odd, "file", "left_semi").select("entry"))
+    named_odd = [r.file for r in odd.limit(FEW + 1).collect()]
+    if not named_odd:
+        return split
+    whole = spark.read.schema(BUNDLE).option("multiLine", True)
+    if len(named_odd) <= FEW:
+        rest = resources(whole.json(named_odd))
+    else:
+        every = whole.option("pathGlobFilter", glob).json(path).select("entry", F.col("_metadata.file_path").alias("file"))
+        rest = resources(every.join(odd, "file", "left_semi").select("entry"))
     return split.unionByName(rest.withColumn("seq", F.struct(F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("n"))))
 
 

@@ -11,7 +11,7 @@ from cohortlens.model import RuleSet
 from cohortlens.operators import classify, cohort
 from cohortlens.operators.prove import Finding, by_severity
 from cohortlens.sources import tables
-from cohortlens.sources.shared import exists, shared_path
+from cohortlens.sources.shared import exists, kept
 
 
 def screen_json(ev: DataFrame, path: str, metadata: dict) -> DataFrame:
@@ -105,8 +105,10 @@ def facts_documents(entries: DataFrame, as_of: str | None = None) -> DataFrame:
     return each.select("patient", text.alias("text"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, buckets: int | None = None) -> DataFrame:
     """(patient, text) of documents that :func:`write_documents` wrote."""
+    if buckets:
+        return spark.read.schema("patient string, text string, bucket int").parquet(path)
     rows = spark.read.schema("value string, patient string").text(path, wholetext=True)
     return rows.select("patient", F.regexp_replace("value", r"\n$", "").alias("text"))
 
@@ -117,34 +119,38 @@ def decided_patients(documents: DataFrame) -> DataFrame:
     return rows.where("problems IS NOT NULL OR entry.status <> 'proposed'").select(F.col("name").alias("patient")).distinct()
 
 
-def write_documents(documents: DataFrame, path: str, guard: bool = False) -> DataFrame:
-    """Writes (patient, text) to a folder for each patient, and returns (patient, action): written, kept or unchanged.
+def write_documents(documents: DataFrame, path: str, guard: bool = False, buckets: int | None = None) -> DataFrame:
+    """Writes (patient, text), and returns (patient, action): written, kept or unchanged.
+
+    A text file in a folder for each patient; with ``buckets``, which large corpora need, as many folders of
+    Parquet with the documents of many patients each, of which a run rewrites only those with a new document.
 
     Safe to repeat: a document that is there already is left alone; what is new is first written whole to
-    a staging folder (read back from there, so that it is computed once), and then replaces its patients'
+    a staging folder (read back from there, so that it is computed once), and then replaces its
     folders only.  With ``guard`` a facts file that holds decisions is never replaced.  A run that ends
     in the middle leaves whole old or whole new folders; running again completes it.
     """
     spark = documents.sparkSession
-    staged_at = shared_path(spark, "stage")
-    documents.select(F.col("patient").cast("string").alias("patient"), "text").write.parquet(staged_at)
-    staged = spark.read.schema("patient string, text string").parquet(staged_at)
+    staged = kept(documents.select(F.col("patient").cast("string").alias("patient"), "text"), "stage")
     if exists(spark, path):
-        old = read_documents(spark, path)
-        same = old.select("patient", F.sha2("text", 256).alias("hash"))
+        old = read_documents(spark, path, buckets)
         hashed = staged.withColumn("hash", F.sha2("text", 256))
-        action = hashed.join(same.withColumnRenamed("hash", "old"), "patient", "left")
-        if guard:
-            action = action.join(decided_patients(old).withColumn("decided", F.lit(True)), "patient", "left")
-        else:
-            action = action.withColumn("decided", F.lit(None).cast("boolean"))
+        action = hashed.join(old.select("patient", F.sha2("text", 256).alias("old")), "patient", "left")
+        decided = decided_patients(old).withColumn("decided", F.lit(True)) if guard else None
+        action = action.join(decided, "patient", "left") if guard else action.withColumn("decided", F.lit(False))
         action = action.withColumn("action", F.when(F.col("hash") == F.col("old"), "unchanged").when(F.col("decided"), "kept").otherwise("written"))
     else:
-        action = staged.withColumn("action", F.lit("written"))
-    told_at = shared_path(spark, "actions")
-    action.select("patient", "text", "action").write.parquet(told_at)  # decided before anything is replaced
-    told = spark.read.schema("patient string, text string, action string").parquet(told_at)
-    new = told.where("action = 'written'").select("text", "patient")
-    if not new.isEmpty():
-        new.repartition("patient").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient").text(path)
+        old, action = None, staged.withColumn("action", F.lit("written"))
+    told = kept(action.select("patient", "text", "action"), "actions")  # decided before anything is replaced
+    new = told.where("action = 'written'").select("patient", "text")
+    if new.isEmpty():
+        return told.select("patient", "action")
+    if buckets:
+        new = new.withColumn("bucket", F.pmod(F.xxhash64("patient"), F.lit(buckets)).cast("int"))
+        if old is not None:
+            beside = old.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select("patient"), "patient", "left_anti")
+            new = kept(new.unionByName(beside.select("patient", "text", "bucket")), "merged")
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    else:
+        new.select(F.col("text").alias("value"), "patient").repartition("patient").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient").text(path)
     return told.select("patient", "action")

@@ -47,6 +47,20 @@ def test_facts_files_are_guarded(spark, tmp_path):
     assert after["a"] == decided and after["7"]["facts"][1]["value"] == 41 and after["b/c d"] == read["b/c d"]
 
 
+def test_bucketed_documents(spark, tmp_path):
+    path = str(tmp_path / "b")
+    docs = lambda rows: spark.createDataFrame(rows, "patient string, text string")
+    rows = {str(i): json.dumps({"patient": str(i), "facts": []}) for i in range(40)}
+    assert {r.action for r in report.write_documents(docs(list(rows.items())), path, buckets=4).collect()} == {"written"}
+    before = sorted(os.listdir(path))
+    assert {r.action for r in report.write_documents(docs(list(rows.items())[:9]), path, guard=True, buckets=4).collect()} == {"unchanged"}
+    decided = json.dumps({"patient": "3", "facts": [{"fact": "f", "value": 1, "status": "confirmed", "extractedBy": "human", "reviewedBy": "r", "reviewedAt": "2024-01-01T00:00:00Z"}]})
+    report.write_documents(docs([("3", decided)]), path, buckets=4)
+    got = {r.patient: r.action for r in report.write_documents(docs([("3", "new"), ("4", "new"), ("99", "new")]), path, guard=True, buckets=4).collect()}
+    assert got == {"3": "kept", "4": "written", "99": "written"} and sorted(os.listdir(path)) == before
+    assert {r.patient: r.text for r in report.read_documents(spark, path, 4).collect()} == {**rows, "3": decided, "4": "new", "99": "new"}
+
+
 def test_stage_with_log(spark, tmp_path):
     facts = spark.createDataFrame([("p\"1", '{"age": 3, "x": "y"}'), ("p2", "{}")], "patient string, facts string").withColumn("facts", F.parse_json("facts"))
     log = spark.createDataFrame([("p\"1", "unit", "lab_a", "dropped"), ("p\"1", "rename", "lab_b", "to\nz")], "patient string, kind string, target string, detail string")
