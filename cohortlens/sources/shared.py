@@ -26,7 +26,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path, deleted when the driver ends, in the folder that ``spark.checkpoint.dir`` names; in one of our own only in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="cohortlens-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
