@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.names import free
@@ -29,19 +29,14 @@ def numbered(df: DataFrame, by: str, *ties: str, name: str = "place", ranges: in
     sample = sorted((tuple(r) for r in hashed.collect()), key=lambda r: tuple((x is not None, x) for x in r))
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
     bounds = sorted(set(bounds), key=lambda r: tuple((x is not None, x) for x in r))
-
-    def above(bound: tuple) -> Column:
-        """Whether a row's keys are at or above a bound, nulls first."""
-        out = F.lit(True)
-        for k, x in reversed(list(zip(keys, bound, strict=True))):
-            c = F.col(k)
-            if x is None:
-                out = c.isNotNull() | out
-            else:
-                out = F.coalesce((c > F.lit(x)) | ((c == F.lit(x)) & out), F.lit(False))
-        return out
-
-    lot = reduce(lambda a, b: a + b, [above(b).cast("int") for b in bounds], F.lit(0))
+    types = [df.schema[k].dataType for k in keys]
+    told = lambda rows: F.array(*[F.struct(*[F.lit(x).cast(t).alias(k) for k, x, t in zip(keys, r, types, strict=True)]) for r in rows])
+    own = F.struct(*keys)  # structs compare key by key, nulls first
+    upto = lambda rows: F.size(F.filter(rows, lambda b: b <= own))
+    # how many bounds are at or below a row: first among the last bounds of steps, then within one step
+    step = max(1, math.isqrt(len(bounds)))
+    whole = upto(told(bounds[step - 1 :: step])) * step
+    lot = whole + upto(F.slice(told(bounds), whole + 1, F.lit(step))) if bounds else F.lit(0)
     (lots,) = free(df, "__lot")
     dealt = df.withColumn(lots, lot)
     sizes = {r[0]: r[1] for r in dealt.groupBy(lots).agg(F.count(F.lit(1)).alias("n")).collect()}
