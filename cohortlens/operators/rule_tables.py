@@ -17,15 +17,20 @@ from pyspark.sql import functions as F
 from cohortlens.sources.shared import kept
 
 KEYS = ("ruleset", "version")
+#: Declared facts, over all models, up to which they are broadcast.
+NEAR = 200_000
 COLUMNS = (*KEYS, "fact_model", "ord", "id", "ref", "kind", "verbatim", "when")
 
 
 def levels_of(criteria: DataFrame) -> int:
-    """The deepest nesting of a condition, by its brackets (an upper bound of its levels)."""
+    """The deepest nesting of a condition, by its brackets (an upper bound of its levels); a condition without a combining key is one level."""
+    combined = F.lit(False)
+    for word in ('"all"', '"any"', '"not"', "\\"):  # a key may be written with escapes
+        combined = combined | F.contains("when", F.lit(word))
     brackets = F.regexp_extract_all(F.regexp_replace("when", r'"(?:\\.|[^"\\])*"', ""), F.lit(r"[\[{]|[\]}]"), F.lit(0))
     step = lambda acc, c: F.struct((acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(acc["m"], acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("m"))
     deep = F.aggregate(brackets, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step, lambda acc: acc["m"])
-    return criteria.agg(F.max(deep)).first()[0] or 0
+    return criteria.agg(F.max(F.when(combined, deep).otherwise(F.lit(1)))).first()[0] or 1
 
 
 _CHILDREN = """flatten(transform({level}, n -> transform(
@@ -68,13 +73,15 @@ def node_rows(criteria: DataFrame, levels: int | None = None) -> DataFrame:
 def lint_rules(criteria: DataFrame, models: DataFrame, levels: int | None = None) -> DataFrame:
     """(ruleset, version, level, code, criterion, path, fact): the findings of every rule set against the model that it names."""
     key = [*KEYS, "fact_model"]
-    known = models.select("fact_model").distinct()
+    # nearly all rule sets may name one model: a shuffle by its name would send their criteria to one task
+    near = F.broadcast if models.limit(NEAR + 1).count() <= NEAR else (lambda d: d)
+    known = near(models.select("fact_model").distinct())
     sets = criteria.select(*key).distinct()
     none = F.lit(None).cast("string")
     missing = sets.join(known, "fact_model", "left_anti").select(*KEYS, F.lit("error").alias("level"), F.lit("fact-model-mismatch").alias("code"), none.alias("criterion"), none.alias("path"), none.alias("fact"))
     unmodeled = criteria.where("`when` IS NULL").select(*KEYS, F.lit("info").alias("level"), F.lit("unmodeled-criterion").alias("code"), F.col("id").alias("criterion"), none.alias("path"), none.alias("fact"))
     leaves = node_rows(criteria, levels).where("node = 'leaf'").select(*key, "id", "path", "fact", "op", "family", "number", "text", F.col("unit").alias("given"), "system")
-    declared = models.withColumn("declared", F.lit(True))
+    declared = near(models.withColumn("declared", F.lit(True)))
     j = leaves.join(known, "fact_model").join(declared, ["fact_model", "fact"], "left")
     want = F.when(F.col("family") == "numeric", "number").when(F.col("family") == "text", "enum").when(F.col("family") == "boolean", "boolean").when(F.col("family").isin("set", "within"), "code")
     code = (
