@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.facts import UNIT_ALIASES, completed_years, patient_id, round_half_up, whole_days
 from cohortlens.functions.names import free
-from cohortlens.sources.shared import kept
+from cohortlens.sources.shared import exists, kept
 
 #: Laboratory concepts (code, name, canonical unit).
 LABS = (
@@ -135,6 +135,8 @@ BUNDLE = (
 RESOURCE = BUNDLE.removeprefix("entry array<struct<resource:").removesuffix(">>")
 
 
+#: Bundles of more bytes get a file of their own, which is split among tasks at its entries.
+OWN_BYTES = 16 << 20
 #: Files that are read whole by their names; beyond that all are read and those picked.
 FEW = 5000
 
@@ -186,6 +188,27 @@ def read_resources(spark: SparkSession, path: str, glob: str = "*.json") -> Data
     return split.unionByName(rest.withColumn("seq", F.struct(F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("n"))))
 
 
+def write_bundles(bundles: DataFrame, root: str, own_bytes: int = OWN_BYTES) -> None:
+    """Writes (name, text): bundles as lines of a few files under root/lots, one beyond ``own_bytes`` as a file of its own under root/fhir.
+
+    A store lists, opens and commits each file by itself, which for a file a patient takes longer than all else.
+    """
+    staged = kept(bundles.select("name", "text"), "bundle-texts")
+    large = F.octet_length("text") > own_bytes
+    # outside of strings, where JSON has them escaped, line ends are white space
+    staged.where(~large).select(F.regexp_replace("text", r"[\r\n]+", " ").alias("value")).write.text(f"{root}/lots")
+    alone = staged.where(large)
+    if not alone.isEmpty():
+        alone.select(F.col("text").alias("value"), "name").repartition("name").write.partitionBy("name").text(f"{root}/fhir")
+
+
+def read_written(spark: SparkSession, root: str) -> DataFrame:
+    """(patient, seq, r, at) as :func:`read_resources`, of what :func:`write_bundles` wrote."""
+    rows = resources(spark.read.schema(BUNDLE).json(f"{root}/lots"))
+    rows = kept(rows.withColumn("seq", F.struct(F.lit(0).cast("long").alias("block"), F.col("seq").cast("long").alias("n"))), "bundle-entries")  # parsed once
+    return rows.unionByName(read_resources(spark, f"{root}/fhir", "*.txt")) if exists(spark, f"{root}/fhir") else rows
+
+
 def resources(bundles: DataFrame) -> DataFrame:
     """(patient, seq, r, at): every resource, its place in the bundle and its date."""
     named = bundles.select("entry", F.get(F.filter("entry", lambda e: e["resource"]["resourceType"] == "Patient"), F.lit(0))["resource"]["id"].alias("rid"))
