@@ -105,6 +105,11 @@ def facts_documents(entries: DataFrame, as_of: str | None = None) -> DataFrame:
     return each.select("patient", text.alias("text"))
 
 
+def buckets_for(documents: int) -> int:
+    """As many buckets as keep each, which one task writes, at some 20,000 documents; a folder keeps the number that it was written with."""
+    return max(16, -(-documents // 20_000))
+
+
 def read_documents(spark: SparkSession, path: str, buckets: int | None = None) -> DataFrame:
     """(patient, text) of documents that :func:`write_documents` wrote."""
     if buckets:
