@@ -1,9 +1,10 @@
 """A batch of requests as a stream: results are reconciled as they arrive, and what is open after a day expires.
 
-Events are rows (custom_id, kind, status, at): kind ``request``, ``result`` or ``clock``.  One keyed state
-holds what an id was asked and answered (two numbers and a flag); its timer is the event time of its
-first event plus the patience of the batch.  When the watermark passes the timer, the id's verdict is
-emitted once and its state is gone, so the state never outgrows a day of requests.
+Events are rows (custom_id, kind, status, at): kind ``request``, ``result`` or ``clock``.  Ids are dealt into
+lots; the keyed state of a lot holds what each of its open ids was asked and answered (two numbers and two
+flags), and when it expires: the event time of its first event plus the patience of the batch.  When the
+watermark passes that, the id's verdict is emitted once and it leaves the state, so the state never outgrows
+a day of requests.
 """
 
 from __future__ import annotations
@@ -20,10 +21,16 @@ EVENTS = "custom_id string, kind string, status string, at timestamp"
 DAY_MS = 24 * 60 * 60 * 1000
 
 
-def _verdict(asked: bool, n: int, failed: bool) -> str | None:
-    if not asked:
-        return "unexpected"
-    return "missing" if n == 0 else "duplicate" if n > 1 else "failed" if failed else None
+#: Lots that ids are dealt into by their hash; one call of the state function serves all ids of a lot.
+LOTS = 4096
+_STATE = "ids array<string>, asked array<boolean>, n array<long>, failed array<boolean>, due array<long>"
+
+
+def _problems(x: pd.DataFrame) -> pd.DataFrame:
+    """(custom_id, problem) of expired ids that have one."""
+    problem = pd.Series("failed", index=x.index).where(x["failed"], None)
+    problem = problem.mask(x["n"] > 1, "duplicate").mask(x["n"] == 0, "missing").mask(~x["asked"], "unexpected")
+    return pd.DataFrame({"custom_id": x["custom_id"], "problem": problem})[problem.notna()]
 
 
 def reconcile_stream(events: DataFrame, patience_ms: int = DAY_MS, delay: str = "0 seconds") -> DataFrame:
@@ -34,31 +41,39 @@ def reconcile_stream(events: DataFrame, patience_ms: int = DAY_MS, delay: str =
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            asked, n, failed, _ = state.get
-            state.remove()
-            problem = _verdict(asked, n, failed)
-            yield pd.DataFrame({"custom_id": [key[0]], "problem": [problem]}) if problem else pd.DataFrame({"custom_id": [], "problem": []})
+        if key[0] < 0:  # the clock
             return
-        asked, n, failed, due = state.get if state.exists else (False, 0, False, 0)
-        for b in batches:
+        now = state.getCurrentWatermarkMs()
+        ids, asked, n, failed, due = map(list, state.get) if state.exists else ([], [], [], [], [])
+        parts = [pd.DataFrame({"custom_id": ids, "asked": asked, "n": n, "failed": failed, "due": due}).astype({"custom_id": object, "asked": bool, "n": "int64", "failed": bool, "due": "int64"})]
+        touched: set = set()
+        for b in [] if state.hasTimedOut else batches:
             result = b["kind"] == "result"
-            asked = asked or bool((b["kind"] == "request").any())
-            n += int(result.sum())
-            failed = failed or bool((result & (b["status"] != "succeeded")).any())
-            first = int(b["at"].min().timestamp() * 1000)
-            due = min(due, first + patience_ms) if due else first + patience_ms
-        state.update((asked, n, failed, due))
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"custom_id": [], "problem": []})
-
-    timed = events.withWatermark("at", delay)
-    known = timed.where("custom_id IS NOT NULL OR kind = 'clock'").groupBy(F.coalesce("custom_id", F.concat(F.lit("\0"), F.spark_partition_id().cast("string"))).alias("custom_id"))
-    out = known.applyInPandasWithState(step, "custom_id string, problem string", "asked boolean, n long, failed boolean, due long", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.where(~F.col("custom_id").startswith("\0"))
-
-
-def run_batch(spark: SparkSession, path: str, out: str, checkpoint: str, patience_ms: int = DAY_MS) -> StreamingQuery:
-    """Reconciles the event files of a folder (Parquet, oldest first, one a step), writes Parquet at ``out``, and ends."""
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+            at = (b["at"] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1)
+            parts.append(pd.DataFrame({"custom_id": b["custom_id"], "asked": b["kind"] == "request", "n": result.astype("int64"), "failed": result & (b["status"] != "succeeded"), "due": at.astype("int64") + patience_ms}))
+            touched.update(b["custom_id"])
+        open_ids = pd.concat(parts).groupby("custom_id", sort=False).agg({"asked": "max", "n": "sum", "failed": "max", "due": "min"}).reset_index()
+        over = (open_ids["due"] < now) & ~open_ids["custom_id"].isin(touched)
+        left = open_ids[~over]
+        if left.empty:
+            state.remove()
+        else:
+            state.update(tuple(left[c].tolist() for c in ("custom_id", "asked", "n", "failed", "due")))
+            state.setTimeoutTimestamp(max(int(left["due"].min()), now + 1))
+        if over.any():
+            yield _problems(open_ids[over])
+
+    lot = F.when(F.col("custom_id").isNull(), -1 - F.spark_partition_id()).otherwise(F.pmod(F.xxhash64("custom_id"), F.lit(LOTS)).cast("int"))
+    timed = events.withWatermark("at", delay).where("custom_id IS NOT NULL OR kind = 'clock'").withColumn("lot", lot)
+    return timed.groupBy("lot").applyInPandasWithState(step, "custom_id string, problem string", _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_batch(spark: SparkSession, path: str, out: str, checkpoint: str, patience_ms: int = DAY_MS, step_bytes: int | None = None) -> StreamingQuery:
+    """Reconciles the event files of a folder (Parquet, oldest first), writes Parquet at ``out``, and ends.
+
+    One file a step, or with ``step_bytes`` as many as hold so much: each step has its own tasks and state
+    files, so a batch in many files takes few steps.  Time-outs come between steps only.
+    """
+    most = ("maxBytesPerTrigger", step_bytes) if step_bytes else ("maxFilesPerTrigger", 1)
+    events = spark.readStream.schema(EVENTS).option(*most).parquet(path)
     return reconcile_stream(events, patience_ms).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start()
