@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm import worker
 from cohortlens.llm.common import documents, free_name
 
 BITS = 18
@@ -40,6 +41,7 @@ _MASK = np.uint64((1 << BITS) - 1)
 _WORD_MEMORY = 500_000
 _REPEAT = 0x5EED
 _known: dict[str, tuple[int, int]] = {}
+worker.keeps("quality", _known.clear)
 
 
 def shape(word: str) -> str:
@@ -53,6 +55,7 @@ def shape(word: str) -> str:
 
 
 def _word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    worker.begin("quality")
     if len(_known) > _WORD_MEMORY:
         _known.clear()
     h = xxhash.xxh64_intdigest

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cohortlens.llm import worker
+
 #: Texts longer than this many code points are encoded in overlapping chunks.
 CHUNK, OVERLAP = 32_768, 256
 #: Distinct pieces that a worker remembers before it starts a new memory; what the last one held is taken over when it is met again.
@@ -215,10 +217,12 @@ class WordEncoder:
 
 
 _KNOWN: dict[str, WordEncoder] = {}
+worker.keeps("tokens", _KNOWN.clear)
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, kept between tasks."""
+    worker.begin("tokens")
     if path not in _KNOWN:
         _KNOWN[path] = WordEncoder(path)
     return _KNOWN[path]
