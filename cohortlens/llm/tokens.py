@@ -13,6 +13,7 @@ repeated texts get equal ids; special strings inside texts are handled as the li
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -122,24 +123,46 @@ class WordEncoder:
         self.pool.extend(chain.from_iterable(many))
         return first
 
-    def _look_up(self, pieces: list[str], known: dict[str, int], past: dict[str, int], lead: str) -> np.ndarray:
+    def _new(self, words: list[str], known: dict[str, int], past: dict[str, int], lead: str) -> list:
+        """Ids of pieces that are not known yet, which get the next slots."""
+        tokenize, space, alphabet = self.model.tokenize, self.alphabet[32] if lead else "", self.alphabet
+        (_, _, pool, start, length), first, out = self.past, len(self.start), []
+        for at, w in enumerate(words, first):
+            before = past.get(w)
+            if before is not None:
+                out.append(pool[start[before] : start[before] + length[before]])
+            elif w.isalpha():  # letters alone are one pre-token
+                out.append([t.id for t in tokenize(space + (w if w.isascii() else "".join([alphabet[b] for b in w.encode()])))])
+            else:
+                core = w.rstrip(_TAIL)
+                if core.isalpha():  # most of these words came without signs already
+                    bare = known.get(core)
+                    if bare is None:
+                        head = self._atom(lead + core)
+                    elif bare < first:
+                        head = self.pool[self.start[bare] : self.start[bare] + self.length[bare]]
+                    else:
+                        head = out[bare - first]
+                    out.append((*head, *self._atom(w[len(core) :])))
+                else:
+                    out.append(self._piece(lead + w) if lead or w else ())
+            known[w] = at
+        return out
+
+    def _look_up(self, pieces: pa.Array, known: dict[str, int], past: dict[str, int], lead: str) -> np.ndarray:
+        pieces = pieces.to_numpy(zero_copy_only=False).tolist()
         out = list(map(known.get, pieces))
         missing = [i for i, at in enumerate(out) if at is None]
         if missing:
-            _, _, pool, start, length = self.past
-            new, first = [], len(self.start)
+            collects = gc.isenabled()
+            gc.disable()  # many small lists and no cycle: looking for cycles took a quarter of the time
+            try:
+                self._stored(self._new(list(dict.fromkeys([pieces[i] for i in missing])), known, past, lead))
+            finally:
+                if collects:
+                    gc.enable()
             for i in missing:
-                w = pieces[i]
-                at = known.get(w)
-                if at is None:
-                    at = known[w] = first + len(new)
-                    before = past.get(w)
-                    if before is not None:
-                        new.append(pool[start[before] : start[before] + length[before]])
-                    else:
-                        new.append(self._piece(lead + w) if lead or w else ())
-                out[i] = at
-            self._stored(new)
+                out[i] = known[pieces[i]]
         return np.array(out, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
@@ -178,9 +201,9 @@ class WordEncoder:
         offs = offs - offs[0]
         flat = split.flatten()
         coded = flat.dictionary_encode()
-        slots = self._look_up(coded.dictionary.to_pylist(), self.slots, self.past[0], " ")[coded.indices.to_numpy()]
+        slots = self._look_up(coded.dictionary, self.slots, self.past[0], " ")[coded.indices.to_numpy()]
         first = offs[:-1]
-        slots[first] = self._look_up(flat.take(pa.array(first)).to_pylist(), self.heads, self.past[1], "")
+        slots[first] = self._look_up(flat.take(pa.array(first)), self.heads, self.past[1], "")
         if end_id is not None:  # one more piece for each text
             slots = np.insert(slots, offs[1:], self._stored([(end_id,)]))
             offs = offs + np.arange(n + 1)

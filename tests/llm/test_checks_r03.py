@@ -1,5 +1,7 @@
 """What the check of round 3 found, each in small."""
 
+import gc
+
 import pyarrow as pa
 
 from cohortlens.llm import quality, shingles, tokens, worker
@@ -17,3 +19,27 @@ def test_workers_forget_other_stages():
     assert tokens.encoder(tokens.default_tokenizer()) is first  # of one kind it is kept
     worker.begin("shingles")
     assert not tokens._KNOWN
+
+
+def test_words_with_signs_take_the_ids_of_the_bare_word():
+    """op9, op10: the model is asked once for a word however it is punctuated, and never while Python looks for cycles."""
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    text = "x zorblefink zorblefink, Zürblefänk zorblefink... Zürblefänk! zorblefink. zorblefink%%% 12, a-b. ,"
+    want = enc.tok.encode(text, add_special_tokens=False).ids
+
+    class Asked:
+        def __init__(self, model):
+            self.model, self.words = model, []
+
+        def tokenize(self, s):
+            assert not gc.isenabled()
+            self.words.append(s)
+            return self.model.tokenize(s)
+
+    enc.model = Asked(enc.model)
+    for _ in range(2):
+        got = [x.tolist() for *_, x in enc.encode(pa.array([text]))]
+        assert got == [want]
+    asked = [w for w in enc.model.words if "blef" in w]
+    assert len(asked) == len(set(asked)) == 2
+    assert gc.isenabled()
