@@ -92,18 +92,27 @@ def classify(lines: DataFrame, column: str = "line") -> DataFrame:
     return out.withColumn("class", F.when(F.size("anchors") == 0, "unmodeled").when(F.size("blockers") == 0, "expressible").otherwise("partially"))
 
 
-def tally(classified: DataFrame, by: str) -> DataFrame:
-    """(by, class, n, pct): counts by kind and over all (NULL), with one decimal of a per cent."""
-    sums = classified.groupingSets([[F.col(by), F.col("class")], [F.col("class")]], by, "class").agg(F.count(F.lit(1)).alias("n"))
+def counted(lines: DataFrame, *columns: str) -> DataFrame:
+    """The distinct values of the columns and how many rows have each (``times``): what is only counted is classified once, however often it is repeated."""
+    return lines.groupBy(*columns).agg(F.count(F.lit(1)).alias("times"))
+
+
+def _rows(times: str | None) -> Column:
+    return F.count(F.lit(1)) if times is None else F.sum(times)
+
+
+def tally(classified: DataFrame, by: str, times: str | None = None) -> DataFrame:
+    """(by, class, n, pct): counts by kind and over all (NULL), with one decimal of a per cent; ``times``: a column of how many lines a row stands for."""
+    sums = classified.groupingSets([[F.col(by), F.col("class")], [F.col("class")]], by, "class").agg(_rows(times).alias("n"))
     total = F.sum("n").over(Window.partitionBy(by))
     return sums.select(by, "class", "n", F.round(F.col("n") * 100.0 / total, 1).alias("pct"))
 
 
-def top_signals(classified: DataFrame, column: str, k: int = 5) -> DataFrame:
+def top_signals(classified: DataFrame, column: str, k: int = 5, times: str | None = None) -> DataFrame:
     """(signal, n) of the k most frequent signals, names among equals."""
     # explode_outer: a plain explode makes the optimiser push a test of the whole matching below itself, where it is done again
-    named = classified.select(F.explode_outer(column).alias("signal")).where("signal is not null")
-    return named.groupBy("signal").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "signal").limit(k)
+    named = classified.select(F.explode_outer(column).alias("signal"), *([times] if times else [])).where("signal is not null")
+    return named.groupBy("signal").agg(_rows(times).alias("n")).orderBy(F.desc("n"), "signal").limit(k)
 
 
 def examples(classified: DataFrame, trial: str, order: str, k: int = 10) -> DataFrame:

@@ -769,13 +769,13 @@ def _(spark, d):
 @query("classify_tally", f"""WITH {_CLASSED}, t AS (SELECT kind, class, count(*) AS n FROM l GROUP BY GROUPING SETS ((kind, class), (class)))
 SELECT kind, class, n, round(n * 100.0 / sum(n) OVER (PARTITION BY kind), 1)::DOUBLE AS pct FROM t""")
 def _(spark, d):
-    t = classify.tally(classify.classify(_criteria_lines(spark, d)), "kind")
+    t = classify.tally(classify.classify(classify.counted(_criteria_lines(spark, d), "kind", "line")), "kind", "times")
     return t.withColumn("pct", F.col("pct").cast("double"))
 
 
 @query("signal_top5", f"WITH {_CLASSED} SELECT signal, count(*) AS n FROM found WHERE side = 'a' GROUP BY signal ORDER BY n DESC, signal LIMIT 5")
 def _(spark, d):
-    return classify.top_signals(classify.classify(_criteria_lines(spark, d)), "anchors")
+    return classify.top_signals(classify.classify(classify.counted(_criteria_lines(spark, d), "line")), "anchors", times="times")
 
 
 @query("split_document_lines", f"SELECT doc_id, length(line) AS n_chars FROM {_DOCUMENT_LINES}")
