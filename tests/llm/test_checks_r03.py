@@ -4,7 +4,23 @@ import gc
 
 import pyarrow as pa
 
-from cohortlens.llm import quality, shingles, tokens, worker
+from cohortlens.llm import decontaminate, quality, shingles, tokens, worker
+
+
+def test_texts_of_windows_travel_as_texts(spark, monkeypatch):
+    """op8: whatever the number of keys, documents are dealt to their windows by one plan, as texts and not as arrays of words."""
+    passage = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(0, f"a b c {passage} d e"), (1, "nothing of it at all, not even near"), (2, None)], "doc_id long, text string")
+    plans = []
+    save = decontaminate.Tables.save
+    monkeypatch.setattr(decontaminate.Tables, "save", lambda self, df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or save(self, df, name))
+    got = decontaminate.contamination(docs, spark.createDataFrame([(7, passage)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_items, r.item_id) for r in got) == [(0, 1, 7), (1, 0, None), (2, 0, None)]
+    plan = dict(plans)["window-shingles"]
+    semi = next(x for x in plan.splitlines() if "LeftSemi" in x)
+    assert "ShuffledHashJoin" in semi
+    below = plan[plan.index(semi) :]
+    assert "split(" not in below
 
 
 def test_workers_forget_other_stages():
