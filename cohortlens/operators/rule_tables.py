@@ -19,42 +19,57 @@ from cohortlens.sources.shared import kept
 KEYS = ("ruleset", "version")
 #: Declared facts, over all models, up to which they are broadcast.
 NEAR = 200_000
+#: Combining keys of a condition up to which their number tells its levels; beyond it its brackets are looked at too.
+FEW = 3
 COLUMNS = (*KEYS, "fact_model", "ord", "id", "ref", "kind", "verbatim", "when")
 
 
+#: Keys may be written with escapes.
+_ESCAPED = "contains(`when`, '\\\\')"
+#: How many combining keys a condition's text has at most, which takes no parsing; a path that a variant lacks costs far more than one that it has.
+_COMBINING = f"""CASE WHEN {_ESCAPED} THEN 1000000 ELSE (length(`when`) - length(replace(replace(replace(`when`, '"all"', ''), '"any"', ''), '"not"', ''))) div 5 END"""
+
+
 def levels_of(criteria: DataFrame) -> int:
-    """The deepest nesting of a condition, by its brackets (an upper bound of its levels); a condition without a combining key is one level."""
-    combined = F.lit(False)
-    for word in ('"all"', '"any"', '"not"', "\\"):  # a key may be written with escapes
-        combined = combined | F.contains("when", F.lit(word))
+    """The deepest nesting of a condition (an upper bound of its levels): one more than its combining keys, or by its brackets where those are many."""
+    keys = F.expr(_COMBINING)
+    many = criteria.agg(F.max(keys)).first()[0] or 0
+    if many <= FEW:
+        return 1 + many
     brackets = F.regexp_extract_all(F.regexp_replace("when", r'"(?:\\.|[^"\\])*"', ""), F.lit(r"[\[{]|[\]}]"), F.lit(0))
     step = lambda acc, c: F.struct((acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("d"), F.greatest(acc["m"], acc["d"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("m"))
     deep = F.aggregate(brackets, F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")), step, lambda acc: acc["m"])
-    return criteria.agg(F.max(F.when(combined, deep).otherwise(F.lit(1)))).first()[0] or 1
+    return int(criteria.agg(F.max(F.when(keys > FEW, F.least(keys + 1, deep)).otherwise(keys + 1))).first()[0])
 
 
-_CHILDREN = """flatten(transform({level}, n -> transform(
-    concat(coalesce(try_variant_get(n.v, '$.all', 'array<variant>'), cast(array() AS array<variant>)), coalesce(try_variant_get(n.v, '$.any', 'array<variant>'), cast(array() AS array<variant>)),
-           filter(array(try_variant_get(n.v, '$.not', 'variant')), x -> x IS NOT NULL)),
-    (c, i) -> named_struct('path', concat(n.path, '.', i), 'parent', n.path, 'needed', n.needed AND try_variant_get(n.v, '$.all', 'array<variant>') IS NOT NULL, 'v', c))))"""
+_BELOW = """concat(coalesce(try_variant_get(n.v, '$.all', 'array<variant>'), cast(array() AS array<variant>)), coalesce(try_variant_get(n.v, '$.any', 'array<variant>'), cast(array() AS array<variant>)),
+           filter(array(try_variant_get(n.v, '$.not', 'variant')), x -> x IS NOT NULL))"""
+_IN_ALL = "try_variant_get(n.v, '$.all', 'array<variant>') IS NOT NULL"
+_CHILDREN = f"""flatten(transform({{level}}, n -> transform({_BELOW},
+    (c, i) -> named_struct('path', concat(n.path, '.', i), 'parent', n.path, 'needed', n.needed AND {_IN_ALL}, 'v', c))))"""
+#: The same for needed nodes alone: children of nodes that aren't ``all`` are not looked for.
+_NEEDED_CHILDREN = f"""flatten(transform(filter({{level}}, n -> {_IN_ALL}), n -> transform({_BELOW},
+    (c, i) -> named_struct('path', concat(n.path, '.', i), 'parent', n.path, 'needed', true, 'v', c))))"""
 
 
-def with_nodes(criteria: DataFrame, levels: int | None = None) -> DataFrame:
+def with_nodes(criteria: DataFrame, levels: int | None = None, needed: bool = False) -> DataFrame:
     """The criteria with ``nodes``: (path, parent, needed, v) of each node of the condition, parents first.
 
-    ``needed``: nothing but ``all`` stands above.  An unmodeled criterion has none.
+    ``needed``: nothing but ``all`` stands above; as an argument, only such nodes are wanted.  An unmodeled criterion has none.
     """
     out = criteria.select(*COLUMNS).withColumn("__v", F.expr("try_parse_json(`when`)"))
     out = out.withColumn("__l0", F.expr("filter(array(named_struct('path', '0', 'parent', cast(NULL AS string), 'needed', true, 'v', __v)), n -> n.v IS NOT NULL)"))
     levels = max(1, levels_of(criteria) if levels is None else levels)
-    for k in range(1, levels):
-        out = out.withColumn(f"__l{k}", F.expr(_CHILDREN.format(level=f"__l{k - 1}")))
-    return out.withColumn("nodes", F.concat(*[f"__l{k}" for k in range(levels)])).drop("__v", *[f"__l{k}" for k in range(levels)])
+    out = out.withColumn("__c", F.expr(_COMBINING))
+    for k in range(1, levels):  # so many keys stand above a node of this level
+        kids = F.expr((_NEEDED_CHILDREN if needed else _CHILDREN).format(level=f"__l{k - 1}"))
+        out = out.withColumn(f"__l{k}", F.when(F.col("__c") >= k, kids).otherwise(F.slice("__l0", 1, 0)))
+    return out.withColumn("nodes", F.concat(*[f"__l{k}" for k in range(levels)])).drop("__v", "__c", *[f"__l{k}" for k in range(levels)])
 
 
-def node_rows(criteria: DataFrame, levels: int | None = None) -> DataFrame:
-    """One row for each node: the criterion's columns, path, parent, needed, node (all, any, not, leaf) and a leaf's parts."""
-    flat = with_nodes(criteria, levels).withColumn("__n", F.explode_outer("nodes")).where("__n.path IS NOT NULL")
+def node_rows(criteria: DataFrame, levels: int | None = None, needed: bool = False) -> DataFrame:
+    """One row for each node (``needed``: for each needed one): the criterion's columns, path, parent, needed, node (all, any, not, leaf) and a leaf's parts."""
+    flat = with_nodes(criteria, levels, needed).withColumn("__n", F.explode_outer("nodes")).where("__n.path IS NOT NULL")
     get = lambda path, kind: F.try_variant_get("__n.v", path, kind)
     value = get("$.value", "variant")
     shape = F.schema_of_variant(value)
@@ -165,9 +180,17 @@ def structural_changes(criteria: DataFrame, levels: int | None = None) -> DataFr
 
 
 def _meet() -> list[Column]:
-    """The intersection of rows (low, low_open, high, high_open): ends with their openness."""
-    low, high = F.max(F.struct("low", "low_open")), F.min(F.struct("high", (~F.col("high_open")).alias("closed")))
-    return [low["low"].alias("low"), low["low_open"].alias("low_open"), high["high"].alias("high"), (~high["closed"]).alias("high_open")]
+    """The intersection of rows (low, low_open, high, high_open): ends with their openness.
+
+    Open and closed ends apart, as numbers: these are aggregated by hashing, where pairs would be sorted.
+    """
+    low_open, low_closed = F.max(F.when(F.col("low_open"), F.col("low"))), F.max(F.when(~F.col("low_open"), F.col("low")))
+    high_open, high_closed = F.min(F.when(F.col("high_open"), F.col("high"))), F.min(F.when(~F.col("high_open"), F.col("high")))
+    known = ~F.max(F.col("high").isNull())  # an end without a number leaves the high end unknown
+    return [
+        F.greatest(low_open, low_closed).alias("low"), F.coalesce(low_open >= low_closed, low_open.isNotNull()).alias("low_open"),
+        F.when(known, F.least(high_open, high_closed)).alias("high"), F.coalesce(high_open <= high_closed, high_open.isNotNull()).alias("high_open"),
+    ]
 
 
 _EMPTY = "(low > high OR (low = high AND (low_open OR high_open)))"
@@ -185,6 +208,20 @@ def _required_sets(sets: DataFrame, left: str, right: str, keep: list[str]) -> D
 _CRITERION = (*KEYS, "ord", "id", "kind")
 
 
+#: Leaves with a value, cut down in their row: after an explode each part would be taken out once for the filter and again for its column.
+_VALUED = f"""filter(transform(nodes, n -> named_struct('fact', try_variant_get(n.v, '$.fact', 'string'), 'op', try_variant_get(n.v, '$.op', 'string'), 'value', CASE WHEN __c = 0 OR try_variant_get(n.v, '$.all', 'array<variant>') IS NULL
+    AND try_variant_get(n.v, '$.any', 'array<variant>') IS NULL AND try_variant_get(n.v, '$.not', 'variant') IS NULL THEN try_variant_get(n.v, '$.value', 'variant') END)),
+    x -> x.value IS NOT NULL AND NOT coalesce(x.op IN ('in', 'notIn', 'exists', 'anyWithin'), false))"""
+
+
+def _numbers(criteria: DataFrame, levels: int | None = None) -> DataFrame:
+    """(criterion, fact, op, number): the needed numeric leaves, as :func:`node_rows` has them."""
+    levels = levels_of(criteria) if levels is None else levels
+    said = criteria.withColumn("when", F.expr(f"""CASE WHEN {_ESCAPED} OR contains(`when`, '"value"') THEN `when` END"""))  # the others have no such leaf: not parsed
+    x = with_nodes(said, levels, needed=True).withColumn("__c", F.expr(_COMBINING)).select(*_CRITERION, F.explode(F.expr(_VALUED)).alias("__x"))
+    return x.where(~F.schema_of_variant("__x.value").isin("STRING", "BOOLEAN")).select(*_CRITERION, "__x.fact", "__x.op", F.try_variant_get("__x.value", "$", "double").alias("number"))
+
+
 def _intervals(numeric: DataFrame) -> DataFrame:
     """(criterion, fact, low, low_open, high, high_open): what each criterion needs of a fact."""
     inf = float("inf")
@@ -203,8 +240,7 @@ def interval_text() -> Column:
 
 def admitted_intervals(criteria: DataFrame, levels: int | None = None) -> DataFrame:
     """(ruleset, version, fact, interval, n): what the inclusions of a rule set admit of each fact together; interval ``empty`` if nothing."""
-    numeric = node_rows(criteria, levels).where("needed AND family = 'numeric'")
-    inclusive = _intervals(numeric).where(f"kind = 'inclusion' AND NOT {_EMPTY}")
+    inclusive = _intervals(_numbers(criteria, levels)).where(f"kind = 'inclusion' AND NOT {_EMPTY}")
     met = inclusive.groupBy(*KEYS, "fact").agg(*_meet(), F.count(F.lit(1)).alias("n"))
     return met.select(*KEYS, "fact", F.when(F.expr(_EMPTY), "empty").otherwise(interval_text()).alias("interval"), "n")
 
@@ -216,8 +252,8 @@ def contradictions(criteria: DataFrame, levels: int | None = None) -> DataFrame:
     one aggregate; where nothing is left, the first criterion with the greatest low and the first with the
     least high end are named.  Code sets are compared by joining their codes.
     """
-    rows = node_rows(criteria, levels).select(*KEYS, "ord", "id", "kind", "path", "needed", "node", "fact", "op", "family", "number", "system", F.array_distinct(F.coalesce("codes", F.array().cast("array<string>"))).alias("codes"))
-    rows = kept(rows.where("needed"), "needed-nodes")
+    rows = node_rows(criteria, levels, needed=True).select(*KEYS, "ord", "id", "kind", "path", "needed", "node", "fact", "op", "family", "number", "system", F.array_distinct(F.coalesce("codes", F.array().cast("array<string>"))).alias("codes"))
+    rows = kept(rows, "needed-nodes")
     crit = list(_CRITERION)
     finding = lambda d, level, code, ids, fact=F.col("fact"): d.select(*KEYS, F.lit(level).alias("level"), F.lit(code).alias("code"), fact.alias("fact"), ids.alias("criteria"))
     needed = rows
