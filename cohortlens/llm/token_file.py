@@ -29,6 +29,8 @@ from cohortlens.llm.common import documents, new_path, parallelism, shards
 
 FORMAT = "shard int, block int, before long, doc_ids array<long>, lengths array<long>, words binary, word_offsets array<long>"
 BLOCK_IDS = 1 << 18
+#: Pieces that a worker remembers: twice the usual number, as nothing else is kept beside it.
+MEMORY = 800_000
 
 
 def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None) -> None:
@@ -41,7 +43,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str | None = None, e
     dealt = src.withColumn("shard", shard.cast("int")).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(vocabulary)
+        enc = tokens.encoder(vocabulary, MEMORY)
         shard, block, before, holds = None, 0, 0, 0
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 

@@ -13,6 +13,7 @@ repeated texts get equal ids; special strings inside texts are handled as the li
 
 from __future__ import annotations
 
+import codecs
 import gc
 import os
 import re
@@ -55,6 +56,8 @@ def _byte_alphabet() -> list[str]:
 class WordEncoder:
     """Ids of many texts; the library encodes a distinct piece once and numpy puts the pieces together."""
 
+    memory: int | None = None  # of this encoder, where it isn't MEMORY
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -63,6 +66,7 @@ class WordEncoder:
         self.model = self.tok.model
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.alphabet = _byte_alphabet()
+        self.table = "".join(self.alphabet)
         self.past_atoms: dict[str, tuple] = {}
         self.atoms: dict[str, tuple] = {}
         self._begin()
@@ -90,7 +94,7 @@ class WordEncoder:
         if got is None:
             word = s[1:] if s[:1] == " " else s
             if word.isalpha():
-                mapped = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
+                mapped = self._mapped(word)
                 got = tuple([t.id for t in self.model.tokenize(mapped if word is s else self.alphabet[32] + mapped)])
             else:
                 core = s.rstrip(_TAIL)
@@ -123,33 +127,52 @@ class WordEncoder:
         self.pool.extend(chain.from_iterable(many))
         return first
 
+    def _mapped(self, word: str) -> str:
+        """The word in the model's alphabet."""
+        return word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.table)[0]
+
     def _new(self, words: list[str], known: dict[str, int], past: dict[str, int], lead: str) -> list:
-        """Ids of pieces that are not known yet, which get the next slots."""
-        tokenize, space, alphabet = self.model.tokenize, self.alphabet[32] if lead else "", self.alphabet
-        (_, _, pool, start, length), first, out = self.past, len(self.start), []
-        for at, w in enumerate(words, first):
-            before = past.get(w)
-            if before is not None:
-                out.append(pool[start[before] : start[before] + length[before]])
-            elif w.isalpha():  # letters alone are one pre-token
-                out.append([t.id for t in tokenize(space + (w if w.isascii() else "".join([alphabet[b] for b in w.encode()])))])
-            else:
-                core = w.rstrip(_TAIL)
-                if core.isalpha():  # most of these words came without signs already
-                    bare = known.get(core)
-                    if bare is None:
-                        head = self._atom(lead + core)
-                    elif bare < first:
-                        head = self.pool[self.start[bare] : self.start[bare] + self.length[bare]]
-                    else:
-                        head = out[bare - first]
-                    out.append((*head, *self._atom(w[len(core) :])))
+        """Ids of pieces that are not known yet, which get the next slots and stand in ``known`` from now on: letters alone first, as they serve their forms with signs."""
+        tokenize, space, mapped, atoms = self.model.tokenize, self.alphabet[32] if lead else "", self._mapped, self.atoms
+        first, out = len(self.start), []
+        if past:
+            _, _, pool, start, length = self.past
+            held = [w for w in words if w in past]
+            out = [pool[start[at] : start[at] + length[at]] for at in map(past.__getitem__, held)]
+            known.update(zip(held, range(first, first + len(held)), strict=True))
+            words = [w for w in words if w not in past]
+        begun = first + len(out)
+        bare = [w for w in words if w.isalpha()]  # letters alone are one pre-token
+        out += [[t.id for t in tokenize(space + mapped(w))] for w in bare]
+        rest = [w for w in words if not w.isalpha()]
+        known.update(zip(chain(bare, rest), range(begun, begun + len(words)), strict=True))
+        nl = self._atom("\n") if rest else ()
+        for w in rest:
+            core = w.rstrip(_TAIL)
+            if core.isalpha():  # most of these words came without signs already
+                at = known.get(core)
+                if at is None:
+                    head = atoms.get(lead + core)
+                    if head is None:
+                        head = atoms[lead + core] = tuple([t.id for t in tokenize(space + mapped(core))])
+                elif at < first:
+                    head = self.pool[self.start[at] : self.start[at] + self.length[at]]
                 else:
-                    out.append(self._piece(lead + w) if lead or w else ())
-            known[w] = at
+                    head = out[at - first]
+                tail = w[len(core) :]
+                out.append((*head, *(atoms.get(tail) or self._atom(tail))))
+            elif "\n" in w and "\n".join(parts := w.split()) == w:  # single line breaks between visible characters
+                ids = [*self._atom(lead + parts[0])]
+                for p in parts[1:]:
+                    ids += nl
+                    ids += atoms.get(p) or self._atom(p)
+                out.append(ids)
+            else:
+                out.append(self._piece(lead + w) if lead or w else ())
         return out
 
     def _look_up(self, pieces: pa.Array, known: dict[str, int], past: dict[str, int], lead: str) -> np.ndarray:
+        """Slots of distinct pieces."""
         pieces = pieces.to_numpy(zero_copy_only=False).tolist()
         out = list(map(known.get, pieces))
         missing = [i for i, at in enumerate(out) if at is None]
@@ -157,7 +180,7 @@ class WordEncoder:
             collects = gc.isenabled()
             gc.disable()  # many small lists and no cycle: looking for cycles took a quarter of the time
             try:
-                self._stored(self._new(list(dict.fromkeys([pieces[i] for i in missing])), known, past, lead))
+                self._stored(self._new([pieces[i] for i in missing], known, past, lead))
             finally:
                 if collects:
                     gc.enable()
@@ -181,9 +204,10 @@ class WordEncoder:
             yield from self._encode(texts.slice(a, b - a), a, want_ids, end_id)
 
     def _encode(self, texts: pa.Array, base: int, want_ids: bool, end_id: int | None):
-        if len(self.slots) + len(self.heads) > MEMORY:
+        memory = self.memory or MEMORY
+        if len(self.slots) + len(self.heads) > memory:
             self._reset()
-        if len(self.atoms) > MEMORY:
+        if len(self.atoms) > memory:
             self.atoms, self.past_atoms = {}, self.atoms
         n = len(texts)
         odd = pc.match_substring_regex(texts, _UNSAFE)
@@ -203,7 +227,8 @@ class WordEncoder:
         coded = flat.dictionary_encode()
         slots = self._look_up(coded.dictionary, self.slots, self.past[0], " ")[coded.indices.to_numpy()]
         first = offs[:-1]
-        slots[first] = self._look_up(flat.take(pa.array(first)), self.heads, self.past[1], "")
+        heads = flat.take(pa.array(first)).dictionary_encode()
+        slots[first] = self._look_up(heads.dictionary, self.heads, self.past[1], "")[heads.indices.to_numpy()]
         if end_id is not None:  # one more piece for each text
             slots = np.insert(slots, offs[1:], self._stored([(end_id,)]))
             offs = offs + np.arange(n + 1)
@@ -243,11 +268,12 @@ _KNOWN: dict[str, WordEncoder] = {}
 worker.keeps("tokens", _KNOWN.clear)
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, kept between tasks."""
+def encoder(path: str, memory: int | None = None) -> WordEncoder:
+    """One encoder for each worker process, kept between tasks; ``memory``: pieces that it remembers now."""
     worker.begin("tokens")
     if path not in _KNOWN:
         _KNOWN[path] = WordEncoder(path)
+    _KNOWN[path].memory = memory
     return _KNOWN[path]
 
 

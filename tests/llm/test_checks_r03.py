@@ -59,3 +59,33 @@ def test_words_with_signs_take_the_ids_of_the_bare_word():
     asked = [w for w in enc.model.words if "blef" in w]
     assert len(asked) == len(set(asked)) == 2
     assert gc.isenabled()
+
+
+def test_new_words_are_encoded_once_and_as_the_library_does():
+    """op9: a word that comes first with signs and then bare is encoded once (before: twice); line breaks, other scripts and a small memory give the library's ids."""
+    import random
+
+    import pyarrow as pa
+
+    from cohortlens.llm import tokens
+
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    real, seen = enc.model, []
+
+    class Counting:
+        def tokenize(self, word):
+            seen.append(word)
+            return real.tokenize(word)
+
+    enc.model = Counting()
+    list(enc.encode(pa.array(["x wordily, wordily wordily. wordily!!"])))
+    assert sum(w.endswith("wordily") for w in seen) == 1
+    rnd = random.Random(9)
+    words = ["Größe", "größe.", "Größe,", "слово", "слово!", "語", "don't", "it's.", "a\nb", "c.\nD", "x\n\ny", "\nz", "w\n", "q\tr", "q\tr.\ns", "é b", "3.14", "...", "", "U V", "m\x1cn\no", "²", "ǅ", "n\r\no", "ab", "ab.", "ab.\nab"]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 30))) for _ in range(300)]
+    enc = tokens.WordEncoder(tokens.default_tokenizer())
+    enc.memory = 20  # so that what an older memory holds is taken over
+    for a in range(0, 300, 20):
+        got = [(counts.tolist(), ids.tolist()) for _, _, counts, ids in enc.encode(pa.array(texts[a : a + 20]), end_id=0)]
+        want = [enc.tok.encode(t, add_special_tokens=False).ids + [0] for t in texts[a : a + 20]]
+        assert [n for c, _ in got for n in c] == list(map(len, want)) and [i for _, x in got for i in x] == [i for x in want for i in x]
