@@ -61,7 +61,7 @@ def test_words_with_signs_take_the_ids_of_the_bare_word():
     assert gc.isenabled()
 
 
-def test_new_words_are_encoded_once_and_as_the_library_does():
+def test_new_words_are_encoded_once_and_as_the_library_does(monkeypatch):
     """op9: a word that comes first with signs and then bare is encoded once (before: twice); line breaks, other scripts and a small memory give the library's ids."""
     import random
 
@@ -84,7 +84,7 @@ def test_new_words_are_encoded_once_and_as_the_library_does():
     words = ["Größe", "größe.", "Größe,", "слово", "слово!", "語", "don't", "it's.", "a\nb", "c.\nD", "x\n\ny", "\nz", "w\n", "q\tr", "q\tr.\ns", "é b", "3.14", "...", "", "U V", "m\x1cn\no", "²", "ǅ", "n\r\no", "ab", "ab.", "ab.\nab"]
     texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 30))) for _ in range(300)]
     enc = tokens.WordEncoder(tokens.default_tokenizer())
-    enc.memory = 20  # so that what an older memory holds is taken over
+    monkeypatch.setattr(tokens, "MEMORY", 20)  # so that what an older memory holds is taken over
     for a in range(0, 300, 20):
         got = [(counts.tolist(), ids.tolist()) for _, _, counts, ids in enc.encode(pa.array(texts[a : a + 20]), end_id=0)]
         want = [enc.tok.encode(t, add_special_tokens=False).ids + [0] for t in texts[a : a + 20]]
