@@ -13,8 +13,10 @@ once for each time; null ids stay null; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +87,14 @@ def improve(bins: Bins) -> Bins:
     least = -(-sum(sum(k) * m for k, m in bins.n.items()) // size)
     n_bins = bins.total()
     stuck: set[tuple] = set()
+    loose = sorted((sum(k), k) for k in bins.n if sum(k) < size)
     while n_bins > least:
-        loose = sorted((sum(k), k) for k in bins.n if sum(k) < size)
-        done = True
-        for fill, src in loose:
+        done, look = True, None
+        for at, (fill, src) in enumerate(loose):
             if src in stuck:
                 continue
-            step = _best_exchange(src, fill, loose, bins)
+            look = look or _Loose(loose, size)
+            step = look.best_exchange(at, bins.n[src] < 2)
             if step is None:
                 stuck.add(src)
                 continue
@@ -112,6 +115,14 @@ def improve(bins: Bins) -> Bins:
                 bins.add(new_src, k)
             else:
                 n_bins -= k
+            for key in {src, dst, new_dst, new_src} - {()}:
+                entry = (sum(key), key)
+                i = bisect.bisect_left(loose, entry)
+                there = i < len(loose) and loose[i] == entry
+                if there and key not in bins.n:
+                    del loose[i]
+                elif not there and key in bins.n and entry[0] < size:
+                    loose.insert(i, entry)
             stuck -= {new_dst, new_src}
             if sum(new_dst) < size:
                 stuck.clear()
@@ -122,24 +133,45 @@ def improve(bins: Bins) -> Bins:
     return bins
 
 
-def _best_exchange(src: tuple, fill: int, loose: list[tuple[int, tuple]], bins: Bins):
-    """The exchange with another bin at least as full that fills that bin most: (its pattern, lengths that it gets, lengths that it gives)."""
-    gifts = [((y,), y) for y in set(src)]
-    gifts += [((src[i], src[j]), src[i] + src[j]) for i in range(len(src)) for j in range(i)]
-    best, found = 0, None
-    for other, dst in loose:
-        if other < fill or (dst == src and bins.n[src] < 2):
-            continue
-        room = bins.size - other
-        if room <= best:
-            continue
-        for out, y in gifts:
-            if y <= room and len(out) == 1 and y > best:
-                best, found = y, (dst, out, ())
-            for x in dst:
-                if best < y - x <= room:
-                    best, found = y - x, (dst, out, (x,))
-    return found
+class _Loose:
+    """Underfull patterns in order of their fill, and which lengths each holds."""
+
+    def __init__(self, loose: list[tuple[int, tuple]], size: int):
+        self.loose, self.size = loose, size
+        n = np.fromiter((len(k) for _, k in loose), np.int64, len(loose))
+        self.begin = np.concatenate([[0], np.cumsum(n)])
+        self.lengths = np.fromiter(chain.from_iterable(k for _, k in loose), np.int64, int(self.begin[-1]))
+        self.owner = np.repeat(np.arange(len(loose)), n)
+        self.room = size - np.fromiter((fill for fill, _ in loose), np.int64, len(loose))
+
+    def best_exchange(self, at: int, alone: bool):
+        """The exchange of a pattern with another one at least as full that fills that one most: (its pattern, lengths that it gets, lengths that it gives); ``alone``: not with itself."""
+        fill, src = self.loose[at]
+        start = bisect.bisect_left(self.loose, (fill,))
+        flat = slice(self.begin[start], None)
+        lengths, owner = self.lengths[flat][::-1], self.owner[flat][::-1]
+        if alone:
+            keep = owner != at
+            lengths, owner = lengths[keep], owner[keep]
+        first = np.full(self.size + 1, -1)  # the emptiest pattern that holds a length; the last one written stays
+        first[lengths] = owner
+        first[0] = start + (alone and start == at)
+        if first[0] >= len(self.loose):
+            return None
+        gifts = [((y,), y) for y in set(src)]
+        single = len(gifts)
+        gifts += [((src[i], src[j]), src[i] + src[j]) for i in range(len(src)) for j in range(i)]
+        held = np.flatnonzero(first >= 0)
+        gain = np.array([y for _, y in gifts])[:, None] - held
+        gain[gain > self.room[first[held]]] = 0
+        gain[single:, 0] = 0  # two are only given for one
+        best = gain.max()
+        if best <= 0:
+            return None
+        g, h = np.nonzero(gain == best)
+        i = min(range(len(g)), key=lambda i: (first[held[h[i]]], g[i]))
+        x = int(held[h[i]])
+        return self.loose[first[x]][1], gifts[g[i]][0], (x,) if x else ()
 
 
 def pack(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
